@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_decontamination
+from .language_id import op7_language_id
 from .packing import op5_packing
+from .pii import op4_pii
+from .secrets import op2_secret_scans
 from .token_files import op3_token_files
 from .token_counts import op6_token_counts
+from .topk import OP10_SQL, op10_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
     "op3_token_files": op3_token_files,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op9_decontamination": op9_decontamination,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_exact_topk": OP10_SQL}
