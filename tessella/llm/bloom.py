@@ -1,0 +1,70 @@
+"""Bloom filters of bounded size, built by tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .text import mix
+
+#: Bits for each key, hash functions, and the most bits of a filter (64 MB). Past that, false positives rise.
+PER_KEY, HASHES, MOST_BITS = 12, 4, 1 << 29
+_CHUNK_BITS = 1 << 20
+
+
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(_CHUNK_BITS, 1 << (max(1, n) * PER_KEY - 1).bit_length()))
+
+
+def _positions(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    h, step = mix(keys.view(np.uint64)), mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for _ in range(HASHES):
+        yield (h & np.uint64(bits - 1)).astype(np.int64)
+        h = h + step
+
+
+class Filter:
+    def __init__(self, bits: int, chunks: list[tuple[int, bytes]]) -> None:
+        self.bits = bits
+        self.bytes = np.zeros(bits // 8, np.uint8)
+        for k, data in chunks:
+            self.bytes[k * (_CHUNK_BITS // 8) : (k + 1) * (_CHUNK_BITS // 8)] = np.frombuffer(data, np.uint8)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.holds(np.array([key], np.int64))[0])
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in _positions(keys, self.bits):
+            out &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
+        return out
+
+
+def build(keys: DataFrame, n: int) -> Filter:
+    """A filter of the about n keys in the first column (long). Only its bits come to the driver, MOST_BITS at most."""
+    bits = _bits(n)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        some = False
+        for batch in batches:
+            for at in _positions(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
+                np.bitwise_or.at(own, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+            some |= batch.num_rows > 0
+        for k in range(bits // _CHUNK_BITS if some else 0):
+            part = own[k * (_CHUNK_BITS // 8) : (k + 1) * (_CHUNK_BITS // 8)]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], ["chunk", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        own = np.zeros(_CHUNK_BITS // 8, np.uint8)
+        for x in table.column("bits"):
+            own |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([own.tobytes()])})
+
+    schema = "chunk int, bits binary"
+    rows = keys.mapInArrow(mark, schema).groupBy("chunk").applyInArrow(join, schema).collect()
+    return Filter(bits, [(r.chunk, bytes(r.bits)) for r in rows])
