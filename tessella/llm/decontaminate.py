@@ -211,13 +211,8 @@ def _search(docs: DataFrame, block: DataFrame, text_col: str, window: int) -> Da
     return docs.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """All rows and columns of docs with n_words, hits (merged spans of words and of UTF-8 bytes) and items.
-
-    docs must have no columns of those names. Null texts have no words; items without id or text are left out;
-    repeated items count once; repeated rows are searched each. One narrow pass: nothing is shuffled. A benchmark of
-    over BLOCK_BYTES is searched block by block, over numbered rows in the shared folder, and spans are merged.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, item_id_col: str, window: int) -> DataFrame:
+    """docs with n_words, hits and items; docs has only columns of this module's choosing."""
     blocks = _blocks(benchmark, item_text_col, item_id_col)
     if len(blocks) == 1:
         return _search(docs, blocks[0], text_col, window)
@@ -227,22 +222,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         one = _search(numbered.select("_row", text_col), block, text_col, window).select("_row", "n_words", "hits", "items")
         found = one if found is None else found.unionByName(one)
     joined = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    grown = lambda last, x: F.struct(last["ws"].alias("ws"), F.greatest(last["we"], x["we"]).alias("we"), last["bs"].alias("bs"), F.greatest(last["be"], x["be"]).alias("be"))
-    merge = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["we"] >= x["ws"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown(F.element_at(done, -1), x)))).otherwise(F.concat(done, F.array(x)))
-    merged = joined.withColumn("hits", F.aggregate("h", F.lit([]).cast(_HITS), merge))
+    last = lambda done: F.element_at(done, -1)
+    grown = lambda done, x: F.struct(last(done)["ws"].alias("ws"), F.greatest(last(done)["we"], x["we"]).alias("we"), last(done)["bs"].alias("bs"), F.greatest(last(done)["be"], x["be"]).alias("be"))
+    merge = lambda done, x: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["we"] >= x["ws"]), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown(done, x)))).otherwise(F.concat(done, F.array(x)))
+    merged = joined.withColumn("hits", F.aggregate("h", F.array().cast(_HITS), merge))
     return numbered.join(merged.select("_row", "n_words", "hits", "items"), "_row").drop("_row")
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """What of a benchmark each whole text holds: id_col, n_words, hits (merged spans of words and of UTF-8 bytes), items.
+
+    A row for each row of docs. Null texts have no words; items without id or text are left out; repeated items count
+    once; an empty benchmark hits nothing; other columns aren't read. One narrow pass: nothing is shuffled. A
+    benchmark of over BLOCK_BYTES is searched block by block, over numbered rows in the shared folder, and spans are
+    merged.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    return _found(named, benchmark, "body", item_text_col, item_id_col, window).select(F.col("id").alias(id_col), "n_words", "hits", "items")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows and columns of docs with all hit spans cut out of their texts."""
-    kept = docs.columns
-    marked = find_contamination(docs.select(*kept), benchmark, text_col)
-    raw = F.col(text_col).cast("binary")
+    whole = docs.select(F.col(text_col).alias("body"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    found = _found(whole, benchmark, "body", "text", "item_id", WINDOW)
+    raw = F.col("body").cast("binary")
     # Pieces between spans: before the first, between neighbours, after the last.
-    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("hits", lambda x: F.array(x["bs"], x["be"]))), F.array(F.octet_length(text_col)))
-    piece = lambda k: F.substring(raw, F.element_at("_b", 2 * k + 1) + 1, F.element_at("_b", 2 * k + 2) - F.element_at("_b", 2 * k + 1)).cast("string")
-    cleaned = F.when(F.size("hits") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("hits")), piece), ""))
-    return marked.withColumn("_b", bounds).withColumn(text_col, cleaned).select(*kept)
+    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("hits", lambda x: F.array(x["bs"], x["be"]))), F.array(F.octet_length("body")))
+    piece = lambda k: F.substring(raw, F.element_at("bounds", 2 * k + 1) + 1, F.element_at("bounds", 2 * k + 2) - F.element_at("bounds", 2 * k + 1)).cast("string")
+    cleaned = F.when(F.size("hits") == 0, F.col("body")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("hits")), piece), ""))
+    return found.withColumn("bounds", bounds).select(*(cleaned.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,9 +397,9 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows and columns of docs with one document of each component: that of the smallest id. Rows without an id
     stay; of rows with equal ids all stay or none."""
-    kept = jaccard_components(docs, text_col, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_components(docs, text_col, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("__representative")).distinct()
     with_id = docs.where(F.col(id_col).isNotNull())
-    return with_id.join(kept, with_id[id_col].cast("long") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return with_id.join(kept, with_id[id_col].cast("long") == F.col("__representative"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

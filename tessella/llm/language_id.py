@@ -132,43 +132,57 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
     return Model.build(counted["lang"].to_numpy(), counted["gram"].to_numpy().astype(np.uint32), counted["n"].to_numpy())
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", keep: bool = False) -> DataFrame:
-    """lang_pred and score of each whole text: id_col, lang_pred, score; or, with `keep`, all columns and those two.
+def classify(m: Model | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    names: list[str] = []
+    scores: list[float] = []
+    for a, b, data, offsets in text.slices(texts):
+        letters = np.concatenate(([0], np.cumsum((_FOLD[data] > 32) & (data < 128))))[offsets]
+        if m:
+            counts, n = m.counts(data, offsets)
+            best = counts.argmax(1)
+            score = np.clip(counts[np.arange(b - a), best] / np.maximum(n, 1), 0.0, 1.0)
+        for k in range(b - a):
+            plain = letters[k + 1] > letters[k]
+            if m and (plain or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())):
+                names.append(m.languages[best[k]])
+                scores.append(float(score[k]))
+            else:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+    return names, scores
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """lang_pred and score of each whole text: id_col, lang_pred, score.
 
     Null texts and texts without a letter are `und` with score 0, as are all texts if there is no model. The score is
     the corrected share of n-grams that the language holds, 0 to 1; ties go to the language first in the alphabet. A
-    text of letters too short for an n-gram gets that language with score 0. A narrow stage of one pass; the model is
-    bounded by its training sample and goes to the tasks in a broadcast.
+    text of letters too short for an n-gram gets that language with score 0. Repeated rows are predicted each; other
+    columns aren't read. A narrow stage of one pass; the model is bounded by its training sample and goes to the tasks
+    in a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs if keep else docs.select(id_col, text_col)
-    at = source.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            names: list[str] = []
-            scores: list[float] = []
-            for a, b, data, offsets in text.slices(batch.column(at)):
-                letters = np.concatenate(([0], np.cumsum((_FOLD[data] > 32) & (data < 128))))[offsets]
-                if m:
-                    counts, n = m.counts(data, offsets)
-                    best = counts.argmax(1)
-                    score = np.clip(counts[np.arange(b - a), best] / np.maximum(n, 1), 0.0, 1.0)
-                for k in range(b - a):
-                    plain = letters[k + 1] > letters[k]
-                    if m and (plain or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())):
-                        names.append(m.languages[best[k]])
-                        scores.append(float(score[k]))
-                    else:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-            kept = list(batch.columns) if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names if keep else [id_col]), "lang_pred", "score"])
-
-    fields = source.schema.fields if keep else [source.schema[0]]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
-    return source.mapInArrow(run, schema)
+            names, scores = classify(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows and columns of docs whose text has a language; texts that are `und` go."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = classify(shared.value, batch.column(at))
+            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op9_decontamination
+from .jaccard import op1_ngram_jaccard_join
 from .language_id import op7_language_id
+from .licenses import op8_license_scans
 from .packing import op5_packing
 from .pii import op4_pii
 from .secrets import op2_secret_scans
@@ -16,12 +18,14 @@ from .token_counts import op6_token_counts
 from .topk import OP10_SQL, op10_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scans": op2_secret_scans,
     "op3_token_files": op3_token_files,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_license_scans": op8_license_scans,
     "op9_decontamination": op9_decontamination,
     "op10_exact_topk": op10_exact_topk,
 }
