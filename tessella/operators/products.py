@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def latest_versions(versions: DataFrame, n: int = 1) -> DataFrame:
-    """The rows of each product's n latest versions, with age (1 the latest), by creation and then version id."""
-    heads = versions.select("product_id", "version_id", "created_at").distinct()
+    """The rows of each product's n latest versions, with age (1 the latest), by creation and then version id. A version
+    that is written more than once counts as of its last time."""
+    heads = versions.groupBy("product_id", "version_id").agg(F.max("created_at").alias("created_at"))
     age = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("created_at"), F.desc("version_id")))
     newest = heads.withColumn("age", age).where(F.col("age") <= n).select("product_id", "version_id", "age")
     return versions.join(newest, ["product_id", "version_id"])

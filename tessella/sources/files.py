@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -59,16 +60,13 @@ def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     line = head[0].value if head else ""
     encoding = "ISO-8859-1" if "�" in line else "UTF-8"
     sep = header_separator(line.lstrip("﻿"), ".tsv" if path.lower().endswith(".tsv") else ".csv")
-    raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
+    names = [canonical_header(x) for x in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])]
+    options = {"header": True, "multiLine": True, "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "mode": "PERMISSIVE"}
+    raw = spark.read.options(**options).schema(", ".join(f"c{k} string" for k in range(max(len(names), 1)))).csv(path)
     numbered = raw.withColumn("__order", F.monotonically_increasing_id()).withColumn("__file", F.col("_metadata.file_path"))
-    rows = with_row_number(numbered, "__file", "__order")
-    data = canonicalise(rows.drop("__order", "__file", "row_number"))
-    return normalise(rows.drop("__order", "__file").select("row_number", *(F.col(f"`{c}`") for c in raw.columns)).toDF("row_number", *(f"c{k}" for k in range(len(raw.columns)))).select("row_number", *_picked(raw.columns, data.columns)), path.rsplit("/", 1)[-1])
-
-
-def _picked(raw: list[str], names: list[str]):
-    last = {canonical_header(c): k for k, c in enumerate(raw) if canonical_header(c)}
-    return [F.col(f"c{last[n]}").alias(n) for n in names]
+    last = {n: k for k, n in enumerate(names) if n}
+    cells = [F.col(f"c{k}").alias(n) for n, k in sorted(last.items(), key=lambda x: x[1])]
+    return normalise(with_row_number(numbered, "__file", "__order").select("row_number", *cells), path.rsplit("/", 1)[-1])
 
 
 _LISTS = ["products", "items", "rows", "records", "data", "catalogue", "catalog"]
