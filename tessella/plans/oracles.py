@@ -164,3 +164,16 @@ ORACLES: dict[str, str] = {
     "summarise_agent": duck(f"SELECT event_id, {_AGENT} AS browser FROM {{visits_v}}"),
     "stream_visits_batch": duck(f"SELECT hour, browser, suffix(browser, '(bot)') AS is_bot, count(*) AS visits FROM (SELECT date_trunc('hour', occurred_at) AS hour, {_AGENT} AS browser FROM {{visits_v}}) GROUP BY 1, 2"),
 }
+
+ORACLES |= {
+    "latest_artifact": duck("SELECT 'doc-' || CAST(row_number AS VARCHAR) AS document_id, arg_max(event_id, (decided_at, event_id)) AS artifact_id, arg_max(action, (decided_at, event_id)) AS action FROM {decisions_v} GROUP BY 1"),
+    "version_attr_union": duck("SELECT DISTINCT product_id, name FROM {aged} WHERE age <= 2", aged=_TWO),
+    "domain_lookup": duck(f"SELECT c.row_number, d.domain FROM (SELECT row_number, {_code('part_manuf')} AS m FROM {{catalogue_v}}) c LEFT JOIN {{domains}} d ON d.manufacturer = c.m", domains=_DOMAINS),
+    "search_queries": duck("SELECT row_number, CASE k WHEN 0 THEN trim(part_manuf) || ' ' || mfg_part_num || ' product page' WHEN 1 THEN trim(part_manuf) || ' ' || mfg_part_num || ' datasheet' WHEN 2 THEN trim(part_manuf) || ' ' || mfg_part_num || ' specification' ELSE 'site:parker.com ' || mfg_part_num END AS query FROM {catalogue_v}, (VALUES (0), (1), (2), (3)) AS q(k) WHERE mfg_part_num IS NOT NULL AND part_manuf IS NOT NULL"),
+    "part_variants": duck("SELECT DISTINCT row_number, v AS variant FROM (SELECT row_number, unnest([lower(mfg_part_num) || ' x', lower(mfg_part_num) || 'x', lower(mfg_part_num) || '-x', replace(lower(mfg_part_num), '-', '') || ' x']) AS v FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL)"),
+    "best_datasheet": duck("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) || '/files/' || CAST(page_id AS VARCHAR) || '-spec.pdf' END AS datasheet FROM {pages_v}"),
+    "merge_products": duck("SELECT product_id, version_id, name, CASE WHEN product_id LIKE '%3' THEN 'new' ELSE value END AS value FROM {versions_v}"),
+    "latest_batch": "SELECT o_custkey AS organization_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS batch_id FROM orders GROUP BY 1",
+    "description_tiers": duck("SELECT row_number, substr(brand || ' ' || mfg_part_num || ' ' || part_desc, 1, 120) AS mobile, substr(upper(part_desc), 1, 60) AS invoice, substr(part_desc, 1, 100) AS short, brand || ' ' || mfg_part_num || ' - ' || part_desc AS long, part_desc AS retail FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL"),
+    "repeat_intake": duck("SELECT p.document_id, p.content_hash, CASE WHEN k.h IS NULL OR k.state = 'pending' THEN 'reprocess' ELSE 'already_extracted' END AS decision FROM (SELECT document_id, sha256(text) AS content_hash FROM {doc_pages_v} WHERE page = 1) p LEFT JOIN (SELECT sha256(text) AS h, max(CASE WHEN document_id LIKE '%17' THEN 'pending' ELSE 'approved' END) AS state FROM {doc_pages_v} WHERE page = 1 AND document_id LIKE '%7' GROUP BY 1) k ON k.h = p.content_hash"),
+}

@@ -501,3 +501,143 @@ def stream_visits_batch(s, d):
     return streams.visits_by_hour(view(s, d, "visits_v"))
 
 
+
+
+@query
+def overlay_review(s, d):
+    fresh = _routed(s, d).select("row_number", F.lit("approved").alias("state"), "overall_confidence").where("row_number % 3 = 0")
+    stored = _catalogue(s, d).select("row_number", F.lit("pending_review").alias("state"), F.lit(0.0).alias("overall_confidence"))
+    return review.overlay_review(stored, fresh, ["row_number"])
+
+
+@query
+def replay_decisions(s, d):
+    stored = view(s, d, "decisions_v").groupBy("row_number").agg(F.min_by(F.struct("action", "reviewer", "decided_at"), F.struct("decided_at", "event_id")).alias("x"))
+    stored = stored.select("row_number", F.element_at(F.create_map(*(F.lit(v) for p in review.STATES for v in p)), F.col("x.action")).alias("review_state"), "x.reviewer", "x.decided_at")
+    return review.replay_decisions(_routed(s, d), stored, ["row_number"]).select("row_number", "state", "reviewer", "reconstructed")
+
+
+@query
+def audit_page(s, d):
+    audit = review.apply_decisions(_routed(s, d), _decisions(s, d), ["row_number"])[1]
+    return review.audit_page(audit, 50, "human").select("event_id", "action", "reviewer")
+
+
+@query
+def export_audit(s, d):
+    e = _enriched(s, d)
+    audit = review.apply_decisions(_routed(s, d), _decisions(s, d), ["row_number"])[1]
+    return delivery.export_audit(e, audit, ["row_number"]).select("row_number", F.size("transformations").alias("n_fields"), F.size("events").alias("n_events"))
+
+
+@query
+def repeat_intake(s, d):
+    p = view(s, d, "doc_pages_v").where("page = 1").select("document_id", F.sha2("text", 256).alias("content_hash"))
+    known = p.where("document_id like '%7'").select("content_hash", F.when(F.col("document_id").like("%17"), "pending").otherwise("approved").alias("state"), F.lit(0).alias("n_facts"), F.lit(1).alias("created_at"))
+    return review.repeat_intake(p, known)
+
+
+@query
+def latest_artifact(s, d):
+    a = view(s, d, "decisions_v").select(F.concat(F.lit("doc-"), F.col("row_number").cast("string")).alias("document_id"), F.col("event_id").alias("artifact_id"), F.col("decided_at").alias("created_at"), "action")
+    return documents.latest_artifact(a, "document_id").select("document_id", "artifact_id", "action")
+
+
+@query
+def documents_for_part(s, d):
+    facts = _facts(s, d)
+    rows = _catalogue(s, d).select("row_number", F.col("mfg_part_num").alias("part_number"))
+    artifacts = view(s, d, "doc_pages_v").where("page = 1").select("document_id", F.length("text").alias("created_at"))
+    found = documents.documents_for_part(documents.link_documents(facts, rows, ["row_number"]), facts, artifacts, "apo-105")
+    return found.select("document_id", F.size("proposals").alias("n_proposals"))
+
+
+@query
+def dedupe_import(s, d):
+    h = products.product_hash(view(s, d, "versions_v"))
+    return products.dedupe_import(h, h.where("product_id like '%7'")).select("product_id", "decision")
+
+
+@query
+def version_attr_union(s, d):
+    return products.version_attr_union(view(s, d, "versions_v"))
+
+
+@query
+def domain_lookup(s, d):
+    names = _catalogue(s, d).select("row_number", C.strip_distributor_code("part_manuf").alias("manufacturer"))
+    return web.domain_lookup(names, "manufacturer", web.domains(s)).select("row_number", "domain")
+
+
+@query
+def resolve_domain(s, d):
+    c = _catalogue(s, d).withColumn("manufacturer", F.when(F.col("row_number") % 3 == 0, "Freud").when(F.col("row_number") % 3 == 1, "Apollo Valves").otherwise("Appliance Dealers Cooperative"))
+    text = F.concat("part_desc", F.when(F.col("row_number") % 2 == 0, " Diablo Whirlpool").otherwise(""))
+    return c.withColumn("text", text).select("row_number", web.resolve_domain("manufacturer", "text", [F.col("brand")]).alias("domain"))
+
+
+@query
+def candidate_urls(s, d):
+    c = _catalogue(s, d).where("mfg_part_num is not null")
+    urls = web.prioritise_candidates(web.candidate_urls(F.array(F.lit("parker.com"), F.lit("apollovalves.com")), "mfg_part_num"))
+    return c.select("row_number", F.posexplode(urls).alias("rank", "url"))
+
+
+@query
+def search_queries(s, d):
+    c = _catalogue(s, d).where("mfg_part_num is not null and part_manuf is not null")
+    return c.select("row_number", F.explode(web.search_queries("part_manuf", "mfg_part_num", F.lit("parker.com"))).alias("query"))
+
+
+@query
+def part_variants(s, d):
+    return _catalogue(s, d).select("row_number", F.explode(C.part_variants(F.concat("mfg_part_num", F.lit(" x")))).alias("variant"))
+
+
+@query
+def match_snippet(s, d):
+    """Text around the first word of each page's title."""
+    p = view(s, d, "pages_v").withColumn("word", F.lower(F.element_at(F.split(web.page_title("html"), " +"), 1)))
+    return p.select("page_id", web.match_snippet("html", F.array("word"), 40).alias("snippet"))
+
+
+@query
+def best_datasheet(s, d):
+    """Pages with a datasheet link put before them, since the crawl has none."""
+    p = view(s, d, "pages_v").withColumn("html", F.concat(F.lit('<a class="x" href="/files/'), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "-spec.pdf").otherwise("-photo.pdf"), F.lit('">file</a>'), F.col("html")))
+    return p.select("page_id", web.best_datasheet("html", "url").alias("datasheet"))
+
+
+@query
+def source_summary(s, d):
+    return web.source_summary(verify_on_pages(s, d).withColumn("source_type", web.classify_url("url")), "part_number")
+
+
+@query
+def llm_usage(s, d):
+    calls = llm_batches(s, d).groupBy("request").agg(F.count("*").alias("rows"), F.count_if(F.col("row_number") % 2 == 0).alias("resolved")).select("rows", "resolved", (F.col("rows") * 120).alias("prompt_tokens"), (F.col("rows") * 20).alias("completion_tokens"))
+    return metrics.llm_usage(calls, 0.15, 0.6)
+
+
+@query
+def merge_products(s, d):
+    v = view(s, d, "versions_v").select("product_id", "version_id", "name", "value")
+    changed = v.where("product_id like '%3'").withColumn("value", F.lit("new"))
+    return store.merge_products(v, changed, ["product_id", "version_id"])
+
+
+@query
+def latest_batch(s, d):
+    b = view(s, d, "orders").select(F.col("o_custkey").alias("organization_id"), F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").alias("created_at"))
+    return store.latest_batch(b, "organization_id")
+
+
+@query
+def description_tiers(s, d):
+    c = _catalogue(s, d).where("mfg_part_num is not null")
+    return c.select("row_number", delivery.description_tiers(F.col("brand"), F.col("mfg_part_num"), F.col("part_desc")).alias("t")).select("row_number", "t.*")
+
+
+@query
+def product_noun(s, d):
+    return taxonomy.classify(_catalogue(s, d), "part_desc", "part_manuf").select("row_number", taxonomy.product_noun("fine").alias("noun"), taxonomy.delivery_classpath("classpath").alias("path"))

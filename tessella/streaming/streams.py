@@ -48,4 +48,4 @@ def visits_by_hour(visits: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def stream_visits(stream: DataFrame, watermark: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    return visits_by_hour(stream.withWatermark("occurred_at", watermark), width)
+    return visits_by_hour(stream.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).withWatermark("occurred_at", watermark), width)
