@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import tables, text
 
 #: Words of a window, bytes of a shard, and distance of sampled suffix positions.
-WINDOW, SHARD_BYTES, SAMPLE = 10, 4 << 20, 8
+WINDOW, SHARD_BYTES, SAMPLE = 10, 1 << 20, 8
 #: Bytes of benchmark text that go to the tasks at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 32 << 20
 _HITS = "array<struct<ws:int,we:int,bs:int,be:int>>"
@@ -198,6 +198,8 @@ def _search(docs: DataFrame, block: DataFrame, text_col: str, window: int) -> Da
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"n_words long, hits {_HITS}, items array<string>"])
     hit_type, item_type = (f.type for f in tables.arrow_fields(docs.sparkSession, f"h {_HITS}, i array<string>"))
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for batch in batches:
@@ -258,3 +260,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["we"] - x["ws"]))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+_SQL_WORDS = "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+#: All windows of documents against all windows of items.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_SQL_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+m AS (SELECT dw.doc_id, dw.s, dw.k, iw.item_id FROM dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items, sha256(coalesce(g.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import text
+from . import tables, text
 
 #: Bytes of an n-gram, hash functions of a filter, and the n-grams of a language that make 1 / LOAD of its bits.
 WIDTH, HASHES, LOAD = 4, 3, 8
@@ -116,6 +116,8 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
     u = (F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).bitwiseAND(0xFFFFFFFF)) / float(1 << 32)
     sample = labelled.where(u < level[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    tables.small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text.slices(batch.column(1)):
@@ -164,6 +166,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = classify(shared.value, batch.column(1))
@@ -177,6 +181,8 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """The rows and columns of docs whose text has a language; texts that are `und` go."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, _ = classify(shared.value, batch.column(at))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import text
+from . import tables, text
 
 #: Words of a fingerprint, fingerprints of a winnowing window, and how far an alignment may leave its diagonal.
 GRAM, WINNOW, BAND = 3, 2, 8
@@ -119,6 +119,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | tuple = TE
     """
     pairs = list(templates)
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(pairs)
         for batch in batches:

@@ -109,6 +109,8 @@ def _slots(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.
 def _pieces(docs: DataFrame, path: str, text_col: str, id_col: str, window: int, end_id: int) -> DataFrame:
     """Encode each text and cut it every `window` ids. A piece's rank counts the pieces of its length in its task."""
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = tokens.encoder(path), TaskContext.get().partitionId()
         ranks, end = np.zeros(window + 1, np.int64), np.array([end_id], "<u2").tobytes()

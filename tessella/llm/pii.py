@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import tables
+
 #: Kinds of the base definition, in their order, then those that this method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "url")
@@ -125,6 +127,8 @@ def scan_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     other columns aren't read. A narrow stage of one pass.
     """
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [find_spans(x.as_py()) for x in batch.column(1)]
@@ -141,6 +145,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data in text_col replaced; null texts stay null."""
     schema, at = docs.schema, docs.columns.index(text_col)
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)

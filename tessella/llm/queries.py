@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op9_decontamination
+from .decontaminate import OP9_SQL, op9_decontamination
 from .jaccard import op1_ngram_jaccard_join
 from .language_id import op7_language_id
 from .licenses import op8_license_scans
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-SQL: dict[str, str] = {"op10_exact_topk": OP10_SQL}
+SQL: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_exact_topk": OP10_SQL}

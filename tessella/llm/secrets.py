@@ -51,6 +51,8 @@ def find_candidates(text: str | None) -> list[tuple[str, int, int, str]]:
 
 
 def _scan(docs: DataFrame, text_col: str, id_col: str, owner_col: str, repo_col: str) -> DataFrame:
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

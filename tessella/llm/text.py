@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text that a kernel takes at once; one longer text goes alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

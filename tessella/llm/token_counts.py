@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import tokens
+from . import tables, tokens
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 512) -> DataFrame:
@@ -21,6 +21,8 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     A narrow stage: nothing is shuffled. Rows go to the library in batches of about equal bytes.
     """
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, counts=True)
         for batch in batches:

@@ -157,6 +157,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text
     Null texts are empty (the end id alone); null ids come first; equal ids are ordered by text. ids are integers.
     """
 
+    tables.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, end = tokens.encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
         held: list[tuple[int | None, bytes]] = []

@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Parts that a worker keeps; later new parts are encoded each time they come up.
-KEPT_PARTS = 700_000
+KEPT_PARTS = 200_000
 #: Longest part, in characters, that is kept.
 KEPT_LENGTH = 48
 #: New parts given to the library in one string.
@@ -106,7 +106,7 @@ def encoder(path: str, counts: bool = False) -> PartEncoder:
     return _ENCODERS[path, str(counts)]
 
 
-def batches_by_bytes(lengths: list[int], most: int = 2 << 20) -> list[tuple[int, int]]:
+def batches_by_bytes(lengths: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of rows of about equal bytes, so that no batch is much larger than another."""
     out, start, total = [], 0, 0
     for i, n in enumerate(lengths):
