@@ -26,7 +26,13 @@ WIDTH = 5
 #: Sets with one shingle in common whose pairs are formed at once.
 LIGHT = 32
 #: Bytes of text that are taken at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Pairs of which the sets' keys are broadcast.
+FEW = 30_000
+#: Shingles by which halves of hashes may count too much, and what that can change in a distance.
+SPARE, SLACK = 4, 0.01
+#: Bits of the parity sketch of a set.
+SKETCH = 2048
 
 
 def needed(n):
@@ -248,8 +254,15 @@ def _mark(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return text.mix(key.view(np.uint64) + np.uint64(3) * text.mix(rep.view(np.uint64))).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the shingles that fall on it. Two sets differ in at least as many shingles as
+    their sketches differ in bits."""
+    at = np.bincount((values >> np.uint64(64 - 11)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(at.astype(np.uint8)).tobytes()
+
+
 def _fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Packed sets of the documents rep with the set key in wanted, each read from its text again.
+    """key, size, sketch and set (sorted, packed as the high and the low halves of its hashes) of the documents rep with the set key in wanted, each read from its text again.
 
     A Bloom filter tells tasks which ones those are; a few more that slip in meet nothing later.
     """
@@ -261,9 +274,10 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b, values, first, keys in _sets(batch):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 rows = np.flatnonzero((np.diff(first) > 0) & shared.value.holds(_mark(keys, ids))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([values[first[r] : first[r + 1]].astype("<u8").tobytes() for r in rows], pa.binary())], ["key", "values"])
+                own = [values[first[r] : first[r + 1]] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x) for x in own], pa.binary()), pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in own], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())], ["key", "n", "sketch", "high", "low"])
 
-    return docs.mapInArrow(run, "key long, values binary")
+    return docs.mapInArrow(run, "key long, n long, sketch binary, high binary, low binary")
 
 
 def common_shingles(a: np.ndarray, b: np.ndarray) -> int:
@@ -275,20 +289,65 @@ def common_shingles(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """a, b, common, na, nb of each pair, from whole sets. Reads and writes in the shared folder."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs with columns of both sets. Where there are few pairs, only their sets are shuffled."""
+    if pairs.limit(FEW + 1).count() <= FEW:
+        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        sets = sets.join(F.broadcast(needed), "key", "left_semi")
+    for c in "ba":
+        pairs = pairs.join(sets.select(F.col("key").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)), c)
+    return pairs
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b, within), those whose Jaccard distance can be at most `within` by their sketches.
+
+    With h differing bits, the distance is at least 2 h / (|a| + |b| + h); so no pair that matters is lost."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (3, 4))
+            h = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            n = batch.column(5).to_numpy() + batch.column(6).to_numpy()
+            good = 2 * h <= (n + h) * (batch.column(2).to_numpy() + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    met = _with_sets(pairs, sets, "sketch", "n").select("a", "b", "within", "sketch_a", "sketch_b", "n_a", "n_b")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _count_common(met: DataFrame, *halves: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            for row in zip(*(batch.column(k) for k in range(2, batch.num_columns))):
+                parts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64) for x in row]
+                p, q = parts if len(parts) == 2 else ((parts[0] << np.uint64(32)) | parts[1], (parts[2] << np.uint64(32)) | parts[3])
                 out.append((common_shingles(p, q), len(p), len(q)))
             c = np.array(out, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c[:, i])) for i in range(3))], ["a", "b", "common", "na", "nb"])
 
-    met = pairs.join(sets.select(F.col("key").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("key").alias("a"), F.col("values").alias("va")), "a")
-    return tables.keep(met.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, common long, na long, nb long"), name)
+    columns = [f"{x}_{c}" for c in "ab" for x in halves]
+    return met.select("a", "b", *columns).mapInArrow(run, "a long, b long, common long, na long, nb long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """a, b, common, na, nb from whole sets, of the pairs (a, b and, if other than 1/4, within) that can be so near.
+
+    Halves of hashes are compared first: they can only count too much in common, and hardly ever do. Where a few less
+    would undo a link, whole hashes decide."""
+    limited = pairs if "within" in pairs.columns else pairs.withColumn("within", F.lit(0.25))
+    near = tables.keep(_possible(limited, sets), f"{name}-near")
+    half = tables.keep(_count_common(_with_sets(near, sets, "high"), "high"), f"{name}-half")
+    tables.release(pairs.sparkSession)
+    c, a, b = F.col("common"), F.col("na"), F.col("nb")
+    close = linked(c, a, b) & ~linked(c - SPARE, a, b)
+    edge = half.where(close).select("a", "b")
+    if not edge.head(1):
+        return half
+    out = half.where(~close).union(tables.keep(_count_common(_with_sets(edge, sets, "high", "low"), "high", "low"), f"{name}-whole"))
+    tables.release(pairs.sparkSession)
+    return out
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -298,8 +357,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def _class_links(hot: DataFrame, stars: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between classes of the sets on hot postings, beyond those in `links`."""
+def _class_links(hot: DataFrame, stars: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """links and those between classes of the sets on hot postings; roots: components that are known so far."""
     distance = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     is_link = linked(F.col("common"), F.col("na"), F.col("nb"))
     led = stars.where(is_link).select(F.col("a").alias("leader"), F.col("b").alias("set"), distance.alias("far"))
@@ -310,23 +369,27 @@ def _class_links(hot: DataFrame, stars: DataFrame, sets: DataFrame, links: DataF
     radius = members.groupBy("cls").agg(F.max("far").alias("radius"))
     listed = hot.join(members, "set")
     by_class = listed.groupBy("posting", "cls").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = (by_class.select("posting", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "low", "high"))) for x in "ab")
-    near = (F.col("cls_a") < F.col("cls_b")) & (4 * F.col("high_a") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low_a"))
+    by_class = by_class.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    left, right = (by_class.select("posting", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "low", "high", "root"))) for x in "ab")
+    # Classes of one component need no comparison, so a group of near copies gives no pairs here.
+    near = (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & (4 * F.col("high_a") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low_a"))
     classes = left.join(right, "posting").where(near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    roots = components.connected(links)
-    centres = _verify(_apart(classes, roots), sets, "centres")
-    found = links.union(centres.where(is_link).select("a", "b"))
+    open_classes = classes
+    for c in "ab":
+        open_classes = open_classes.join(radius.select(F.col("cls").alias(c), F.col("radius").alias(f"radius_{c}")), c)
     # Two classes can hold a link only if their centres are no further apart than both radii and 1/4.
+    centres = _verify(open_classes.select("a", "b", (F.col("radius_a") + F.col("radius_b") + 0.25 + SLACK).alias("within")), sets, "centres")
+    found = links.union(centres.where(is_link).select("a", "b"))
     close = centres.where(~is_link).select("a", "b", distance.alias("between"))
     for c in "ab":
         close = close.join(radius.select(F.col("cls").alias(c), F.col("radius").alias(f"radius_{c}")), c)
-    close = tables.keep(close.where(F.col("between") <= F.col("radius_a") + F.col("radius_b") + 0.25 + 1e-9).select("a", "b", "between"), "close")
+    close = tables.keep(close.where(F.col("between") <= F.col("radius_a") + F.col("radius_b") + 0.25 + SLACK).select("a", "b", "between"), "close")
     if not close.head(1):
         return found
     roots = components.connected(found)
     # Each member against the other centre: enough to join most classes, and it bounds the members' own distances.
     member = lambda c, o: _apart(close, roots).join(members.where("set <> cls").select(F.col("cls").alias(c), F.col("set")), c).select(F.col("set").alias("a"), F.col(o).alias("b"))
-    cross = _verify(member("a", "b").union(member("b", "a")).distinct(), sets, "cross")
+    cross = _verify(member("a", "b").union(member("b", "a")).distinct().withColumn("within", F.lit(1.0)), sets, "cross")
     found = found.union(cross.where(is_link).select("a", "b"))
     roots = components.connected(found)
     reach = cross.select(F.col("a").alias("set"), F.col("b").alias("other"), distance.alias("to_other"))
@@ -336,7 +399,7 @@ def _class_links(hot: DataFrame, stars: DataFrame, sets: DataFrame, links: DataF
     one = one.join(reach.select(F.col("set").alias("x"), F.col("other").alias("b"), F.col("to_other").alias("reach_x")), ["x", "b"])
     two = far_listed.select(F.col("cls").alias("b"), "posting", F.col("set").alias("y"), F.col("n").alias("ny"), F.col("far").alias("far_y"))
     both = one.join(two, ["b", "posting"]).join(reach.select(F.col("set").alias("y"), F.col("other").alias("a"), F.col("to_other").alias("reach_y")), ["y", "a"])
-    limit = 0.25 + 1e-9
+    limit = 0.25 + SLACK
     can = (F.col("reach_x") - F.col("far_y") <= limit) & (F.col("reach_y") - F.col("far_x") <= limit) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
     rest = _verify(_apart(both.where(can).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), roots), sets, "rest")
     return found.union(rest.where(is_link).select("a", "b"))
@@ -356,6 +419,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     one fetches the sets that have a candidate. Links are verified on whole sets. See the module for the method.
     """
     spark = docs.sparkSession
+    tables.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = tables.keep(_keyed(rows), "keyed")
     rows = rows.where("doc_id is not null")
@@ -363,12 +427,14 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     total = distinct.agg(F.sum("n")).first()[0] or 0
     bits = min(31, max(8, int(total >> 19).bit_length()))
     frequency = tables.keep(_document_frequency(rows, bits), "frequency")
+    tables.release(spark)
     n_heavy, light, squares = frequency.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
     sizes = distinct.where("n between 4 and 400").groupBy("n").count().collect()
     boundary = subset_boundary([tuple(r) for r in sizes], (squares or 0) / max(light or 0, 1))
     heavy = bloom.build(_longs(frequency.where("n > 0").select("heavy"), "h long", lambda x: [np.frombuffer(b"".join(v.as_py() for v in x.column(0)), "<i8")]), n_heavy or 0)
     met = tables.keep(_post(rows, bits, heavy, boundary).groupBy("bucket", "apart").applyInArrow(_meet, "hot boolean, a long, b long, n long"), "met")
     pairs = tables.keep(met.where("not hot").select("a", "b").distinct(), "pairs")
+    tables.release(spark)
     hot = met.where("hot").select(F.col("a").alias("posting"), F.col("b").alias("set"), "n")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(hot.select("set")).distinct().join(distinct, "key")
     sets = tables.keep(_fetch_sets(rows, wanted), "sets")
@@ -380,10 +446,11 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     stars = _verify(hot_stars.select("a", "b").union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), sets, "stars")
     is_link = linked(F.col("common"), F.col("na"), F.col("nb"))
     links = stars.where(is_link).select("a", "b")
-    rest = _verify(_apart(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), components.connected(links)), sets, "rest")
+    roots = components.connected(links)
+    rest = _verify(_apart(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), roots), sets, "rest")
     links = links.union(rest.where(is_link).select("a", "b"))
     if hot.head(1):
-        links = _class_links(hot, stars.join(hot_stars, ["a", "b"], "left_semi"), sets, links)
+        links = _class_links(hot, stars.join(hot_stars, ["a", "b"], "left_semi"), sets, links, roots)
     roots = components.connected(links)
 
     labelled = distinct.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
