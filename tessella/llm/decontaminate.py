@@ -77,8 +77,9 @@ class FMIndex:
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that begin with each row of words, read from its end."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
+        high[(patterns >= 1 << self.matrix.levels).any(1)] = 0  # words that this sequence has no numbers for
         for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, k]
+            c = np.minimum(patterns[:, k], (1 << self.matrix.levels) - 1)
             low, high = self.before[c] + self.matrix.rank(c, low), self.before[c] + self.matrix.rank(c, high)
         return low, np.maximum(low, high)
 

@@ -137,7 +137,7 @@ def test_secrets_and_owners(spark):
     assert len(got) == len(rows) and got[0].n_access == 1 and got[0].n_copied == 1 and got[0].n_live == 0
     assert got[9].n_assign == got[9].n_hex == 1 and got[9].n_live == 2 and got[9].spans == "assign:0:25,hex:9:25"
     assert got[10].spans == "" and got[10].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert got[12].spans == "token:0:25"
+    assert got[12].spans == "token:0:26"
 
 
 def _components(texts):
