@@ -20,7 +20,7 @@ from tessella.plans.queries import QUERIES
 from tessella.plans.views import VIEWS
 
 HEADLINE = ["match_manufacturer", "enrich_batch", "validate_batch", "route_rows", "classify", "delivery_record", "extract_facts", "link_documents", "version_diff", "latency_percentiles", "field_metrics"]
-TILED_ROWS = 1_000_000
+TILED_ROWS = int(os.environ.get("BENCH_ROWS", 1_000_000))
 
 
 def main() -> None:

@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import cells as C, extract as X
 from ..resources import values as V
 from . import match
+from .validate import LINEAGE
 
 _FIELD = "struct<column:string,raw_value:string,canonical_value:string,confidence:double,status:string,role:string,transformation:string>"
 STATUS_ORDER = ["missing", "review_required", "inferred", "verified"]
-#: Columns that carry lineage and have no role.
-LINEAGE = ["row_number", "source_name", "source_fingerprint", "organization_id", "batch_id"]
 
 
 def role_map(columns: list[str]) -> list[tuple[str, str]]:

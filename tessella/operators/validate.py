@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cells import col, pick
+from ..functions.cells import col, is_missing, is_placeholder, pick, role_of
 from ..resources import values as V
 
+#: Columns that carry lineage and have no role.
+LINEAGE = ["row_number", "source_name", "source_fingerprint", "organization_id", "batch_id"]
 _ISSUE = "struct<code:string,severity:string,field:string>"
 
 
@@ -98,12 +100,20 @@ def duplicate_part_numbers(df: DataFrame, part: Column | str = "part_number", *b
     return keyed.join(often, [*by, "part_key"]).select(*by, "row_number", "part_key", "rows")
 
 
+def _part_number(enriched: DataFrame) -> Column:
+    """The canonical part number. It is the cell itself, so that reading it there spares a second enrichment."""
+    for name in enriched.columns:
+        if name not in LINEAGE and name != "fields" and role_of(name) == "part_number":
+            return F.when(~is_missing(name) & ~is_placeholder(name), F.col(name))
+    return value_of("fields", "part_number")
+
+
 def validate_batch(enriched: DataFrame, *by: str) -> DataFrame:
     """enriched with issues, completeness and can_auto_approve. by: columns that make a batch."""
     required = required_roles(value_of("fields", "category"))
     rules = [v_required("fields", F.col("_required")), v_description("fields"), v_lov("fields"), v_low_confidence("fields"), v_char_limit("fields"), v_material_pressure("fields"), v_size_without_uom("fields")]
     own = enriched.withColumn("_required", required).withColumn("_own", F.concat(*rules)).withColumn("completeness", completeness("fields", F.col("_required"))).withColumn("can_auto_approve", auto_approve("fields", "overall_confidence", "_own"))
-    again = duplicate_part_numbers(enriched, value_of("fields", "part_number"), *by).select(*by, "row_number", F.lit(True).alias("_again"))
+    again = duplicate_part_numbers(enriched, _part_number(enriched), *by).select(*by, "row_number", F.lit(True).alias("_again"))
     joined = own.join(again, [*by, "row_number"], "left")
     issues = F.when(F.col("_again"), F.concat("_own", F.array(_issue("DUPLICATE_PART_NUMBER", "warning", "part_number")))).otherwise(F.col("_own"))
     return joined.withColumn("issues", issues).drop("_required", "_own", "_again")
