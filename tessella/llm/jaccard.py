@@ -176,7 +176,7 @@ def postings(values: np.ndarray, first: np.ndarray, heavy: np.ndarray, boundary:
     keys.append(values[single])
     rows.append(owner[single])
     hot.append(heavy[single])
-    for r in np.flatnonzero((sizes > 3) & (sizes <= boundary)):
+    for r in np.flatnonzero((sizes >= 3) & (sizes <= boundary)):
         size = int(sizes[r])
         a = first[r]
         i, j = np.triu_indices(size - int(needed(size)) + 2, 1)
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     frequency = tables.keep(_document_frequency(rows, bits), "frequency")
     tables.release(spark)
     n_heavy, light, squares = frequency.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
-    sizes = distinct.where("n between 4 and 400").groupBy("n").count().collect()
+    sizes = distinct.where("n between 3 and 400").groupBy("n").count().collect()
     boundary = subset_boundary([tuple(r) for r in sizes], (squares or 0) / max(light or 0, 1))
     heavy = bloom.build(_longs(frequency.where("n > 0").select("heavy"), "h long", lambda x: [np.frombuffer(b"".join(v.as_py() for v in x.column(0)), "<i8")]), n_heavy or 0)
     met = tables.keep(_post(rows, bits, heavy, boundary).groupBy("bucket", "apart").applyInArrow(_meet, "hot boolean, a long, b long, n long"), "met")

@@ -189,6 +189,24 @@ def test_near_copies(spark, seed, n_groups, group, words):
     assert got == _components(texts)
 
 
+def test_sets_of_three_link_with_sets_of_four(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join(word() for _ in range(n)) for n in (*range(6, 16), 30)]
+    for _ in range(20):
+        base = [word() for _ in range(8)]
+        texts += [" ".join(base), " ".join(base[:7]), " ".join(base[1:])]
+    # Shingles of many sets, so that the lists of both sizes are heavy.
+    base = [word() for _ in range(7)]
+    texts += [" ".join(base), *(" ".join([*base, word()]) for _ in range(50))]
+    rnd.shuffle(texts)
+    want = _components(list(enumerate(texts)))
+    sizes = [(n, sum(x == n for x, _ in want.values())) for n in (3, 4)]
+    assert jaccard.subset_boundary(sizes, 1.0) > 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
 def test_near_copies_of_empty_tables_and_repeats(spark):
     df = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
