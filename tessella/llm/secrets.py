@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in each text; their hashes are then counted over distinct repositories and owners of the whole
-corpus. A value that many owners hold is a copied example; one that a few hold looks live.
+corpus. A value that many owners or many repositories hold is a copied example; one that a few hold looks live.
 """
 
 from __future__ import annotations
@@ -85,11 +85,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", copied_from: int = 3) -> DataFrame:
-    """Secrets of each whole text, told apart by how many owners hold the same value.
+def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", copied_from: int = 3, copied_repos: int = 10) -> DataFrame:
+    """Secrets of each whole text, told apart by how many owners and repositories hold the same value.
 
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied. A value of `copied_from` or more
-    distinct owners is copied, any other live. Spans holds all base spans, and token spans whose value is live. A row
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, held. A value of `copied_from` or
+    more distinct owners, or of `copied_repos` or more distinct repositories, is copied, any other live. Spans holds all
+    base spans, and token spans whose value is live; held has every candidate with its owners and repositories. A row
     for each input row; null texts have no spans; a null owner or repository counts as one of its own; repeated rows
     are scanned each; other columns aren't read.
 
@@ -98,13 +99,14 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     scanned = tables.keep(_scan(docs, text_col, id_col, owner_col, repo_col), "secrets")
     flat = scanned.where(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
     judged = flat.select("row", "kind", "start", "end", "hash").join(ownership(flat), "hash")
-    live = F.col("n_owners") < copied_from
-    shown = F.when((F.col("kind") != "token") | live, F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "end", "kind"))
-    per_row = judged.groupBy("row").agg(F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_copied"), F.sort_array(F.collect_list(shown)).alias("shown"))
-    text = F.array_join(F.transform("shown", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    live = (F.col("n_owners") < copied_from) & (F.col("n_repos") < copied_repos)
+    one = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "end", "kind", "n_owners", "n_repos", live.alias("live"))
+    per_row = judged.groupBy("row").agg(F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_copied"), F.sort_array(F.collect_list(one)).alias("held"))
+    listed = lambda rows, *more: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], *(x[c].cast("string") for c in ("start", "end", *more)))), ",")
+    shown = F.filter("held", lambda x: (x["kind"] != "token") | x["live"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    out = scanned.join(per_row.select("row", "n_live", "n_copied", text.alias("spans")), "row", "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    out = scanned.join(per_row.select("row", "n_live", "n_copied", listed(shown).alias("spans"), listed("held", "n_owners", "n_repos").alias("held")), "row", "left")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), F.coalesce("held", F.lit("")).alias("held"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,15 @@ def test_secrets_and_owners(spark):
     assert got[12].spans == "token:0:26"
 
 
+def test_values_of_many_repositories_are_copied(spark):
+    key = lambda c: f"zzAbcDefGhi123456789{c}Xyz_q"
+    rows = [(k, key("A"), "hot") for k in range(12)] + [(20 + k, key("B"), "hot") for k in range(9)] + [(40, key("A"), "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: (r.n_live, r.n_copied, r.spans, r.held) for r in secrets.scan_secrets(df).collect()}
+    assert {got[k] for k in (*range(12), 40)} == {(0, 1, "", "token:0:26:2:13")}
+    assert {got[20 + k] for k in range(9)} == {(1, 0, "token:0:26", "token:0:26:1:9")}
+
+
 def _components(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
