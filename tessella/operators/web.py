@@ -157,9 +157,10 @@ def verify_on_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """candidates (part_number, rank, url) held against crawled pages (url, html): part_number, rank, url, status,
     confidence, up to the first verified one. Blocked addresses are left out.
 
-    Candidates meet pages by address; a page counts as verified where it isn't a search and holds the part number."""
+    Candidates meet pages by address; a page counts as verified where it isn't a search and holds the part number
+    anywhere in its html."""
     met = candidates.where(~is_blocked_url("url")).join(pages.select("url", "html"), "url")
-    held = F.exists(C.part_variants("part_number"), lambda v: F.contains(F.lower(F.substring("html", 1, 300000)), v))
+    held = F.exists(C.part_variants("part_number"), lambda v: F.contains(F.lower("html"), v))
     met = met.withColumn("_held", held).withColumn("_found", F.col("_held") & ~is_search_url("url"))
     first_hit = met.where("_found").groupBy("part_number").agg(F.min("rank").alias("_first"))
     out = met.join(first_hit, "part_number", "left").where(F.col("_first").isNull() | (F.col("rank") <= F.col("_first")))

@@ -129,3 +129,10 @@ def test_json_and_xml_feeds(spark, tmp_path):
     x = tmp_path / "a.xml"
     x.write_text('<feed><item id="7"><SKU>A</SKU></item><item id="8"><SKU>B</SKU></item></feed>')
     assert sorted((r.id, r.sku) for r in files.read_catalogue_xml(spark, str(x), "item").collect()) == [("7", "A"), ("8", "B")]
+
+
+def test_pages_are_searched_to_their_end(spark):
+    pages = spark.createDataFrame([("https://a.com/1", "x" * 299_998 + " part PN-4711"), ("https://a.com/2", "PN-4711")], "url string, html string")
+    candidates = spark.createDataFrame([("PN-4711", 1, "https://a.com/1"), ("PN-4711", 2, "https://a.com/2")], "part_number string, rank int, url string")
+    got = [tuple(r) for r in web.verify_on_pages(candidates, pages).collect()]
+    assert got == [("PN-4711", 1, "https://a.com/1", "verified", 0.9)]
