@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -11,6 +12,9 @@ from ..functions.cells import canonical_header, clean_cell
 from ..resources import values as V
 
 _SEPARATORS = [",", ";", "\t", "|"]
+#: The characters of ISO-8859-1 that are other ones in cp1252, and those.
+_C1 = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252 = _C1.encode("latin-1").decode("cp1252")
 
 
 def route_files(files: DataFrame) -> DataFrame:
@@ -53,17 +57,33 @@ def normalise(df: DataFrame, source: str, lineage: tuple[str, ...] = ("row_numbe
     return out.where(reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in cells))) if cells else out.limit(0)
 
 
+def file_encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """The encoding of each file with any line: UTF-8 if all its bytes are, else cp1252 if that has them all, else
+    ISO-8859-1. One pass over lines, which no character crosses; a row for each file comes to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    odd = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike("[\u0081\u008D\u008F\u0090\u009D]")
+    found = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd).alias("odd"))
+    return {r.file: "UTF-8" if r.utf8 else "ISO-8859-1" if r.odd else "cp1252" for r in found.collect()}
+
+
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV or TSV feed: separator by its first line, all cells text, quoted newlines kept, short rows filled with
-    nulls, cells past the header dropped. Encodings other than UTF-8 are tried by the bytes of the first line."""
-    head = spark.read.text(path).limit(1).collect()
-    line = head[0].value if head else ""
-    encoding = "ISO-8859-1" if "�" in line else "UTF-8"
+    nulls, cells past the header dropped. All bytes of each file tell its encoding: UTF-8, else cp1252, else ISO-8859-1."""
+    encodings = file_encodings(spark, path)
+    head = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("b")).limit(1).collect()
+    line = bytes(head[0].b).decode(encodings[head[0].file]) if head else ""
     sep = header_separator(line.lstrip("﻿"), ".tsv" if path.lower().endswith(".tsv") else ".csv")
     names = [canonical_header(x) for x in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])]
-    options = {"header": True, "multiLine": True, "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "mode": "PERMISSIVE"}
-    raw = spark.read.options(**options).schema(", ".join(f"c{k} string" for k in range(max(len(names), 1)))).csv(path)
-    numbered = raw.withColumn("__order", F.monotonically_increasing_id()).withColumn("__file", F.col("_metadata.file_path"))
+    options = {"header": True, "multiLine": True, "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    columns = [f"c{k}" for k in range(max(len(names), 1))]
+    kinds, parts = sorted(set(encodings.values())) or ["UTF-8"], []
+    for kind in kinds:
+        files = path if len(kinds) == 1 else [unquote(f) for f, e in encodings.items() if e == kind]
+        raw = spark.read.options(**options, encoding="UTF-8" if kind == "UTF-8" else "ISO-8859-1").schema(", ".join(f"{c} string" for c in columns)).csv(files)
+        # Spark's readers don't know cp1252, which differs from ISO-8859-1 by these characters only.
+        cells = [F.translate(c, _C1, _CP1252).alias(c) if kind == "cp1252" else F.col(c) for c in columns]
+        parts.append(raw.select(*cells, F.monotonically_increasing_id().alias("__order"), F.col("_metadata.file_path").alias("__file")))
+    numbered = reduce(DataFrame.unionAll, parts)
     last = {n: k for k, n in enumerate(names) if n}
     cells = [F.col(f"c{k}").alias(n) for n, k in sorted(last.items(), key=lambda x: x[1])]
     return normalise(with_row_number(numbered, "__file", "__order").select("row_number", *cells), path.rsplit("/", 1)[-1])

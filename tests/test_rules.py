@@ -136,3 +136,15 @@ def test_pages_are_searched_to_their_end(spark):
     candidates = spark.createDataFrame([("PN-4711", 1, "https://a.com/1"), ("PN-4711", 2, "https://a.com/2")], "part_number string, rank int, url string")
     got = [tuple(r) for r in web.verify_on_pages(candidates, pages).collect()]
     assert got == [("PN-4711", 1, "https://a.com/1", "verified", 0.9)]
+
+
+def test_feeds_are_decoded_by_all_their_bytes(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("name,note\nplain,x\nCafé “big” €5™,naïve\n".encode("cp1252"))
+    (tmp_path / "latin.csv").write_bytes(b"name,note\nCaf\xe9 \x81,y\n")
+    (tmp_path / "utf8.csv").write_bytes("name,note\nplain,z\nCafé €,中\n".encode())
+    read = lambda p: sorted((r.row_number, r.name, r.note) for r in files.read_catalogue_csv(spark, str(p)).collect())
+    cp1252, latin, utf8 = [(2, "plain", "x"), (3, "Café “big” €5™", "naïve")], [(2, "Café \x81", "y")], [(2, "plain", "z"), (3, "Café €", "中")]
+    assert files.file_encodings(spark, str(tmp_path / "latin.csv")).popitem()[1] == "ISO-8859-1"
+    assert read(tmp_path / "a b.csv") == cp1252 and read(tmp_path / "utf8.csv") == utf8
+    assert [r[2] for r in read(tmp_path / "latin.csv")] == ["y"]
+    assert [r for r in read(tmp_path) if r[2] != "y"] == sorted(cp1252 + utf8)
