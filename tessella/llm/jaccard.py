@@ -1,14 +1,19 @@
 """N-gram Jaccard join, size-aware: fixed-size subsets for small sets, inverted lists for large ones.
 
-A text's set holds hashes of its runs of five words. All sets share one order of shingles: light ones (in fewer than
-LIGHT sets) by hash, then heavy ones by hash. Two linked sets A and B share at least max(ceil(3/4 |A|), ceil(3/4 |B|))
-shingles, so the first |A| - ceil(3/4 |A|) + s of A and as many of B share s of them. Small sets post all pairs (s = 2)
-of those, large sets each of them (s = 1); sets that are small but can link with large ones post both. The size at
-which that turns is where the expected work of pairs passes that of scanning lists.
-
-Lists with a light shingle are shorter than LIGHT and give their pairs. A list of heavy shingles only can hold any
-number of sets, so its sets are first gathered in classes around a verified centre, and only classes are compared: by
-the triangle inequality of the Jaccard distance most pairs of classes can hold no link, and only the rest are opened.
+A text's set holds hashes of its runs of five words. All sets share one order of shingles: rarest first (by powers of two
+of the number of sets that hold them), then by hash. Two linked sets share at least o = ceil(3/7 (|A| + |B|)) shingles,
+and o >= ceil(3/4 |A|); so the first |A| - ceil(3/4 |A|) + s of A and as many of B share s of them. Small sets post all
+pairs (s = 2) of those, large sets each of them (s = 1); sets that are small but can link with large ones post both. The
+size at which that turns is where the expected work of pairs passes that of scanning lists.
+
+A shingle that one set alone holds meets nothing. Those come first in the order, so a set with more of them than its
+prefix is long posts nothing and is done. This is decided exactly: shingles are dealt by their first bits, counted there,
+and what is known of those that more sets hold goes back to the slice of documents it came from. Only sets that are still
+open have their shingles kept; the others' can't be in common with anything.
+
+Candidates are not all pairs of a list. Each list first has one centre, which all its sets are compared with; sets that
+this joins need no comparison with each other. After a few rounds with other centres, only pairs from different
+components are left to compare, and all of them are.
 """
 
 from __future__ import annotations
@@ -18,21 +23,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bloom, components, tables, text
+from . import components, tables, text
 
 WIDTH = 5
-#: Sets with one shingle in common whose pairs are formed at once.
-LIGHT = 32
-#: Bytes of text that are taken at once.
-SLICE = 1 << 20
-#: Pairs of which the sets' keys are broadcast.
-FEW = 30_000
-#: Shingles by which halves of hashes may count too much, and what that can change in a distance.
-SPARE, SLACK = 4, 0.01
-#: Bits of the parity sketch of a set.
-SKETCH = 2048
+#: Bytes of text that are taken at once, and shingles and rows of a slice of documents.
+PART_BYTES, SLICE_SHINGLES, SLICE_ROWS = 512 << 10, 600_000, 50_000
+#: Sets of a slice that hold one shingle, from which on the slice sends their number alone.
+MANY = 16
+#: About how many shingles a bucket has.
+BUCKET = 1 << 19
+#: Rounds with centres before all pairs that are left are compared.
+ROUNDS = 2
+_COUNT_ONLY = 0xFFFF
 
 
 def needed(n):
@@ -73,336 +77,315 @@ def set_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return text.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in text.slices(batch.column(1), SLICE):
-        values, first = shingle_sets(data, offsets)
-        yield a, b, values, first, set_keys(values, first)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, _, first, keys in _sets(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(keys)], ["doc_id", "n", "key"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, key long")
-
-
-def _by_bucket(keys: np.ndarray, bits: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Deal values by the first bits of their keys; a bucket gets one row of packed columns, keys as their next 32 bits."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    low = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    packed = [low[order], *(c[order] for c in columns)]
-    there, at = np.unique(bucket[order], return_index=True)
-    ends = np.append(at[1:], len(order))
-    arrays = [pa.array([c[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()) for c in packed]
-    yield pa.RecordBatch.from_arrays([pa.array(there), *arrays], ["bucket", "k", "x", "y"][: 1 + len(packed)])
-
-
-def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
-
-
-def _new_rows(seen: set[int], keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows with the first copy of a non-empty set in this task; what a task keeps is bounded by its input split."""
+def _new_rows(seen: set[int], keys: np.ndarray, first: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Rows with an id and the first copy of a non-empty set in this task; what a task keeps is bounded by its split."""
     out = []
-    for r, (key, size) in enumerate(zip(keys.tolist(), np.diff(first).tolist())):
-        if size and key not in seen:
+    for r, (key, size, has_id) in enumerate(zip(keys.tolist(), np.diff(first).tolist(), ids.is_valid().to_pylist())):
+        if size and has_id and key not in seen:
             seen.add(key)
             out.append(r)
     return np.array(out, np.int64)
 
 
 def _take(values: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of some rows, one after another, and the first of each."""
+    """The values of some rows, one after another, and how many each has."""
     sizes = first[rows + 1] - first[rows]
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    return values[np.repeat(first[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    return values[np.repeat(first[rows] - ends[:-1], sizes) + np.arange(ends[-1])], sizes
 
 
-def _document_frequency(docs: DataFrame, bits: int) -> DataFrame:
-    """For each bucket of shingles: heavy ones (cut to bits + 32 bits), and the sums of df and df**2 of the light."""
+def _packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
+    """Binary values of counts[i] items of `width` bytes each, one after another."""
+    ends = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts * width, out=ends[1:])
+    data = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), data]).cast(pa.binary())
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for *_, values, first, keys in _sets(batch):
-                own, _ = _take(values, first, _new_rows(seen, keys, first))
-                if own.size:
-                    own, n = np.unique(own, return_counts=True)
-                    yield from _by_bucket(own, bits, np.minimum(n, 65535).astype("<u2"))
-
-    def count(table: pa.Table) -> pa.Table:
-        k, n = _joined(table, "k", "<u4"), _joined(table, "x", "<u2").astype(np.int64)
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        df = np.add.reduceat(n, at)
-        heavy = df >= LIGHT
-        cut = (np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)) | k[at][heavy].astype(np.uint64)
-        light = df[~heavy]
-        return pa.table({"heavy": [cut.astype("<i8").tobytes()], "n": [int(heavy.sum())], "total": [int(light.sum())], "squares": [int((light**2).sum())]})
 
-    dealt = docs.mapInArrow(deal, "bucket long, k binary, x binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "heavy binary, n long, total long, squares long")
+def _unpacked(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind)
 
 
-def subset_boundary(sizes: list[tuple[int, int]], scanned: float) -> int:
-    """The largest size of sets that post pairs: where those cost less than scanning lists of `scanned` sets each.
+def _cut(values: np.ndarray, bits: int) -> np.ndarray:
+    """The hash as far as buckets and their entries keep it: bits + 48 bits."""
+    return values & np.uint64((1 << 64) - (1 << max(0, 16 - bits)))
 
-    sizes: (set size, number of such sets). The cost of a set is its postings and what they meet.
-    """
-    best, boundary, gain = 0.0, 0, 0.0
-    for n, count in sorted(sizes):
-        p = n - needed(n) + 1
-        gain += count * (p * (1 + scanned) - (p + 1) * p / 2)
-        if gain >= best:
-            best, boundary = gain, n
-    return max(boundary, 3)
-
-
-def postings(values: np.ndarray, first: np.ndarray, heavy: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posting keys of all rows, the row of each, and whether all its shingles are heavy."""
-    keys, rows, hot = [], [], []
-    edge = needed(boundary + 1)
-    sizes = np.diff(first)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((values, heavy, owner))
-    values, heavy = values[order], heavy[order]
-    place = np.arange(len(values)) - first[owner]
-    n = sizes[owner]
-    single = (place < n - needed(n) + 1) & (n >= edge)
-    keys.append(values[single])
-    rows.append(owner[single])
-    hot.append(heavy[single])
-    for r in np.flatnonzero((sizes >= 3) & (sizes <= boundary)):
-        size = int(sizes[r])
-        a = first[r]
-        i, j = np.triu_indices(size - int(needed(size)) + 2, 1)
-        keys.append(text.mix(values[a + i] * np.uint64(0xC2B2AE3D27D4EB4F) + values[a + j]))
-        rows.append(np.full(len(i), r))
-        hot.append(heavy[a + i] & heavy[a + j])
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(hot)
-
-
-def _post(docs: DataFrame, bits: int, heavy: bloom.Filter, boundary: int) -> DataFrame:
-    """Packed postings by bucket; those of heavy shingles only are kept apart by task, since none is grouped here."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        task = TaskContext.get().partitionId()
-        for batch in batches:
-            for *_, values, first, keys in _sets(batch):
-                some = _new_rows(seen, keys, first)
-                if not some.size:
-                    continue
-                values, first = _take(values, first, some)
-                sizes, keys = np.diff(first), keys[some]
-                is_heavy = shared.value.holds((values >> np.uint64(32 - bits)).astype(np.int64))
-                k, rows, hot = postings(values, first, is_heavy, boundary)
-                for which, apart in ((~hot, -1), (hot, task)):
-                    if which.any():
-                        r = rows[which]
-                        for out in _by_bucket(k[which], bits, keys[r].astype("<i8"), np.minimum(sizes[r], 65535).astype("<u2")):
-                            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, apart))], ["bucket", "k", "x", "y", "apart"])
-
-    return docs.mapInArrow(run, "bucket long, k binary, x binary, y binary, apart long")
-
-
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes allow a link (65,535 stands for any size from there)."""
-    return (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) | (np.maximum(a, b) == 65535)
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Of light postings, the pairs of sets a < b that share one in a bucket; of hot ones, posting a and set b."""
-    k, s, n = _joined(table, "k", "<u4"), _joined(table, "x", "<i8"), _joined(table, "y", "<u2").astype(np.int64)
-    if table.column("apart")[0].as_py() >= 0:
-        posting = k.astype(np.int64) | (table.column("bucket")[0].as_py() << 32)
-        return pa.table({"hot": np.ones(len(k), bool), "a": posting, "b": s, "n": n})
-    order = np.lexsort((s, k))
-    k, s, n = k[order], s[order], n[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-    k, s, n = k[new], s[new], n[new]
-    a, b, gap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
-    left = np.flatnonzero(k[1:] == k[:-1])
-    while left.size:
-        good = left[_close(n[left], n[left + gap])]
-        a.append(s[good])
-        b.append(s[good + gap])
-        gap += 1
-        left = left[left + gap < len(k)]
-        left = left[k[left + gap] == k[left]]
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return pa.table({"hot": np.zeros(len(pairs), bool), "a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1]), "n": np.zeros(len(pairs), np.int64)})
-
-
-def _longs(df: DataFrame, schema: str, make) -> DataFrame:
-    """Rows of 64-bit integers that `make` gives for each batch."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in make(batch)], names)
-
-    return df.mapInArrow(run, schema)
+_HEAD = "ids array<bigint>, sizes array<bigint>, keys array<bigint>, own array<bigint>, many binary, many_of binary"
+_DEALT = f"bucket long, slice long, k binary, x binary, n binary, {_HEAD}"
+_KNOWN = f"slice long, h binary, x binary, level binary, {_HEAD}"
+_SETS = "doc_id long, n long, key long, alone long, meets double, prefix binary, shingles binary"
 
 
-def _mark(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    return text.mix(key.view(np.uint64) + np.uint64(3) * text.mix(rep.view(np.uint64))).view(np.int64)
+def _slice_rows(bits: int, number: int, ids: pa.Array, sizes: np.ndarray, keys: np.ndarray, own: np.ndarray, values: np.ndarray, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """The rows that a slice sends: one for each bucket that it has shingles in, and one with its documents.
 
+    A bucket gets 48 further bits of each hash and the number of the set it is in. Of shingles that at least MANY sets
+    of the slice hold, it gets the number of sets only; which ones they are stays with the slice's documents."""
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+    values = _cut(values, bits)
+    order = np.sort(values)
+    at = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(order)))
+    many, often = order[at][times >= MANY], times[times >= MANY]
+    in_many = many[np.minimum(np.searchsorted(many, values), len(many) - 1)] == values if len(many) else np.zeros(len(values), bool)
+    many_values, many_of = values[in_many], owner[in_many]
+    values, owner = np.concatenate((values[~in_many], many)), np.concatenate((owner[~in_many], np.full(len(many), _COUNT_ONLY, np.uint16)))
+    bucket = (values >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    low = ((values[order] << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    there, per = np.unique(bucket, return_counts=True)
+    # The numbers of sets that stand for counts are the last ones of their bucket, in the order of `many`.
+    of_many = np.searchsorted(there, (many >> np.uint64(64 - bits)).astype(bucket.dtype))
+    n_rows = len(there)
+    empty = pa.nulls(n_rows)
+    head = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for v in (ids, sizes, keys, own)]
+    columns = [
+        (pa.array(there.astype(np.int64)), pa.array([-1 - number])), (pa.array(np.full(n_rows, number)), pa.array([number])),
+        (_packed(low, per, 6), None), (_packed(owner[order], per, 2), None), (_packed(often.astype("<u4"), np.bincount(of_many, minlength=n_rows), 4), None),
+        *((empty, x) for x in head), (empty, pa.array([many_values.tobytes()])), (empty, pa.array([many_of.tobytes()])),
+    ]
+    arrays = [pa.concat_arrays([a.cast(f.type), pa.nulls(1, f.type) if b is None else b.cast(f.type)]) for (a, b), f in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _deal(docs: DataFrame, bits: int) -> DataFrame:
+    """Shingles of the first copies of sets in each task, by bucket; and a row for each slice of documents."""
+    schema = pa.schema(tables.arrow_fields(docs.sparkSession, _DEALT))
 
-def sketch(values: np.ndarray) -> bytes:
-    """SKETCH bits, each the parity of the shingles that fall on it. Two sets differ in at least as many shingles as
-    their sketches differ in bits."""
-    at = np.bincount((values >> np.uint64(64 - 11)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(at.astype(np.uint8)).tobytes()
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        shingles = rows = 0
 
-def _fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, size, sketch and set (sorted, packed as the high and the low halves of its hashes) of the documents rep with the set key in wanted, each read from its text again.
+        def out() -> pa.RecordBatch:
+            ids, sizes, keys, own, values, counts = zip(*held)
+            first_row = np.cumsum([0, *(len(x) for x in ids)])
+            own = np.concatenate([o + r for o, r in zip(own, first_row)])
+            return _slice_rows(bits, number, pa.concat_arrays(ids), np.concatenate(sizes), np.concatenate(keys), own, np.concatenate(values), np.concatenate(counts), schema)
 
-    A Bloom filter tells tasks which ones those are; a few more that slip in meet nothing later.
+        for batch in batches:
+            for a, b, data, offsets in text.slices(batch.column(1), PART_BYTES):
+                values, first = shingle_sets(data, offsets)
+                keys, ids = set_keys(values, first), batch.column(0).slice(a, b - a)
+                own = _new_rows(seen, keys, first, ids)
+                held.append((ids, np.diff(first), keys, own, *_take(values, first, own)))
+                shingles, rows = shingles + len(held[-1][4]), rows + b - a
+                if shingles >= SLICE_SHINGLES or rows >= SLICE_ROWS:
+                    yield out()
+                    held, shingles, rows, number = [], 0, 0, number + 1
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, _DEALT)
+
+
+def _known(bits: int):
+    """Of a bucket's entries, those whose shingle more than one set holds, with floor(log2) of how many do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        head = ["ids", "sizes", "keys", "own", "many", "many_of"]
+        if bucket < 0:
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.table([table.column("slice"), none, none, none, *(table.column(c) for c in head)], ["slice", "h", "x", "level", *head])
+        x = _unpacked(table.column("x"), "<u2")
+        k = np.zeros((len(x), 8), np.uint8)
+        k[:, :6] = _unpacked(table.column("k"), np.uint8).reshape(-1, 6)
+        k = k.reshape(-1).view("<u8")
+        sets = np.ones(len(x), np.int64)
+        sets[x == _COUNT_ONLY] = _unpacked(table.column("n"), "<u4")
+        order = np.argsort(k, kind="stable")
+        sorted_k = k[order]
+        at = np.flatnonzero(np.concatenate(([True], sorted_k[1:] != sorted_k[:-1])))
+        df = np.add.reduceat(sets[order], at)
+        level = np.empty(len(k), np.uint8)
+        level[order] = np.repeat(np.log2(df).astype(np.uint8), np.diff(np.append(at, len(k))))
+        shared = level > 0
+        per = np.array([len(v) // 2 for v in table.column("x").to_pylist()])
+        row = np.repeat(np.arange(len(per)), per)
+        counts = np.bincount(row[shared], minlength=len(per))
+        h = (np.uint64(bucket) << np.uint64(64 - bits)) | ((k[shared] << np.uint64(16)) >> np.uint64(bits))
+        packed = [_packed(v, counts, w) for v, w in ((h, 8), (x[shared], 2), (level[shared], 1))]
+        out = pa.table([table.column("slice").combine_chunks(), *packed, *(table.column(c) for c in head)], ["slice", "h", "x", "level", *head])
+        return out.filter(pa.array(counts > 0))
+
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of a slice: each document's n and key, and the prefix and the shared shingles of each set that is still open."""
+    head = table.filter(table.column("ids").is_valid())
+    ids, sizes, keys, own = (head.column(c).combine_chunks().flatten() for c in ("ids", "sizes", "keys", "own"))
+    h, x, level = _unpacked(table.column("h"), "<u8"), _unpacked(table.column("x"), "<u2"), _unpacked(table.column("level"), np.uint8)
+    many, many_of = _unpacked(head.column("many"), "<u8"), _unpacked(head.column("many_of"), "<u2")
+    counted = x == _COUNT_ONLY
+    order = np.argsort(h[counted])
+    place = order[np.searchsorted(h[counted][order], many)] if len(many) else np.zeros(0, np.int64)
+    h, level, x = (np.concatenate((v[~counted], w)) for v, w in ((h, many), (level, level[counted][place]), (x, many_of)))
+    own, n = own.to_numpy(), sizes.to_numpy()
+    size = n[own]
+    alone = size - np.bincount(x, minlength=len(own))
+    posts = size - needed(size) + 2 - alone
+    is_open = (size >= 3) & (posts > 0)
+    some = is_open[x]
+    h, level, x = h[some], level[some], x[some].astype(np.int64)
+    order = np.lexsort((h, level, x))
+    h, level, x = h[order], level[order], x[order]
+    per = np.bincount(x, minlength=len(own))
+    place = np.arange(len(x)) - (np.cumsum(per) - per)[x]
+    in_prefix = place < posts[x]
+    meets = np.bincount(x[place < posts[x] - 1], weights=np.exp2(level[place < posts[x] - 1]), minlength=len(own))
+    by_hash = h[np.lexsort((h, x))]
+    prefix = _packed(h[in_prefix], np.bincount(x[in_prefix], minlength=len(own)), 8)
+    row = np.full(len(n), -1)
+    row[own[is_open]] = np.flatnonzero(is_open)
+    at = pa.array(row, mask=row < 0)
+    columns = [ids, sizes, keys, pa.array(alone).take(at), pa.array(meets.astype(float)).take(at), prefix.take(at), _packed(by_hash, per, 8).take(at)]
+    return pa.table(columns, [c.split()[0] for c in _SETS.split(", ")])
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, n and key of each document's set, in one pass over the texts (doc_id long, text string).
+
+    Where the set is the first of its kind in its task and still open: alone (its shingles that no other set holds),
+    meets (about how many entries its prefix meets), prefix (its shared shingles there, rarest first), and shingles
+    (all that are shared, sorted)."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(31, max(6, int(n_bytes / 7 / BUCKET).bit_length()))
+    return _deal(docs, bits).groupBy("bucket").applyInArrow(_known(bits), _KNOWN).groupBy("slice").applyInArrow(_gathered, _SETS)
+
+
+def subset_boundary(classes: list[tuple[int, float, float]]) -> int:
+    """The largest size of sets that post pairs: the one with the least cost.
+
+    classes: (largest size in a class of sets, the cost of their pairs, the cost of scanning their lists). Sets up to
+    the boundary post pairs, those above it entries of lists, and those below it that can link with some above post both.
     """
-    marks = _longs(wanted.select("key", "rep"), "mark long", lambda x: [_mark(*(c.to_numpy() for c in x.columns))])
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(marks, wanted.count()))
-
+    best, boundary = float("inf"), 3
+    for b in [3, *sorted(c[0] for c in classes if c[0] > 3)]:
+        edge = needed(b + 1)
+        cost = sum((pairs if n <= b else 0) + (lists if n >= edge else 0) for n, pairs, lists in classes)
+        if cost < best:
+            best, boundary = cost, b
+    return boundary
+
+
+def _boundary(open_sets: DataFrame) -> int:
+    """Sets are taken together by quarter powers of two of their sizes, so a few hundred classes come to the driver."""
+    q = F.length("prefix") / 8
+    by_class = open_sets.groupBy(F.floor(4 * F.log2("n")).alias("k")).agg(F.max("n"), F.sum(q * (q - 1) / 2), F.sum(q + F.col("meets")))
+    return subset_boundary([(r[1], float(r[2]), float(r[3])) for r in by_class.collect()])
+
+
+def postings(prefix: np.ndarray, n: int, alone: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set of n posts, and the place in its order of each (of the first, for a pair).
+
+    prefix: its shared shingles in order up to the place n - needed(n) + 1; those alone come before them."""
+    keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if n >= needed(boundary + 1):
+        single = prefix[: max(0, n - int(needed(n)) + 1 - alone)]
+        keys.append(single)
+        at.append(np.arange(len(single)))
+    if n <= boundary:
+        i, j = np.triu_indices(len(prefix), 1)
+        keys.append(text.mix(prefix[i] * np.uint64(0xC2B2AE3D27D4EB4F) + prefix[j]))
+        at.append(i)
+    return np.concatenate(keys), alone + np.concatenate(at)
+
+
+def _posted(open_sets: DataFrame, boundary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, values, first, keys in _sets(batch):
-                ids = batch.column(0).slice(a, b - a).to_numpy()
-                rows = np.flatnonzero((np.diff(first) > 0) & shared.value.holds(_mark(keys, ids))).tolist()
-                own = [values[first[r] : first[r + 1]] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x) for x in own], pa.binary()), pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in own], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())], ["key", "n", "sketch", "high", "low"])
+            for key, n, alone, prefix in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                h, at = postings(np.frombuffer(prefix, "<u8"), n, alone, boundary)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array(np.full(len(h), n)), pa.array(at)], ["h", "key", "n", "at"])
 
-    return docs.mapInArrow(run, "key long, n long, sketch binary, high binary, low binary")
+    return open_sets.select("key", "n", "alone", "prefix").mapInArrow(run, "h long, key long, n long, at long")
 
 
 def common_shingles(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = len(b) - 1
     return int((b[at] == a).sum())
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """pairs with columns of both sets. Where there are few pairs, only their sets are shuffled."""
-    if pairs.limit(FEW + 1).count() <= FEW:
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        sets = sets.join(F.broadcast(needed), "key", "left_semi")
-    for c in "ba":
-        pairs = pairs.join(sets.select(F.col("key").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)), c)
-    return pairs
-
-
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b, within), those whose Jaccard distance can be at most `within` by their sketches.
-
-    With h differing bits, the distance is at least 2 h / (|a| + |b| + h); so no pair that matters is lost."""
+def _links(pairs: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by all shingles that their sets share with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (3, 4))
-            h = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            n = batch.column(5).to_numpy() + batch.column(6).to_numpy()
-            good = 2 * h <= (n + h) * (batch.column(2).to_numpy() + 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
-
-    met = _with_sets(pairs, sets, "sketch", "n").select("a", "b", "within", "sketch_a", "sketch_b", "n_a", "n_b")
-    return met.mapInArrow(run, "a long, b long")
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            common = [common_shingles(*(np.frombuffer(x.as_buffer(), "<u8") for x in row)) for row in zip(batch.column(4), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked(np.array(common, np.int64), na, nb)))
 
-
-def _count_common(met: DataFrame, *halves: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(k) for k in range(2, batch.num_columns))):
-                parts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64) for x in row]
-                p, q = parts if len(parts) == 2 else ((parts[0] << np.uint64(32)) | parts[1], (parts[2] << np.uint64(32)) | parts[3])
-                out.append((common_shingles(p, q), len(p), len(q)))
-            c = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c[:, i])) for i in range(3))], ["a", "b", "common", "na", "nb"])
-
-    columns = [f"{x}_{c}" for c in "ab" for x in halves]
-    return met.select("a", "b", *columns).mapInArrow(run, "a long, b long, common long, na long, nb long")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """a, b, common, na, nb from whole sets, of the pairs (a, b and, if other than 1/4, within) that can be so near.
-
-    Halves of hashes are compared first: they can only count too much in common, and hardly ever do. Where a few less
-    would undo a link, whole hashes decide."""
-    limited = pairs if "within" in pairs.columns else pairs.withColumn("within", F.lit(0.25))
-    near = tables.keep(_possible(limited, sets), f"{name}-near")
-    half = tables.keep(_count_common(_with_sets(near, sets, "high"), "high"), f"{name}-half")
-    tables.release(pairs.sparkSession)
-    c, a, b = F.col("common"), F.col("na"), F.col("nb")
-    close = linked(c, a, b) & ~linked(c - SPARE, a, b)
-    edge = half.where(close).select("a", "b")
-    if not edge.head(1):
-        return half
-    out = half.where(~close).union(tables.keep(_count_common(_with_sets(edge, sets, "high", "low"), "high", "low"), f"{name}-whole"))
-    tables.release(pairs.sparkSession)
-    return out
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose sets are not yet in one component."""
-    for c in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
-
-
-def _class_links(hot: DataFrame, stars: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """links and those between classes of the sets on hot postings; roots: components that are known so far."""
-    distance = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    is_link = linked(F.col("common"), F.col("na"), F.col("nb"))
-    led = stars.where(is_link).select(F.col("a").alias("leader"), F.col("b").alias("set"), distance.alias("far"))
-    leaders = led.select(F.col("leader").alias("set")).distinct().withColumn("leads", F.lit(True))
-    members = hot.select("set").distinct().join(led, "set", "left").join(leaders, "set", "left")
-    own = F.col("leads").isNotNull() | F.col("leader").isNull()
-    members = tables.keep(members.select("set", F.when(own, F.col("set")).otherwise(F.col("leader")).alias("cls"), F.when(own, 0.0).otherwise(F.col("far")).alias("far")), "members")
-    radius = members.groupBy("cls").agg(F.max("far").alias("radius"))
-    listed = hot.join(members, "set")
-    by_class = listed.groupBy("posting", "cls").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    by_class = by_class.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    left, right = (by_class.select("posting", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "low", "high", "root"))) for x in "ab")
-    # Classes of one component need no comparison, so a group of near copies gives no pairs here.
-    near = (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & (4 * F.col("high_a") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low_a"))
-    classes = left.join(right, "posting").where(near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    open_classes = classes
-    for c in "ab":
-        open_classes = open_classes.join(radius.select(F.col("cls").alias(c), F.col("radius").alias(f"radius_{c}")), c)
-    # Two classes can hold a link only if their centres are no further apart than both radii and 1/4.
-    centres = _verify(open_classes.select("a", "b", (F.col("radius_a") + F.col("radius_b") + 0.25 + SLACK).alias("within")), sets, "centres")
-    found = links.union(centres.where(is_link).select("a", "b"))
-    close = centres.where(~is_link).select("a", "b", distance.alias("between"))
-    for c in "ab":
-        close = close.join(radius.select(F.col("cls").alias(c), F.col("radius").alias(f"radius_{c}")), c)
-    close = tables.keep(close.where(F.col("between") <= F.col("radius_a") + F.col("radius_b") + 0.25 + SLACK).select("a", "b", "between"), "close")
-    if not close.head(1):
-        return found
-    roots = components.connected(found)
-    # Each member against the other centre: enough to join most classes, and it bounds the members' own distances.
-    member = lambda c, o: _apart(close, roots).join(members.where("set <> cls").select(F.col("cls").alias(c), F.col("set")), c).select(F.col("set").alias("a"), F.col(o).alias("b"))
-    cross = _verify(member("a", "b").union(member("b", "a")).distinct().withColumn("within", F.lit(1.0)), sets, "cross")
-    found = found.union(cross.where(is_link).select("a", "b"))
-    roots = components.connected(found)
-    reach = cross.select(F.col("a").alias("set"), F.col("b").alias("other"), distance.alias("to_other"))
-    far_listed = listed.select("posting", "set", "cls", "n", "far")
-    open_pairs = _apart(close, roots)
-    one = open_pairs.select("a", "b").join(far_listed.select(F.col("cls").alias("a"), "posting", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("far").alias("far_x")), "a")
-    one = one.join(reach.select(F.col("set").alias("x"), F.col("other").alias("b"), F.col("to_other").alias("reach_x")), ["x", "b"])
-    two = far_listed.select(F.col("cls").alias("b"), "posting", F.col("set").alias("y"), F.col("n").alias("ny"), F.col("far").alias("far_y"))
-    both = one.join(two, ["b", "posting"]).join(reach.select(F.col("set").alias("y"), F.col("other").alias("a"), F.col("to_other").alias("reach_y")), ["y", "a"])
-    limit = 0.25 + SLACK
-    can = (F.col("reach_x") - F.col("far_y") <= limit) & (F.col("reach_y") - F.col("far_x") <= limit) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
-    rest = _verify(_apart(both.where(can).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), roots), sets, "rest")
-    return found.union(rest.where(is_link).select("a", "b"))
+    for c in "ba":
+        pairs = pairs.join(open_sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"shingles_{c}")), c)
+    return pairs.select("a", "b", "n_a", "n_b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
+
+
+def _can_link(x: str, y: str) -> Column:
+    """Whether two entries of a list can be the first of enough common shingles: as many must be left in both sets."""
+    n = lambda side: F.col(f"n_{side}")
+    left = F.least(n(x) - F.col(f"at_{x}"), n(y) - F.col(f"at_{y}"))
+    return 7 * left >= 3 * (n(x) + n(y))
+
+
+def _side(lists: DataFrame, side: str) -> DataFrame:
+    return lists.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "at", "root")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+
+
+def _unsettled(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists (h, key, n, at) whose sets are in more than one component, with the root of each set's."""
+    if roots is None:
+        lists = lists.withColumn("root", F.col("key"))
+    else:
+        lists = lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = lists.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    return lists.join(mixed, "h", "left_semi")
+
+
+def _all_links(open_sets: DataFrame, boundary: int) -> DataFrame | None:
+    """node and root of the components of open sets with links; None where there is no link."""
+    posted = _posted(open_sets, boundary)
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+    for turn in range(ROUNDS + 1):
+        lists = tables.keep(_unsettled(posted, roots).select("h", "key", "n", "at", "root"), "lists")
+        if not lists.head(1):
+            break
+        posted = lists.drop("root")
+        if turn < ROUNDS:
+            # Lists with the same sets mostly have the same centre, so most pairs come up again and count once.
+            order = F.xxhash64("key", F.lit(turn))
+            centre = lists.groupBy("h").agg(F.min_by(F.struct("key", "n", "at", "root"), order).alias("c")).select("h", "c.*")
+        else:
+            # Two sets of different components can't both be in the component that has most of the list.
+            per_root = lists.groupBy("h", "root").agg(F.count("*").alias("c"))
+            most = per_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
+            centre = lists.join(most, "h").where("root <> most").drop("most")
+        met = _pairs(_side(lists, "x").join(_side(centre, "y"), "h").where((F.col("root_x") != F.col("root_y")) & _can_link("x", "y")))
+        if tested is not None:
+            met = met.join(tested, ["a", "b"], "left_anti")
+        pairs = tables.keep(met, "pairs")
+        found = tables.keep(_links(pairs, open_sets), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        if found.head(1):
+            links = found if links is None else links.union(found)
+            roots = components.connected(links)
+    return roots
 
 
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -412,50 +395,27 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     whole sequence of fewer words. Sets link where 100 * intersection >= 75 * union; component_id is the smallest
     doc_id reachable by links. A null or wordless text has an empty set, links with nothing and is its own component.
     Rows without an id link with nothing and have no component. Repeated rows share a component. Other columns of the
-    input aren't read. Sets are compared by 64-bit shingle hashes.
+    input aren't read. A text of any length is one set. Sets are compared by 64-bit shingle hashes (at least 54 bits
+    where tables are small). Rows of docs must come in the same order whenever they are read, as those of files do.
 
-    Equal sets count once from the first pass on, and hot groups are taken together within each task before anything
-    is shuffled. What moves are packed hashes: one pass counts in how many sets each shingle is, one posts prefixes,
-    one fetches the sets that have a candidate. Links are verified on whole sets. See the module for the method.
+    One pass reads the texts. Equal sets count once in each task, and a shingle of many sets of a slice (about 4 MB of
+    text) is sent once for all of them. What moves are packed hashes, each once; then only the sets that are still open.
+    See the module for the method.
     """
     spark = docs.sparkSession
     tables.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = tables.keep(_keyed(rows), "keyed")
-    rows = rows.where("doc_id is not null")
-    distinct = tables.keep(keyed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    bits = min(31, max(8, int(total >> 19).bit_length()))
-    frequency = tables.keep(_document_frequency(rows, bits), "frequency")
-    tables.release(spark)
-    n_heavy, light, squares = frequency.agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
-    sizes = distinct.where("n between 3 and 400").groupBy("n").count().collect()
-    boundary = subset_boundary([tuple(r) for r in sizes], (squares or 0) / max(light or 0, 1))
-    heavy = bloom.build(_longs(frequency.where("n > 0").select("heavy"), "h long", lambda x: [np.frombuffer(b"".join(v.as_py() for v in x.column(0)), "<i8")]), n_heavy or 0)
-    met = tables.keep(_post(rows, bits, heavy, boundary).groupBy("bucket", "apart").applyInArrow(_meet, "hot boolean, a long, b long, n long"), "met")
-    pairs = tables.keep(met.where("not hot").select("a", "b").distinct(), "pairs")
-    tables.release(spark)
-    hot = met.where("hot").select(F.col("a").alias("posting"), F.col("b").alias("set"), "n")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(hot.select("set")).distinct().join(distinct, "key")
-    sets = tables.keep(_fetch_sets(rows, wanted), "sets")
-
-    # One candidate of each set first: what those links join needs no further comparison.
-    centres = hot.groupBy("posting").agg(F.min("set").alias("a"))
-    shared = hot.join(centres, "posting").where("a <> set").groupBy("set", "a").agg(F.count("*").alias("c"))
-    hot_stars = shared.groupBy(F.col("set").alias("b")).agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-    stars = _verify(hot_stars.select("a", "b").union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), sets, "stars")
-    is_link = linked(F.col("common"), F.col("na"), F.col("nb"))
-    links = stars.where(is_link).select("a", "b")
-    roots = components.connected(links)
-    rest = _verify(_apart(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), roots), sets, "rest")
-    links = links.union(rest.where(is_link).select("a", "b"))
-    if hot.head(1):
-        links = _class_links(hot, stars.join(hot_stars, ["a", "b"], "left_semi"), sets, links, roots)
-    roots = components.connected(links)
-
-    labelled = distinct.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_key = labelled.join(smallest, "root").select("key", "component_id")
+    sets = tables.keep(shingled(rows), "sets")
+    open_sets = tables.keep(sets.where("shingles is not null").drop("doc_id").dropDuplicates(["key"]), "open")
+    roots = _all_links(open_sets, _boundary(open_sets))
+    keyed = sets.select("doc_id", "n", "key")
+    distinct = keyed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    if roots is None:
+        of_key = distinct.select("key", F.col("rep").alias("component_id"))
+    else:
+        labelled = distinct.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+        smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+        of_key = labelled.join(smallest, "root").select("key", "component_id")
     out = keyed.join(of_key, "key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

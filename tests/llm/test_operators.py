@@ -210,8 +210,6 @@ def test_sets_of_three_link_with_sets_of_four(spark):
     texts += [" ".join(base), *(" ".join([*base, word()]) for _ in range(50))]
     rnd.shuffle(texts)
     want = _components(list(enumerate(texts)))
-    sizes = [(n, sum(x == n for x, _ in want.values())) for n in (3, 4)]
-    assert jaccard.subset_boundary(sizes, 1.0) > 3
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)).collect()}
     assert got == want
 
@@ -225,13 +223,59 @@ def test_near_copies_of_empty_tables_and_repeats(spark):
     assert kept.columns == ["doc_id", "text", "key"] and kept.count() == 4
 
 
-def test_sketches_bound_differences():
-    rng = np.random.default_rng(5)
-    for n in (3, 50, 3000):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64))))
-        x, y = (np.frombuffer(jaccard.sketch(v), np.uint8) for v in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+@pytest.mark.parametrize("boundary", [3, 4, 20, 400])
+def test_sets_of_all_small_sizes_link_at_any_boundary(spark, monkeypatch, boundary):
+    """Texts that grow by a word, at either end, up to 16 words; and long ones with few or many changed words."""
+    monkeypatch.setattr(jaccard, "_boundary", lambda _: boundary)
+    rnd = random.Random(boundary)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(16)]
+        texts += [" ".join(base[:k]) for k in range(1, 17, rnd.choice((1, 2, 3)))] + [" ".join(base[k:]) for k in range(0, 12, rnd.choice((1, 3)))]
+    long = [word() for _ in range(400)]
+    for changes in (1, 2, 5, 8, 9, 10, 11, 12, 15, 30):
+        for _ in range(8):
+            other = list(long)
+            for at in rnd.sample(range(400), changes):
+                other[at] = word()
+            texts.append(" ".join(other[: rnd.choice((400, 400, 330, 300))]))
+    rnd.shuffle(texts)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == _components(list(enumerate(texts)))
+
+
+def test_shingles_of_many_sets_in_a_slice_and_across_slices(spark, monkeypatch):
+    """Texts of passages that dozens of texts share, in one slice and in slices of a few texts."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    texts = []
+    for _ in range(250):
+        own = " ".join(word() for _ in range(rnd.choice((0, 3, 8, 20))))
+        texts.append(" ".join([*rnd.sample(passages, rnd.choice((1, 2, 3, 4))), own]))
+    want = _components(list(enumerate(texts)))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    for rows in (jaccard.SLICE_ROWS, 7):
+        monkeypatch.setattr(jaccard, "SLICE_ROWS", rows)
+        monkeypatch.setattr(jaccard, "PART_BYTES", 4 * rows * 400)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+        assert got == want
+
+
+def test_a_text_of_300000_words_is_one_set(spark):
+    rnd = random.Random(4)
+    words = [f"{rnd.getrandbits(40):x}" for _ in range(300_000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[:200_000])), (4, "short text")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: (299_996, 1), 2: (289_996, 1), 3: (199_996, 3), 4: (1, 4)}
+
+
+def test_the_boundary_has_the_least_cost():
+    assert jaccard.subset_boundary([]) == 3
+    assert jaccard.subset_boundary([(8, 5.0, 100.0), (20, 1.0, 30.0), (1000, 1e6, 10.0)]) == 20
+    assert jaccard.subset_boundary([(8, 500.0, 1.0), (20, 1.0, 30.0), (1000, 1e6, 10.0)]) == 3
 
 
 def test_components_of_paths_and_stars(spark):
