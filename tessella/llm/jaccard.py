@@ -33,7 +33,7 @@ PART_BYTES, SLICE_SHINGLES, SLICE_ROWS = 512 << 10, 600_000, 50_000
 #: Sets of a slice that hold one shingle, from which on the slice sends their number alone.
 MANY = 16
 #: About how many shingles a bucket has.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 #: Rounds with centres before all pairs that are left are compared.
 ROUNDS = 2
 _COUNT_ONLY = 0xFFFF
@@ -236,7 +236,8 @@ def _gathered(table: pa.Table) -> pa.Table:
     per = np.bincount(x, minlength=len(own))
     place = np.arange(len(x)) - (np.cumsum(per) - per)[x]
     in_prefix = place < posts[x]
-    meets = np.bincount(x[place < posts[x] - 1], weights=np.exp2(level[place < posts[x] - 1]), minlength=len(own))
+    single = place < posts[x] - 1
+    meets = np.bincount(x[single], weights=np.minimum(np.exp2(level[single]), ROUNDS + 1), minlength=len(own))
     by_hash = h[np.lexsort((h, x))]
     prefix = _packed(h[in_prefix], np.bincount(x[in_prefix], minlength=len(own)), 8)
     row = np.full(len(n), -1)
@@ -250,7 +251,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     """doc_id, n and key of each document's set, in one pass over the texts (doc_id long, text string).
 
     Where the set is the first of its kind in its task and still open: alone (its shingles that no other set holds),
-    meets (about how many entries its prefix meets), prefix (its shared shingles there, rarest first), and shingles
+    meets (how many centres the entries of its prefix meet, at most), prefix (its shared shingles there, rarest first), and shingles
     (all that are shared, sorted)."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(6, int(n_bytes / 7 / BUCKET).bit_length()))
@@ -273,9 +274,11 @@ def subset_boundary(classes: list[tuple[int, float, float]]) -> int:
 
 
 def _boundary(open_sets: DataFrame) -> int:
-    """Sets are taken together by quarter powers of two of their sizes, so a few hundred classes come to the driver."""
+    """A pair costs its posting and one like it; an entry of a list its posting and the centres that it meets.
+
+    Sets are taken together by quarter powers of two of their sizes, so a few hundred classes come to the driver."""
     q = F.length("prefix") / 8
-    by_class = open_sets.groupBy(F.floor(4 * F.log2("n")).alias("k")).agg(F.max("n"), F.sum(q * (q - 1) / 2), F.sum(q + F.col("meets")))
+    by_class = open_sets.groupBy(F.floor(4 * F.log2("n")).alias("k")).agg(F.max("n"), F.sum(q * (q - 1)), F.sum(q + F.col("meets")))
     return subset_boundary([(r[1], float(r[2]), float(r[3])) for r in by_class.collect()])
 
 
