@@ -112,20 +112,25 @@ def _pieces(docs: DataFrame, path: str, text_col: str, id_col: str, window: int,
     tables.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokens.encoder(path), TaskContext.get().partitionId()
-        ranks, end = np.zeros(window + 1, np.int64), np.array([end_id], "<u2").tobytes()
+        part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = [len(x) if x else 0 for x in texts.to_pylist()]
-            for a, b in tokens.batches_by_bytes(sizes):
-                rows: list[tuple] = []
-                for i, raw in zip(ids[a:b], encode(texts.slice(a, b - a).to_pylist())):
-                    all_ids = np.frombuffer(raw + end, "<u2").astype("<u4")
-                    for start in range(0, len(all_ids), window):
-                        piece = all_ids[start : start + window]
-                        rows.append((i, len(all_ids), part, start, len(piece), zlib.crc32(piece.tobytes()), int(ranks[len(piece)])))
-                        ranks[len(piece)] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for a, b, flat, sizes in tokens.encode_slices(batch.column(1), path):
+                flat, sizes = tokens.with_end(flat, sizes, end_id)
+                pieces = -(-sizes // window)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                start = (np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]) * window
+                length = np.minimum(window, sizes[doc] - start)
+                ends = np.cumsum(length).tolist()
+                raw = memoryview(flat.astype("<u4")).cast("B")
+                sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip([0, *ends], ends)]
+                order = np.argsort(length, kind="stable")
+                per = np.bincount(length, minlength=window + 1)
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - (np.cumsum(per) - per)[length[order]]
+                rank += seen[length]
+                seen += per
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), sizes[doc], np.full(len(doc), part), start, length, sums, rank]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = _COUNTED.format(kind=kind)

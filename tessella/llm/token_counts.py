@@ -24,13 +24,11 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     tables.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path, counts=True)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
-            for start, end in tokens.batches_by_bytes(n_bytes.to_pylist()):
-                n = pa.array(encode(texts.slice(start, end - start).to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), n_bytes.slice(start, end - start), n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            n_bytes = pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())
+            for a, b, _, sizes in tokens.encode_slices(batch.column(1), path, counts=True):
+                n = pa.array(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n_bytes.slice(a, b - a), n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")

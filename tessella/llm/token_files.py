@@ -153,38 +153,38 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text
 
     The folder holds Parquet files with columns part, file_no, n_ids, image; (part, file_no) is the order of the
     images. Texts are dealt to tasks by ranges of ids and sorted there, so tasks and their images follow one another
-    without a global sort in one place. An image covers at most FILE_IDS ids and the document that passes that bound.
-    Null texts are empty (the end id alone); null ids come first; equal ids are ordered by text. ids are integers.
+    without a global sort in one place. An image ends with the batch of documents (about a megabyte of text, or one
+    longer text) that brings it to FILE_IDS ids. Null texts are empty (the end id alone); null ids come first; equal ids
+    are ordered by a hash of their texts. ids are integers. An empty table gives no images. Other columns aren't read.
     """
 
     tables.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, end = tokens.encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes()
-        held: list[tuple[int | None, bytes]] = []
-        n, number = 0, 0
+        part = TaskContext.get().partitionId()
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        n = number = 0
 
         def image() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(x for _, x in held), "<u2")
-            null = np.array([i is None for i, _ in held])
-            data = encode_image(np.array([i or 0 for i, _ in held], np.int64), null, np.array([len(x) // 2 for _, x in held]), raw)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([data], pa.binary())], ["part", "file_no", "n_ids", "image"])
+            doc_ids, flat, sizes = zip(*held)
+            doc_ids = pa.concat_arrays(doc_ids)
+            data = encode_image(doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), np.concatenate(sizes), np.concatenate(flat))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "file_no", "n_ids", "image"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in tokens.batches_by_bytes([len(x) if x else 0 for x in texts.to_pylist()]):
-                for i, raw in zip(ids[a:b], encode(texts.slice(a, b - a).to_pylist())):
-                    held.append((i, raw + end))
-                    n += len(raw) // 2 + 1
-                    if n >= FILE_IDS:
-                        yield image()
-                        held, n, number = [], 0, number + 1
+            for a, b, flat, sizes in tokens.encode_slices(batch.column(1), path):
+                held.append((batch.column(0).slice(a, b - a), *tokens.with_end(flat, sizes, end_id)))
+                n += len(held[-1][1])
+                if n >= FILE_IDS:
+                    yield image()
+                    held, n, number = [], 0, number + 1
         if held:
             yield image()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part long, file_no long, n_ids long, image binary").write.option("compression", "none").parquet(folder)
+    # Rows of one id, or without any, can be dealt to several tasks, since their order is that of their texts' hashes.
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, "part long, file_no long, n_ids long, image binary").write.option("compression", "none").parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,12 +47,19 @@ def test_counts_are_those_of_the_library(docs, encode):
     assert got == sorted(want)
 
 
-def test_parts_encode_like_whole_texts(encode):
+@pytest.mark.parametrize("slots,kept_long,batch", [(1 << 20, 20_000, 1 << 20), (1 << 10, 3, 500)])
+def test_parts_encode_like_whole_texts(encode, monkeypatch, slots, kept_long, batch):
+    """With room for all parts, and with so little that most are forgotten at once."""
+    for name, value in (("SLOTS", slots), ("KEPT_LONG", kept_long), ("BATCH_BYTES", batch), ("_ENCODERS", {})):
+        monkeypatch.setattr(tokens, name, value)
     rnd = random.Random(3)
-    pieces = [" ", "  ", "\n", "\t", "a", "the", " the", "'s", ".", ",", "12", "é", "<|endoftext|>", "\x1c", " ", "\0"]
-    part = tokens.PartEncoder(PATH)
-    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in part(texts)] == [encode(t) for t in texts]
+    pieces = [" ", "  ", "\n", "\t", "a", "the", " the", "'s", ".", ",", "12", "é", "à ", "<|endoftext|>", "\x1c", "\u00a0", "\u0085 ", "\u2003", "\u3000 ", "\0", "fifteen_letters", "sixteen__letters"]
+    texts = [*TEXTS, *("".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(3000)), *(" ".join(f"{rnd.getrandbits(20):x}" for _ in range(5)) for _ in range(1500))]
+    want = [encode(x) for x in texts]
+    for _ in range(2):
+        found = list(tokens.encode_slices(pa.array(texts), PATH))
+        assert [x.tolist() for _, _, ids, sizes in found for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert [n for *_, sizes in tokens.encode_slices(pa.array(texts), PATH, counts=True) for n in sizes.tolist()] == [len(x) for x in want]
 
 
 def test_token_files_round_trip(spark, docs, encode, tmp_path):
