@@ -10,30 +10,72 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tables, text
 
-#: Words of a fingerprint, fingerprints of a winnowing window, and how far an alignment may leave its diagonal.
-GRAM, WINNOW, BAND = 3, 2, 8
-#: Share of a template's words that a match must hold.
+#: Words of a fingerprint, and fingerprints of a winnowing window for notices and for whole texts.
+GRAM, WINNOW_NOTICE, WINNOW_TEXT = 3, 2, 6
+#: How many words an alignment may leave its diagonal.
+BAND = 12
+#: Share of a template's words that a match must hold; it may hold as many other words as it may lack.
 COVERAGE = 0.75
 
-#: Short notices by which licenses are named in texts, (license, notice).
-TEMPLATES = (
+#: Notices and headers by which licenses are named, (license, words). The numbers and variant names in
+#: them tell licenses apart, so a match must have exactly those.
+NOTICES = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: The names that tell variants of a license apart, beside numbers.
+VARIANTS = ("affero", "lesser", "library", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: License texts, and for the longest licenses the sections that say what is granted, (license, words).
+TEXTS = (
+    ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("Apache-2.0", "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted."),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+)
+TEMPLATES = (*((name, body, True) for name, body in NOTICES), *((name, body, False) for name, body in TEXTS))
 
 
-def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
+def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the smallest hash of each window, the last of equal ones."""
     if len(hashes) <= window:
         return np.flatnonzero(hashes == hashes.min())[-1:] if len(hashes) else np.zeros(0, np.int64)
@@ -41,55 +83,79 @@ def winnow(hashes: np.ndarray, window: int = WINNOW) -> np.ndarray:
     return np.unique(np.arange(len(runs)) + window - 1 - runs[:, ::-1].argmin(1))
 
 
+def _hashed(body: str) -> tuple[np.ndarray, list[bytes]]:
+    """The hashes of a text's words, and the words."""
+    (_, _, data, offsets), *_ = [*text.slices(pa.array([body], pa.large_string()), 1 << 40)]
+    starts, ends, _ = text.words(data, offsets, text.ALPHANUMERIC)
+    return text.span_hashes(data, starts, ends), [data[s:e].tobytes() for s, e in zip(starts, ends)]
+
+
 class Templates:
-    """Word hashes of all templates and an inverted index of their winnowed fingerprints."""
+    """Word hashes of all templates and an inverted index of their winnowed fingerprints.
 
-    def __init__(self, templates: list[tuple[str, str]]) -> None:
-        self.names, self.words = [], []
+    templates: (license, words, whether the numbers and variant names of a match must be those of the template)."""
+
+    def __init__(self, templates: list[tuple[str, str, bool]]) -> None:
+        self.names: list[str] = []
+        self.words: list[np.ndarray] = []
+        self.strict: list[np.ndarray | None] = []
         index: dict[int, list[tuple[int, int]]] = {}
-        for name, body in templates:
-            (_, _, data, offsets), *_ = [*text.slices(pa.array([body], pa.large_string()), 1 << 40)]
-            starts, ends, _ = text.words(data, offsets, text.ALPHANUMERIC)
-            h = text.span_hashes(data, starts, ends)
+        for name, body, strict in templates:
+            h, words = _hashed(body)
             if len(h) < GRAM:
                 raise ValueError(f"a template needs {GRAM} words: {body!r}")
             grams = text.windows(h, GRAM)
-            for at in winnow(grams).tolist():
+            for at in winnow(grams, WINNOW_NOTICE if strict else WINNOW_TEXT).tolist():
                 index.setdefault(int(grams[at]), []).append((len(self.names), at))
             self.names.append(name)
-            self.words.append(h.tolist())
+            self.words.append(h)
+            self.strict.append(np.array([x[:1].isdigit() or x.lower().decode() in VARIANTS for x in words]) if strict else None)
         self.index = index
+        self.telling = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h[w] for h, w in zip(self.words, self.strict) if w is not None), _hashed(" ".join([*VARIANTS, *map(str, range(10))]))[0]]))
         self.likely = np.zeros(1 << 16, bool)
         self.likely[[x & 0xFFFF for x in index]] = True
 
+    def says(self, k: int, span: np.ndarray) -> bool:
+        """Whether the telling words of a span are those of the template, in order."""
+        if self.strict[k] is None:
+            return True
+        return np.array_equal(span[np.isin(span, self.telling)], self.words[k][self.strict[k]])
+
 
-def align(template: list[int], words: list[int], at: int) -> tuple[int, int, int]:
-    """Best banded alignment of a whole template with words near the diagonal that starts at `at`.
+def align(template: np.ndarray, words: np.ndarray, at: int, band: int = BAND) -> tuple[int, int, int]:
+    """Best banded alignment of a whole template with words near the diagonal that starts at word `at`.
 
-    Returns matched words, and the first and end word of the match; of equal ones the shortest, then the first.
+    Returns how many words match in order, and the first and end word of the match; of equal ones the shortest, then
+    the last. Row by row; a cell holds in one number the matches so far, what their span lacks to the limit, and the
+    first of them, so that the largest is the best.
     """
-    n = len(template)
-    low = max(0, at - BAND)
-    # Cell (i, j): matches so far, start of the match; a skip on either side costs nothing but stays in the band.
-    before: dict[int, tuple[int, int, int]] = {j: (0, 0, 0) for j in range(low, min(len(words), at + BAND) + 1)}
-    for i in range(1, n + 1):
-        now: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, at + i - BAND), min(len(words), at + i + BAND) + 1):
-            options = [x for x in (before.get(j), now.get(j - 1)) if x]
-            if j and j - 1 in before and template[i - 1] == words[j - 1]:
-                count, start, _ = before[j - 1]
-                options.append((count + 1, start if count else j - 1, j))
-            if options:
-                now[j] = max(options, key=lambda x: (x[0], x[1] - x[2]))
-        before = now
-    count, start, end = max(before.values(), key=lambda x: (x[0], x[1] - x[2], -x[1]), default=(0, 0, 0))
-    return count, start, end
+    n, width = len(template), 2 * band + 1
+    if not len(words):
+        return 0, 0, 0
+    # Column c of row i is word at - band + i + c; words outside match nothing.
+    low, last, most = at - band, len(words), (1 << 20) - 1
+    best = np.zeros(width, np.int64)
+    for i in range(n):
+        place = i + np.arange(width)
+        word = low + place
+        same = (word >= 0) & (word < last)
+        same &= words[np.clip(word, 0, last - 1)] == template[i]
+        # The cell before, for a match: the word before in the row before, which stands in the same column there.
+        count = best >> 40
+        start = np.where(count > 0, best & most, place)
+        grown = ((count + 1) << 40) | ((most - (place - start)) << 20) | start
+        skipped = np.append(best[1:], best[-1])
+        best = np.maximum.accumulate(np.where(same, np.maximum(grown, skipped), skipped))
+    top = int(best.max())
+    if not top >> 40:
+        return 0, 0, 0
+    start, span = top & most, most - (top >> 20 & most)
+    return top >> 40, low + start, low + start + span + 1
 
 
 def find_licenses(templates: Templates, hashes: np.ndarray, grams: np.ndarray, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
     """(license, first word, end word, coverage) of one text; of overlapping matches the one with most words."""
     found = []
-    words: list[int] | None = None
     tried: set[tuple[int, int]] = set()
     for at in np.flatnonzero(templates.likely[(grams & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
         for k, place in templates.index.get(int(grams[at]), ()):
@@ -97,12 +163,10 @@ def find_licenses(templates: Templates, hashes: np.ndarray, grams: np.ndarray, c
             if any((k, d) in tried for d in range(diagonal - 1, diagonal + 2)):
                 continue
             tried.add((k, diagonal))
-            words = hashes.tolist() if words is None else words
-            base = max(0, diagonal - BAND)
-            count, start, end = align(templates.words[k], words[base : diagonal + len(templates.words[k]) + BAND + 1], diagonal - base)
-            share = count / len(templates.words[k])
-            if share >= coverage:
-                found.append((count, share, templates.names[k], base + start, base + end))
+            words = templates.words[k]
+            count, start, end = align(words, hashes, diagonal)
+            if count >= coverage * len(words) and end - start - count <= (1 - coverage) * len(words) and templates.says(k, hashes[start:end]):
+                found.append((count, count / len(words), templates.names[k], start, end))
     out: list[tuple[str, int, int, float]] = []
     for count, share, name, start, end in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2])):
         if not any(s < end and start < e for _, s, e, _ in out):
@@ -110,7 +174,7 @@ def find_licenses(templates: Templates, hashes: np.ndarray, grams: np.ndarray, c
     return sorted(out, key=lambda x: x[1])
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | tuple = TEMPLATES, text_col: str = "text", id_col: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, bool]] | tuple = TEMPLATES, text_col: str = "text", id_col: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """License notices of each whole text: id_col, n_matches, licenses (distinct, sorted), coverage (the best, 4
     places; 0 without a match) and matches (license, start, end in code points, coverage).
 

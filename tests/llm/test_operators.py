@@ -344,6 +344,46 @@ def test_licenses(spark):
     assert "é Licensed under the Apache License, Version 2.0. And more"[match.start : match.end] == "Licensed under the Apache License, Version 2.0"
 
 
+def test_license_texts_and_headers(spark):
+    named = dict(licenses.TEXTS)
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [
+        (1, "x " * 50 + named["MIT"] + " y" * 50, ["MIT"]), (2, named["BSD-3-Clause"], ["BSD-3-Clause"]), (3, named["BSD-2-Clause"].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in"), ["BSD-2-Clause"]),
+        (4, header.format("", 3), ["GPL-3.0"]), (5, header.format("Affero ", 3), ["AGPL-3.0"]), (6, header.format("", 1), []), (7, header.format("Lesser ", 3), []),
+        (8, "This work is licensed under the GNU General Public License, version 1.", []), (9, "Licensed under CC BY-NC-SA 4.0.", []), (10, named["ISC"].replace("software", "program and software").replace("fee", "a fee"), ["ISC"]),
+        (11, " ".join(named["MIT"].split()[:15]), []), (12, "word " * 60_000 + named["Zlib"], ["Zlib"]), (13, named["ISC"] + " " + named["Unlicense"] + " " + named["ISC"], ["ISC", "Unlicense"]),
+    ]
+    docs = spark.createDataFrame([(i, t, 1) for i, t, _ in texts], "doc_id long, text string, matches int")
+    assert {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()} == {i: want for i, _, want in texts}
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_alignment_finds_the_longest_common_words_of_the_band():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        template, words = rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 6, rng.integers(0, 20)).astype(np.uint64)
+        at, band = int(rng.integers(-3, 12)), int(rng.integers(0, 5))
+        best: dict[tuple[int, int], tuple] = {}
+
+        def longest(i, j):
+            """(matches, -span, start) of template[:i] and words up to place j of the band, place by place."""
+            if i == 0 or j < at - band:
+                return (0, 0, 0)
+            j = min(j, at - band + i - 1 + 2 * band)
+            if (i, j) not in best:
+                options = [longest(i - 1, j), longest(i, j - 1)] if j >= at - band + i - 1 else [longest(i - 1, j)]
+                if at - band + i - 1 <= j and 0 <= j < len(words) and words[j] == template[i - 1]:
+                    count, _, start = longest(i - 1, j - 1)
+                    start = start if count else j
+                    options.append((count + 1, start - j, start))
+                best[i, j] = max(options)
+            return best[i, j]
+
+        count, span, start = longest(len(template), 10_000)
+        got = licenses.align(template, words, at, band)
+        assert got[0] == count and (not count or got[1:] == (start, start - span + 1))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.integers(-3, 4, 8) / 8]) for k in range(300)] + [(900, None), (901, [None] * 8), (902, [math.inf] + [0.0] * 7), (None, [0.0] * 8), (20, [0.5] * 3)]
