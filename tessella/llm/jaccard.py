@@ -12,8 +12,9 @@ and what is known of those that more sets hold goes back to the slice of documen
 open have their shingles kept; the others' can't be in common with anything.
 
 Candidates are not all pairs of a list. Each list first has one centre, which all its sets are compared with; sets that
-this joins need no comparison with each other. After a few rounds with other centres, only pairs from different
-components are left to compare, and all of them are.
+this joins need no comparison with each other. Then those outside the list's largest component are compared with a few
+centres inside and a few outside of it. After such rounds, only pairs from different components are left to compare, and
+all of them are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from . import components, tables, text
 
@@ -34,8 +36,9 @@ PART_BYTES, SLICE_SHINGLES, SLICE_ROWS = 512 << 10, 600_000, 50_000
 MANY = 16
 #: About how many shingles a bucket has.
 BUCKET = 1 << 18
-#: Rounds with centres before all pairs that are left are compared.
-ROUNDS = 2
+#: Rounds with centres before all pairs that are left are compared, and centres of a list inside and outside of its
+#: largest component from the second round on.
+ROUNDS, CENTRES = 3, 3
 _COUNT_ONLY = 0xFFFF
 
 
@@ -370,16 +373,23 @@ def _all_links(open_sets: DataFrame, boundary: int) -> DataFrame | None:
         if not lists.head(1):
             break
         posted = lists.drop("root")
-        if turn < ROUNDS:
-            # Lists with the same sets mostly have the same centre, so most pairs come up again and count once.
-            order = F.xxhash64("key", F.lit(turn))
-            centre = lists.groupBy("h").agg(F.min_by(F.struct("key", "n", "at", "root"), order).alias("c")).select("h", "c.*")
+        # Lists with the same sets mostly have the same centres, so most pairs come up again and count once.
+        order = F.xxhash64("key", F.lit(turn))
+        if turn == 0:
+            some = lists
+            centres = lists.groupBy("h").agg(F.min_by(F.struct("key", "n", "at", "root"), order).alias("c")).select("h", "c.*")
         else:
-            # Two sets of different components can't both be in the component that has most of the list.
+            # Two sets of different components can't both be in the one that has most of the list.
             per_root = lists.groupBy("h", "root").agg(F.count("*").alias("c"))
             most = per_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
-            centre = lists.join(most, "h").where("root <> most").drop("most")
-        met = _pairs(_side(lists, "x").join(_side(centre, "y"), "h").where((F.col("root_x") != F.col("root_y")) & _can_link("x", "y")))
+            centres = lists.join(most, "h").withColumn("inside", F.col("root") == F.col("most"))
+            some = centres.where("not inside")
+            if turn < ROUNDS:
+                # An entry early in its set's order can link with most others; chance makes rounds differ.
+                early = F.col("at") / F.col("n") + F.pmod(order, F.lit(1000)) / 30_000
+                rank = F.row_number().over(Window.partitionBy("h", "inside").orderBy(early, "key"))
+                centres = centres.withColumn("rank", rank).where(F.col("rank") <= CENTRES)
+        met = _pairs(_side(some, "x").join(_side(centres, "y"), "h").where((F.col("root_x") != F.col("root_y")) & _can_link("x", "y")))
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         pairs = tables.keep(met, "pairs")
