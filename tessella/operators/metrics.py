@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.cells import form
+
 _OUTCOMES = ["exact", "normalised", "missing_correct", "missing_incorrect", "false_positive"]
 
 
 def scored_fields(fields: DataFrame, truth: DataFrame) -> DataFrame:
     """row_number, column, role, predicted, expected, outcome. fields: row_number, column, role, canonical_value; truth:
-    a column per expected field and row_number. Fields are held against the truth of their column, else their role."""
+    a column per expected field and row_number. Fields are held against the truth of their column, else their role. Values
+    are exact where they agree but for case and outer spaces, and normalised where their comparison forms (words of
+    letters and digits, at least one) do. A null on both sides is rightly missing."""
     names = [c for c in truth.columns if c != "row_number"]
     known = truth.select("row_number", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(c).cast("string") for c in names))).alias("_truth"))
     f = fields.join(known, "row_number")
     key = F.when(F.array_contains(F.map_keys("_truth"), F.col("column")), F.col("column")).when(F.array_contains(F.map_keys("_truth"), F.col("role")), F.col("role"))
     f = f.withColumn("_key", key).withColumn("expected", F.col("_truth")[F.col("_key")]).withColumn("predicted", F.col("canonical_value"))
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    folded = lambda c: F.lower(F.trim(c))
     p, e = F.col("predicted"), F.col("expected")
-    outcome = F.when(F.col("_key").isNull(), "not_evaluated").when(p.isNull() & e.isNull(), "missing_correct").when(p.isNull(), "missing_incorrect").when(e.isNull(), "false_positive").when(F.trim(p) == F.trim(e), "exact").when(plain(p) == plain(e), "normalised").otherwise("false_positive")
+    outcome = F.when(F.col("_key").isNull(), "not_evaluated").when(p.isNull() & e.isNull(), "missing_correct").when(p.isNull(), "missing_incorrect").when(e.isNull(), "false_positive").when(folded(p) == folded(e), "exact").when((form(p) == form(e)) & (form(p) != ""), "normalised").otherwise("false_positive")
     return f.select("row_number", F.coalesce("_key", "column").alias("column"), "role", "predicted", "expected", outcome.alias("outcome"))
 
 
@@ -50,10 +54,17 @@ def evaluation_summary(scored: DataFrame) -> DataFrame:
         F.round(F.count_if(F.col("outcome").isin("exact", "normalised")) / F.count("*"), 4).alias("normalised_rate"),
         F.round(F.count_if(F.col("outcome") == "missing_correct") / F.greatest(F.count_if(F.col("outcome").isin("missing_correct", "missing_incorrect")), F.lit(1)), 4).alias("missing_detection_rate"),
     )
-    r = row_metrics(scored).agg(F.count("*").alias("rows"), F.round(F.count_if("complete") / F.count("*"), 4).alias("complete_row_rate"))
+    r = row_metrics(scored).agg(F.count("*").alias("rows"), F.round(F.count_if("complete") / F.count("*"), 4).alias("complete_row_rate"), F.round(F.avg("accuracy"), 4).alias("average_row_accuracy"))
     return f.crossJoin(r)
 
 
+def mismatches(scored: DataFrame) -> DataFrame:
+    """row_number, column, expected, predicted, kind: the fields that count against a row (a value where none is expected, none
+    where one is, or another one)."""
+    kind = F.when(F.col("predicted").isNull(), "missing_incorrect").when(F.col("expected").isNull(), "false_positive").otherwise("mismatch")
+    return scored.where(F.col("outcome").isin("missing_incorrect", "false_positive")).select("row_number", "column", "expected", "predicted", kind.alias("kind"))
+
+
 def eval_join(fields: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: predicted rows, rows with truth and rows without. Truth for absent rows is ignored."""
     p = fields.select("row_number").distinct().join(truth.select("row_number", F.lit(True).alias("_t")).distinct(), "row_number", "left")

@@ -54,9 +54,13 @@ def product_summary(versions: DataFrame) -> DataFrame:
 
 
 def product_hash(versions: DataFrame) -> DataFrame:
-    """product_id and a hash of all its attributes, without the time when they were captured."""
-    row = F.struct("version_id", "name", "value", "unit", "status")
-    return versions.groupBy("product_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(row))), 256).alias("content_hash"))
+    """product_id and a hash of all its attributes, in any order, without the time when they were captured.
+
+    Attributes are hashed first; their number and the sums of two hashes are combined before the shuffle, so a product
+    with any number of attributes moves as one row a task."""
+    row = F.to_json(F.struct("version_id", "name", "value", "unit", "status"), {"ignoreNullFields": "false"})
+    sums = (F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")).cast("string") for k in (1, 2))
+    return versions.groupBy("product_id").agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("content_hash"))
 
 
 def dedupe_import(products: DataFrame, processed: DataFrame) -> DataFrame:

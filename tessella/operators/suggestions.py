@@ -10,7 +10,7 @@ from .taxonomy import is_unresolved
 
 def allowed_paths() -> list[str]:
     """All class paths that the rules can give, and the generic one."""
-    paths = [f"{path} > {leaf}" for _, path, leaves, default in V.TAXONOMY for leaf in [*(x[2] for x in leaves), default]]
+    paths = [f"{path} > {leaf}" for _, path, leaves, default, *_ in V.TAXONOMY for leaf in [*(x[2] for x in leaves), default]]
     return [*dict.fromkeys(paths), V.GENERIC_PATH]
 
 

@@ -109,11 +109,12 @@ def _part_number(enriched: DataFrame) -> Column:
 
 
 def validate_batch(enriched: DataFrame, *by: str) -> DataFrame:
-    """enriched with issues, completeness and can_auto_approve. by: columns that make a batch."""
+    """enriched with issues, completeness and can_auto_approve. by: columns that make a batch. Rows of one number in a batch
+    stay as many as they are, and share the issue of a repeated part number."""
     required = required_roles(value_of("fields", "category"))
     rules = [v_required("fields", F.col("_required")), v_description("fields"), v_lov("fields"), v_low_confidence("fields"), v_char_limit("fields"), v_material_pressure("fields"), v_size_without_uom("fields")]
     own = enriched.withColumn("_required", required).withColumn("_own", F.concat(*rules)).withColumn("completeness", completeness("fields", F.col("_required"))).withColumn("can_auto_approve", auto_approve("fields", "overall_confidence", "_own"))
-    again = duplicate_part_numbers(enriched, _part_number(enriched), *by).select(*by, "row_number", F.lit(True).alias("_again"))
+    again = duplicate_part_numbers(enriched, _part_number(enriched), *by).select(*by, "row_number").distinct().withColumn("_again", F.lit(True))
     joined = own.join(again, [*by, "row_number"], "left")
     issues = F.when(F.col("_again"), F.concat("_own", F.array(_issue("DUPLICATE_PART_NUMBER", "warning", "part_number")))).otherwise(F.col("_own"))
     return joined.withColumn("issues", issues).drop("_required", "_own", "_again")

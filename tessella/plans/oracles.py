@@ -62,12 +62,11 @@ def _cases(x: str, rules: list[tuple[str, str]], default: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN {test.format(x=x)} THEN {_q(v)}" for test, v in rules) + f" ELSE {default} END"
 
 
-def _words(text: str, words: list[str], hyphen: list[str]) -> str:
+def _words(text: str, words: list[str]) -> str:
     import re
 
-    quote = lambda ws: "|".join(re.escape(w).replace("\\ ", " ") for w in ws)
-    parts = [f"(?:^|[^A-Za-z0-9{d}])(?:{quote(ws)})(?:s|es|ing|ed)?(?:[^A-Za-z0-9]|$)" for ws, d in (([w for w in words if w not in hyphen], ""), ([w for w in words if w in hyphen], "-")) if ws]
-    return f"regexp_matches({text}, {_q('|'.join(parts))})"
+    one = (f"(?:^|[^{V.KEYWORD_BORDERS.get(w, 'A-Za-z0-9')}])" + re.escape(w).replace("\\ ", " ") for w in words)
+    return f"regexp_matches({text}, {_q('(?:' + '|'.join(one) + ')(?:s|es|ing|ed)?(?:[^A-Za-z0-9]|$)')})"
 
 
 def _look(where: str, text: str) -> str:
@@ -77,9 +76,9 @@ def _look(where: str, text: str) -> str:
 def _taxonomy() -> str:
     rows = []
     for text in ("d", "m"):
-        for (words, path, leaves, default), (dept, cls, own) in zip(V.TAXONOMY, V.DEPARTMENTS):
+        for words, path, leaves, default, dept, cls, own in V.TAXONOMY:
             leaf = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({_look(where, text)}, {_q(p)})' for p in parts)} THEN {_q(name)}" for where, parts, name in leaves) + f" ELSE {_q(default)} END" if leaves else _q(default)
-            rows.append((_words(text, words, V.HYPHEN_BLOCKED), _q(dept), _q(cls), _q(own) if own else leaf, f"{_q(path + ' > ')} || {leaf}"))
+            rows.append((_words(text, words), _q(dept), _q(cls), _q(own) if own else leaf, f"{_q(path + ' > ')} || {leaf}"))
     g = V.GENERIC_CLASS
     pick = lambda k, default: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k]}" for r in rows) + f" ELSE {_q(default)} END"
     return f"SELECT row_number, {pick(1, g[0])} AS dept, {pick(2, g[1])} AS class_name, {pick(3, g[2])} AS fine, {pick(4, V.GENERIC_PATH)} AS classpath FROM (SELECT row_number, lower(coalesce(part_desc, '')) AS d, lower(coalesce(part_manuf, '')) AS m FROM {{catalogue_v}})"
@@ -147,7 +146,7 @@ ORACLES: dict[str, str] = {
     "is_manufacturer_url": duck(f"SELECT h.row_number, EXISTS (SELECT 1 FROM {{domains}} d WHERE d.manufacturer = CASE WHEN h.row_number % 2 = 0 THEN 'Parker Hannifin' ELSE 'Apollo Valves' END AND ({_HOST.replace('url', 'h.url')} = d.domain OR suffix({_HOST.replace('url', 'h.url')}, '.' || d.domain))) AS on_domain FROM {{hits_v}} h", domains=_DOMAINS),
     "candidate_sources": duck("SELECT row_number, 'https://www.parker.com/search?q=' || mfg_part_num AS url, CAST(0.85 AS DOUBLE) AS confidence, substr(sha256('Product page for Parker Hannifin ' || mfg_part_num), 1, 16) AS content_hash FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL AND row_number % 2 = 0 UNION ALL SELECT row_number, 'https://www.parker.com/documents/' || lower(mfg_part_num) || '-datasheet.pdf', CAST(0.80 AS DOUBLE), substr(sha256('https://www.parker.com/documents/' || lower(mfg_part_num) || '-datasheet.pdf'), 1, 16) FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL AND row_number % 2 = 0"),
     "latest_versions": duck("SELECT product_id, version_id FROM {aged} WHERE age = 1", aged=_TWO),
-    "version_diff": duck("SELECT coalesce(p.product_id, c.product_id) AS product_id, coalesce(p.name, c.name) AS name, CASE WHEN p.name IS NULL THEN 'added' WHEN c.name IS NULL THEN 'removed' ELSE 'changed' END AS change, p.value AS previous_value, c.value AS current_value, p.unit AS previous_unit, c.unit AS current_unit FROM (SELECT * FROM {aged} WHERE age = 2) p FULL JOIN (SELECT * FROM {aged} a WHERE age = 1 AND EXISTS (SELECT 1 FROM {aged} b WHERE b.product_id = a.product_id AND b.age = 2)) c ON p.product_id = c.product_id AND p.name = c.name WHERE p.name IS NULL OR c.name IS NULL OR p.value IS DISTINCT FROM c.value OR p.unit IS DISTINCT FROM c.unit", aged=_TWO),
+    "version_diff": duck("SELECT product_id, name, CASE WHEN max(age) = 1 THEN 'added' WHEN min(age) = 2 THEN 'removed' ELSE 'changed' END AS change, max(CASE WHEN age = 2 THEN value END) AS previous_value, max(CASE WHEN age = 1 THEN value END) AS current_value, max(CASE WHEN age = 2 THEN unit END) AS previous_unit, max(CASE WHEN age = 1 THEN unit END) AS current_unit FROM (SELECT *, max(age) OVER (PARTITION BY product_id) AS versions FROM {aged} WHERE age <= 2) WHERE versions = 2 GROUP BY product_id, name HAVING count(*) = 1 OR max(CASE WHEN age = 2 THEN value END) IS DISTINCT FROM max(CASE WHEN age = 1 THEN value END) OR max(CASE WHEN age = 2 THEN unit END) IS DISTINCT FROM max(CASE WHEN age = 1 THEN unit END)", aged=_TWO),
     "validate_version": duck("SELECT product_id, version_id, 'INFERRED_VALUE' AS code, 'warning' AS severity, name AS attribute FROM {versions_v} WHERE status = 'inferred' UNION ALL SELECT product_id, version_id, 'LOW_CONFIDENCE', 'warning', name FROM {versions_v} WHERE confidence < 0.7 UNION ALL SELECT v.product_id, v.version_id, 'MISSING_REQUIRED', 'error', r.a FROM (SELECT DISTINCT product_id, version_id FROM {versions_v}) v CROSS JOIN (VALUES ('size'), ('material')) AS r(a) WHERE NOT EXISTS (SELECT 1 FROM {versions_v} x WHERE x.product_id = v.product_id AND x.version_id = v.version_id AND x.name = r.a)"),
     "product_summary": duck("SELECT product_id, count(DISTINCT version_id) AS versions, max(CASE WHEN age = 1 THEN version_id END) AS latest_version, count(CASE WHEN age = 1 THEN 1 END) AS attributes FROM {aged} GROUP BY 1", aged=_TWO),
     "eval_join": duck("SELECT count(*) AS predicted_rows, count(t.row_number) AS matched_rows, count(*) - count(t.row_number) AS unmatched_rows FROM {catalogue_v} c LEFT JOIN {truth_v} t ON t.row_number = c.row_number"),
@@ -177,3 +176,17 @@ ORACLES |= {
     "description_tiers": duck("SELECT row_number, substr(brand || ' ' || mfg_part_num || ' ' || part_desc, 1, 120) AS mobile, substr(upper(part_desc), 1, 60) AS invoice, substr(part_desc, 1, 100) AS short, brand || ' ' || mfg_part_num || ' - ' || part_desc AS long, part_desc AS retail FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL"),
     "repeat_intake": duck("SELECT p.document_id, p.content_hash, CASE WHEN k.h IS NULL OR k.state = 'pending' THEN 'reprocess' ELSE 'already_extracted' END AS decision FROM (SELECT document_id, sha256(text) AS content_hash FROM {doc_pages_v} WHERE page = 1) p LEFT JOIN (SELECT sha256(text) AS h, max(CASE WHEN document_id LIKE '%17' THEN 'pending' ELSE 'approved' END) AS state FROM {doc_pages_v} WHERE page = 1 AND document_id LIKE '%7' GROUP BY 1) k ON k.h = p.content_hash"),
 }
+
+#: A product's attributes as one text; equal products have equal texts.
+_CONTENTS = "SELECT product_id, string_agg(concat(version_id, '|', name, '|', coalesce(value, '~'), '|', coalesce(unit, '~'), '|', status), ';' ORDER BY version_id, name) AS h FROM {versions_v} GROUP BY 1"
+_IMPORTED = "SELECT product_id, CASE WHEN h IN (SELECT h FROM {contents} WHERE product_id LIKE '%7') OR product_id <> min(product_id) OVER (PARTITION BY h) THEN 'skipped' ELSE 'new' END AS decision FROM {contents}"
+_RUN = "SELECT i.product_id, i.decision, CASE WHEN i.decision = 'skipped' THEN 'completed' WHEN coalesce(x.errors, 0) > 0 THEN 'failed' WHEN coalesce(x.issues, 0) > 0 THEN 'needs_review' ELSE 'completed' END AS state FROM {imported} i LEFT JOIN (SELECT product_id, count(CASE WHEN value IS NULL OR trim(value) = '' THEN 1 END) + count(CASE WHEN status = 'conflict' THEN 1 END) AS errors, count(CASE WHEN value IS NULL OR trim(value) = '' THEN 1 END) + count(CASE WHEN status IN ('conflict', 'inferred') THEN 1 END) + count(CASE WHEN confidence < 0.7 THEN 1 END) AS issues FROM {aged} WHERE age = 1 GROUP BY 1) x ON x.product_id = i.product_id"
+_LLM_BATCHES = "SELECT row_number, (row_number() OVER (ORDER BY row_number) - 1) // 25 AS request FROM {classes} WHERE classpath = " + _q(V.GENERIC_PATH)
+
+ORACLES |= {
+    "model_constraints": duck("SELECT product_id, version_id, name, 'CONFIDENCE_RANGE' AS violation FROM {versions_v} WHERE confidence * 2 - 0.1 < 0 OR confidence * 2 - 0.1 > 1 UNION ALL SELECT product_id, version_id, name, 'REPEATED_NAME' FROM {versions_v} GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+    "dedupe_import": duck(_IMPORTED, contents=_CONTENTS),
+    "run_import": duck(_RUN, contents=_CONTENTS, imported=_IMPORTED, aged=_TWO),
+    "job_counts": duck("SELECT decision, count(*) AS items, count(CASE WHEN state = 'completed' THEN 1 END) AS completed, count(CASE WHEN state = 'failed' THEN 1 END) AS failed, count(CASE WHEN state = 'needs_review' THEN 1 END) AS needs_review, CAST(1.0 AS DOUBLE) AS progress, CASE WHEN count(CASE WHEN state <> 'completed' THEN 1 END) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS final_state FROM {run} GROUP BY 1", contents=_CONTENTS, imported=_IMPORTED, aged=_TWO, run=_RUN),
+    "llm_usage": duck("SELECT count(*) AS calls, sum(n) AS rows, sum(r) AS resolved, sum(n) * 120 AS prompt_tokens, sum(n) * 20 AS completion_tokens, round((sum(n) * 120 * 0.15::DOUBLE + sum(n) * 20 * 0.6::DOUBLE) / 1e6, 6) AS cost, round((sum(n) * 120 * 0.15::DOUBLE + sum(n) * 20 * 0.6::DOUBLE) / 1e6 / sum(n), 8) AS cost_per_row FROM (SELECT request, count(*) AS n, count(CASE WHEN row_number % 2 = 0 THEN 1 END) AS r FROM {requests} GROUP BY 1)", classes=_taxonomy(), requests=_LLM_BATCHES),
+}

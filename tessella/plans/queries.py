@@ -429,6 +429,11 @@ def evaluation_summary(s, d):
     return metrics.evaluation_summary(_scored(s, d))
 
 
+@query
+def mismatches(s, d):
+    return metrics.mismatches(_scored(s, d))
+
+
 @query
 def eval_join(s, d):
     return metrics.eval_join(_catalogue(s, d), view(s, d, "truth_v"))

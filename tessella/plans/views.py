@@ -28,23 +28,22 @@ SELECT concat('doc-', CAST(row_number AS STRING)), 2,
 FROM {catalogue_v} WHERE row_number % 3 = 0""",
     "truth_v": """
 SELECT row_number,
- CASE part_manuf WHEN 'Apollo' THEN 'Apollo Valves' WHEN 'PARKER  HANNIFIN' THEN 'Parker Hannifin' WHEN 'Freud Inc (2435)' THEN 'freud' WHEN 'Emerson Electric Company Intl' THEN 'Emerson-Electric' ELSE NULL END AS manufacturer,
+ CASE WHEN row_number % 7 = 0 THEN NULL ELSE CASE part_manuf WHEN 'Apollo' THEN 'Apollo Valves' WHEN 'PARKER  HANNIFIN' THEN 'Parker Hannifin' WHEN 'Freud Inc (2435)' THEN 'freud' WHEN 'Emerson Electric Company Intl' THEN 'Emerson-Electric' ELSE NULL END END AS manufacturer,
  CASE material WHEN '304 SS' THEN 'Stainless Steel 304' WHEN 'pvc' THEN 'PVC' WHEN 'C.I.' THEN 'Cast Iron' ELSE NULL END AS material,
  CASE uom WHEN 'Inches' THEN 'in' WHEN 'mm.' THEN 'mm' ELSE NULL END AS uom
-FROM {catalogue_v} WHERE row_number % 7 <> 0""",
+FROM {catalogue_v}""",
     "decisions_v": """
 SELECT CAST(o_orderkey AS STRING) AS event_id, CAST(o_custkey AS INT) + 2 AS row_number,
  CASE o_orderkey % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'correct' ELSE 'approve' END AS action,
  concat('reviewer-', CAST(o_orderkey % 5 AS STRING)) AS reviewer, o_orderdate AS decided_at,
  CASE WHEN o_orderkey % 8 = 2 THEN 'Brass' ELSE NULL END AS corrected_material
-FROM {orders} WHERE o_orderkey % 3 = 0""",
+FROM {orders}""",
     "versions_v": """
-SELECT concat('P-', CAST(l_partkey AS STRING)) AS product_id,
- concat('V-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS version_id, l_shipdate AS created_at,
+SELECT concat('P-', CAST(l_partkey AS STRING)) AS product_id, concat('V-', CAST(year(l_shipdate) AS STRING)) AS version_id, max(l_shipdate) AS created_at,
  CASE l_linenumber % 4 WHEN 0 THEN 'size' WHEN 1 THEN 'material' WHEN 2 THEN 'pressure_rating' ELSE 'voltage' END AS name,
- CAST(CAST(l_quantity AS INT) % 5 AS STRING) AS value, CASE l_returnflag WHEN 'A' THEN NULL ELSE 'in' END AS unit,
- CASE l_linestatus WHEN 'O' THEN 'inferred' ELSE 'verified' END AS status, l_discount * 10 AS confidence
-FROM {lineitem}""",
+ max(CAST(CAST(l_quantity AS INT) % 5 AS STRING)) AS value, max(CASE l_returnflag WHEN 'A' THEN NULL ELSE 'in' END) AS unit,
+ max(CASE l_linestatus WHEN 'O' THEN 'inferred' ELSE 'verified' END) AS status, max(l_discount * 10) AS confidence
+FROM {lineitem} GROUP BY concat('P-', CAST(l_partkey AS STRING)), concat('V-', CAST(year(l_shipdate) AS STRING)), CASE l_linenumber % 4 WHEN 0 THEN 'size' WHEN 1 THEN 'material' WHEN 2 THEN 'pressure_rating' ELSE 'voltage' END""",
     "visits_v": """
 SELECT event_id, ts AS occurred_at,
  CASE user_id % 6 WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36' WHEN 1 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X) Version/17 Safari/605' WHEN 2 THEN 'Googlebot/2.1 (+http://x)' WHEN 3 THEN '' WHEN 4 THEN 'Mozilla/5.0 (X11; Linux) Firefox/121.0' ELSE 'Mozilla/5.0 (Windows) Chrome/120 Edg/120' END AS user_agent,
