@@ -12,11 +12,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a new local one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset on a local master, as in tests, a new one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        folder = spark.sparkContext.getCheckpointDir()
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
