@@ -94,14 +94,18 @@ def audit_page(audit: DataFrame, n: int = 50, actor: str = "all") -> DataFrame:
 
 
 def pending_queue(state: DataFrame, n: int = 50, order: str = "asc") -> DataFrame:
-    """The first n pending rows by priority, ties by row number."""
-    p = F.asc("priority") if order == "asc" else F.desc("priority")
-    return state.where(F.col("state") == "pending_review").orderBy(p, "row_number").limit(n)
+    """The first n pending rows by priority, ties by row number. Other rows are ranked last and left out after the limit: a
+    filter before it would be pushed below the enrichment, which would then be worked out again for each use."""
+    due = F.when(F.col("state") == "pending_review", F.col("priority"))
+    first = due.asc_nulls_last() if order == "asc" else due.desc_nulls_last()
+    return state.orderBy(F.col("state") != "pending_review", first, "row_number").limit(n).where(F.col("state") == "pending_review")
 
 
 def bulk_approve(state: DataFrame, min_confidence: float = 0.8) -> DataFrame:
-    """Decisions that approve the pending rows with confidence enough."""
-    return state.where((F.col("state") == "pending_review") & (F.col("overall_confidence") >= min_confidence)).withColumn("action", F.lit("approve"))
+    """Decisions that approve the pending rows with confidence enough. Rows are told by a generator of the action, which
+    isn't pushed below the enrichment as a filter would be."""
+    due = (F.col("state") == "pending_review") & (F.col("overall_confidence") >= min_confidence)
+    return state.select("*", F.explode(F.when(due, F.array(F.lit("approve")))).alias("action"))
 
 
 def artifact_review(events: DataFrame) -> DataFrame:

@@ -36,18 +36,19 @@ def _entries(kind: str) -> str:
     return _values([(k, n, f) for k, (n, forms) in enumerate(table) for f in (n, *forms)], "ord, canonical, form")
 
 
-def _matched(kind: str, source: str, column: str, near: bool = True) -> dict[str, str]:
-    """CTEs that end in {kind}_m: row_number, canonical, confidence, match_type."""
+def _matched(kind: str, source: str, column: str, near: bool = True, name: str = "") -> dict[str, str]:
+    """CTEs that end in {name}_m (name: the kind, if not given): row_number, canonical, confidence, match_type."""
+    name = name or kind
     known = f"SELECT {_form('form')} AS f, max_by(canonical, ord) AS canonical FROM ({_entries(kind)}) GROUP BY 1 HAVING {_form('form')} <> ''"
     names = f"SELECT DISTINCT ord, canonical, {_form('canonical')} AS c FROM ({_entries(kind)})"
     cells = f"SELECT row_number, {_form(column)} AS f FROM {{{source}}}"
-    close = f"SELECT x.f, min_by(e.canonical, e.ord) AS canonical FROM (SELECT DISTINCT f FROM {{{kind}_x}} WHERE f <> '') x JOIN {{{kind}_n}} e ON contains(x.f, e.c) OR contains(e.c, x.f) GROUP BY 1"
+    close = f"SELECT x.f, min_by(e.canonical, e.ord) AS canonical FROM (SELECT DISTINCT f FROM {{{name}_x}} WHERE f <> '') x JOIN {{{name}_n}} e ON contains(x.f, e.c) OR contains(e.c, x.f) GROUP BY 1"
     second = "n.canonical" if near else "NULL"
     body = f"""SELECT x.row_number, coalesce(k.canonical, {second}, '') AS canonical,
  CAST(CASE WHEN k.f IS NOT NULL AND {_form('k.canonical')} = x.f THEN 1.0 WHEN k.f IS NOT NULL THEN 0.95 WHEN {second} IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence,
  CASE WHEN k.f IS NOT NULL AND {_form('k.canonical')} = x.f THEN 'exact' WHEN k.f IS NOT NULL THEN 'alias' WHEN {second} IS NOT NULL THEN 'normalized' ELSE 'none' END AS match_type
- FROM {{{kind}_x}} x LEFT JOIN {{{kind}_k}} k ON k.f = x.f LEFT JOIN {{{kind}_c}} n ON n.f = x.f"""
-    return {f"{kind}_k": known, f"{kind}_n": names, f"{kind}_x": cells, f"{kind}_c": close, f"{kind}_m": body}
+ FROM {{{name}_x}} x LEFT JOIN {{{name}_k}} k ON k.f = x.f LEFT JOIN {{{name}_c}} n ON n.f = x.f"""
+    return {f"{name}_k": known, f"{name}_n": names, f"{name}_x": cells, f"{name}_c": close, f"{name}_m": body}
 
 
 _NAMED = f"SELECT *, {_code('part_manuf')} AS name FROM {{catalogue_v}}"
@@ -114,6 +115,9 @@ for _role, _whole, _parts, _ends in V.ROLE_RULES:
     _tests = [f"regexp_matches(k, {_q(V.IDENTIFIER_PATTERN)})"] if _role == "identifier" else [f"k IN ({', '.join(map(_q, _whole))})"] * bool(_whole) + [f"contains(k, {_q(p)})" for p in _parts] + [f"suffix(k, {_q(e)})" for e in _ends]
     _ROLE_TESTS.append(f"WHEN {' OR '.join(_tests)} THEN {_q('part_number' if _role == 'identifier' else _role)}")
 
+_UNIT_PARTS = {"units": _values(_UNITS, "f, unit, dimension"), "uom_m": "SELECT c.row_number, coalesce(a.unit, b.unit, trim(c.uom), '') AS canonical, coalesce(a.dimension, b.dimension, 'none') AS dimension, CAST(CASE WHEN a.f IS NOT NULL THEN 1.0 WHEN b.f IS NOT NULL THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence FROM {catalogue_v} c LEFT JOIN {units} a ON a.f = lower(trim(c.uom)) LEFT JOIN {units} b ON b.f = regexp_replace(regexp_replace(lower(trim(c.uom)), '\\.+$', ''), 's+$', '')"}
+_MATERIAL_PARTS = {"known": _values([(k, f, n) for k, (f, n) in enumerate(V.MATERIALS.items())], "ord, f, name"), "cells": "SELECT row_number, material, lower(trim(material)) AS k, trim(regexp_replace(regexp_replace(lower(trim(material)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS s FROM {catalogue_v}", "near": "SELECT c.s, min_by(m.name, m.ord) AS name FROM (SELECT DISTINCT s FROM {cells} WHERE s <> '') c JOIN {known} m ON contains(c.s, m.f) OR contains(m.f, c.s) GROUP BY 1", "material_m": "SELECT c.row_number, coalesce(a.name, b.name, n.name, trim(c.material), '') AS canonical, CAST(CASE WHEN a.name IS NOT NULL THEN 1.0 WHEN b.name IS NOT NULL THEN 0.9 WHEN n.name IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence FROM {cells} c LEFT JOIN {known} a ON a.f = c.k LEFT JOIN {known} b ON b.f = c.s LEFT JOIN {near} n ON n.s = c.s"}
+
 ORACLES: dict[str, str] = {
     "clean_cells": duck(f"SELECT row_number, {', '.join(f'{_clean(c)} AS {c}' for c in ('mfg_part_num', 'part_manuf', 'part_desc', 'material'))} FROM {{catalogue_v}}"),
     "strip_distributor_code": duck(f"SELECT row_number, {_code('part_manuf')} AS manufacturer FROM {{catalogue_v}}"),
@@ -127,8 +131,8 @@ ORACLES: dict[str, str] = {
     "match_distributor": _match_sql("distributor", "named", "name"),
     "match_category": _match_sql("category", "catalogue_v", "part_desc"),
     "match_brand": duck("SELECT b.row_number, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.canonical ELSE b.canonical END AS canonical, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.confidence ELSE b.confidence END AS confidence, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.match_type ELSE b.match_type END AS match_type FROM {brand_m} b JOIN {manufacturer_m} m ON b.row_number = m.row_number", named=_NAMED, **_matched("brand", "named", "name"), **_matched("manufacturer", "named", "name")),
-    "normalise_uom": duck("SELECT c.row_number, coalesce(a.unit, b.unit, trim(c.uom), '') AS canonical, coalesce(a.dimension, b.dimension, 'none') AS dimension, CAST(CASE WHEN a.f IS NOT NULL THEN 1.0 WHEN b.f IS NOT NULL THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence FROM {catalogue_v} c LEFT JOIN {units} a ON a.f = lower(trim(c.uom)) LEFT JOIN {units} b ON b.f = regexp_replace(regexp_replace(lower(trim(c.uom)), '\\.+$', ''), 's+$', '')", units=_values(_UNITS, "f, unit, dimension")),
-    "normalise_material": duck("SELECT c.row_number, coalesce(a.name, b.name, n.name, trim(c.material), '') AS canonical, CAST(CASE WHEN a.name IS NOT NULL THEN 1.0 WHEN b.name IS NOT NULL THEN 0.9 WHEN n.name IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence FROM {cells} c LEFT JOIN {known} a ON a.f = c.k LEFT JOIN {known} b ON b.f = c.s LEFT JOIN {near} n ON n.s = c.s", known=_values([(k, f, n) for k, (f, n) in enumerate(V.MATERIALS.items())], "ord, f, name"), cells="SELECT row_number, material, lower(trim(material)) AS k, trim(regexp_replace(regexp_replace(lower(trim(material)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS s FROM {catalogue_v}", near="SELECT c.s, min_by(m.name, m.ord) AS name FROM (SELECT DISTINCT s FROM {cells} WHERE s <> '') c JOIN {known} m ON contains(c.s, m.f) OR contains(m.f, c.s) GROUP BY 1"),
+    "normalise_uom": duck("SELECT * FROM {uom_m}", **_UNIT_PARTS),
+    "normalise_material": duck("SELECT * FROM {material_m}", **_MATERIAL_PARTS),
     "infer_mfr_from_part": duck("SELECT c.row_number, p.name AS inferred, CAST(CASE WHEN p.name IS NOT NULL THEN 0.85 ELSE 0.0 END AS DOUBLE) AS confidence FROM {catalogue_v} c LEFT JOIN {prefixes} p ON p.prefix = upper(substr(trim(c.mfg_part_num), 1, 3))", prefixes=_values(list(V.PART_PREFIXES.items()), "prefix, name")),
     "extract_facts": duck("SELECT document_id, page, name, value, CASE name WHEN 'pressure_rating' THEN regexp_extract(lower(value), '^([0-9]+)', 1) WHEN 'size' THEN regexp_extract(lower(value), '^([0-9]+)', 1) WHEN 'material' THEN lower(value) END AS normalized_value, CASE name WHEN 'pressure_rating' THEN nullif(regexp_extract(lower(value), '(psi|bar|wog|class)$', 1), '') WHEN 'size' THEN nullif(regexp_extract(lower(value), '(mm|in)$', 1), '') END AS normalized_unit FROM {facts}", facts_all=_FACTS, facts=_FOUND),
     "proposals": duck("SELECT document_id, page, name, value, 'proposed' AS state FROM {facts} WHERE name <> 'part_number'", facts_all=_FACTS, facts=_FOUND),
@@ -190,3 +194,132 @@ ORACLES |= {
     "job_counts": duck("SELECT decision, count(*) AS items, count(CASE WHEN state = 'completed' THEN 1 END) AS completed, count(CASE WHEN state = 'failed' THEN 1 END) AS failed, count(CASE WHEN state = 'needs_review' THEN 1 END) AS needs_review, CAST(1.0 AS DOUBLE) AS progress, CASE WHEN count(CASE WHEN state <> 'completed' THEN 1 END) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS final_state FROM {run} GROUP BY 1", contents=_CONTENTS, imported=_IMPORTED, aged=_TWO, run=_RUN),
     "llm_usage": duck("SELECT count(*) AS calls, sum(n) AS rows, sum(r) AS resolved, sum(n) * 120 AS prompt_tokens, sum(n) * 20 AS completion_tokens, round((sum(n) * 120 * 0.15::DOUBLE + sum(n) * 20 * 0.6::DOUBLE) / 1e6, 6) AS cost, round((sum(n) * 120 * 0.15::DOUBLE + sum(n) * 20 * 0.6::DOUBLE) / 1e6 / sum(n), 8) AS cost_per_row FROM (SELECT request, count(*) AS n, count(CASE WHEN row_number % 2 = 0 THEN 1 END) AS r FROM {requests} GROUP BY 1)", classes=_taxonomy(), requests=_LLM_BATCHES),
 }
+
+
+def _stands(text: str, forms: list[str]) -> str:
+    """Whether one of the forms stands in a text as a whole word."""
+    import re
+
+    one = (re.sub(r"([^A-Za-z0-9 ])", r"\\\1", f) for f in forms)
+    return f"regexp_matches({text}, {_q('|'.join(rf'\b{x}\b' for x in one))}, 'i')"
+
+
+def _first_named(text: str, rows: list[tuple[str, list[str]]]) -> str:
+    return "CASE " + " ".join(f"WHEN {_stands(text, forms)} THEN {_q(name)}" for name, forms in rows) + " END"
+
+
+def _field(position: int, column: str, role: str, found: str = "", joins: str = "", told: str = "NULL", how: str = "NULL") -> str:
+    """A field of each row before blanks and placeholders are told. found: canonical c, confidence s, status t, how h."""
+    found = found or {"part_number": "r.x AS c, 1.0 AS s, 'verified' AS t, 'passthrough' AS h", "description": "r.x AS c, 1.0 AS s, 'verified' AS t, 'passthrough' AS h"}.get(role, "r.x AS c, 0.9 AS s, 'verified' AS t, 'passthrough' AS h")
+    return f"SELECT r.row_number, {position} AS position, '{column}' AS \"column\", '{role}' AS role, r.x AS raw_value, {found}, {told} AS told, {how} AS told_how FROM (SELECT *, CAST({column} AS VARCHAR) AS x FROM {{catalogue_v}}) r {joins}"
+
+
+def _listed(m: str) -> str:
+    return f"CASE WHEN {m}.confidence > 0 THEN {m}.canonical ELSE r.x END AS c, {m}.confidence AS s, CASE WHEN {m}.confidence >= 0.95 THEN 'verified' WHEN {m}.confidence > 0 THEN 'inferred' ELSE 'review_required' END AS t, CASE WHEN {m}.match_type = 'exact' THEN 'exact_match' WHEN {m}.match_type = 'alias' THEN 'alias_match' WHEN {m}.confidence > 0 THEN 'normalized' ELSE 'passthrough' END AS h"
+
+
+def _sure(m: str, least: float) -> str:
+    return f"CASE WHEN {m}.confidence > 0 THEN {m}.canonical ELSE r.x END AS c, {m}.confidence AS s, CASE WHEN {m}.confidence >= {least} THEN 'verified' WHEN {m}.confidence > 0 THEN 'inferred' ELSE 'review_required' END AS t, CASE WHEN {m}.confidence >= {least} THEN 'exact_match' WHEN {m}.confidence > 0 THEN 'normalized' ELSE 'passthrough' END AS h"
+
+
+_MAKER = _first_named("r.part_desc", [(n, [n, *(a for a in forms if len(a) >= 3)]) for n, forms in V.MANUFACTURERS])
+_METAL = _first_named("r.part_desc", [(n, [f]) for f, n in sorted(V.MATERIALS.items(), key=lambda x: -len(x[0]))])
+_PREFIX = _cases("upper(substr(trim(r.mfg_part_num), 1, 3))", [("{x} = " + _q(p), n) for p, n in V.PART_PREFIXES.items()])
+_SELLER = "m.confidence = 0 AND d.confidence >= 0.95"
+_BRANDED = "SELECT b.row_number, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.canonical ELSE b.canonical END AS canonical, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.confidence ELSE b.confidence END AS confidence, CASE WHEN b.confidence < 0.95 AND m.confidence >= 0.95 THEN m.match_type ELSE b.match_type END AS match_type FROM {own_m} b JOIN {maker_m} m ON m.row_number = b.row_number"
+_FOUND_FIELDS = " UNION ALL ".join([
+    _field(0, "mfg_part_num", "part_number"),
+    _field(1, "part_manuf", "manufacturer", f"CASE WHEN {_SELLER} THEN r.x WHEN m.confidence > 0 THEN m.canonical ELSE r.x END AS c, m.confidence AS s, CASE WHEN m.confidence >= 0.95 THEN 'verified' WHEN m.confidence > 0 THEN 'inferred' ELSE 'review_required' END AS t, CASE WHEN {_SELLER} THEN 'distributor_not_manufacturer' WHEN m.match_type = 'exact' THEN 'exact_match' WHEN m.match_type = 'alias' THEN 'alias_match' WHEN m.confidence > 0 THEN 'normalized' ELSE 'passthrough' END AS h", "JOIN {manufacturer_m} m ON m.row_number = r.row_number JOIN {distributor_m} d ON d.row_number = r.row_number", f"coalesce({_PREFIX}, {_MAKER})", f"CASE WHEN {_PREFIX} IS NOT NULL THEN 'extracted_from_part_number' ELSE 'extracted_from_description' END"),
+    _field(2, "part_desc", "description"),
+    _field(3, "material", "material", _sure("m", 0.9), "JOIN {material_m} m ON m.row_number = r.row_number", _METAL, "'extracted_from_description'"),
+    _field(4, "size", "size"),
+    _field(5, "uom", "uom", _sure("m", 0.0001), "JOIN {uom_m} m ON m.row_number = r.row_number"),
+    _field(6, "pressure_rating", "pressure"),
+    _field(7, "brand", "brand", _listed("m"), "JOIN {branded} m ON m.row_number = r.row_number"),
+])
+_BLANK, _SAID = "trim(coalesce(raw_value, '')) = ''", _placeholder("raw_value")
+_FIELDS = f"""SELECT row_number, position, "column", role, raw_value,
+ CASE WHEN {_BLANK} THEN told WHEN {_SAID} THEN NULL ELSE c END AS canonical_value,
+ CAST(CASE WHEN {_BLANK} THEN CASE WHEN told IS NULL THEN 0.0 ELSE 0.85 END WHEN {_SAID} THEN 0.0 ELSE s END AS DOUBLE) AS confidence,
+ CASE WHEN {_BLANK} THEN CASE WHEN told IS NULL THEN 'missing' ELSE 'inferred' END WHEN {_SAID} THEN 'missing' ELSE t END AS status,
+ CASE WHEN {_BLANK} THEN CASE WHEN told IS NULL THEN 'missing' ELSE told_how END WHEN {_SAID} THEN 'placeholder' ELSE h END AS transformation
+FROM {{found_fields}}"""
+_RANK = "CASE status WHEN 'missing' THEN 1 WHEN 'review_required' THEN 2 WHEN 'inferred' THEN 3 ELSE 4 END"
+_ENRICHED = f"SELECT row_number, coalesce(round(sum(confidence ORDER BY position) FILTER (status <> 'missing') / nullif(count(*) FILTER (status <> 'missing'), 0), 4), 0.0) AS overall_confidence, CASE min({_RANK}) WHEN 1 THEN 'missing' WHEN 2 THEN 'review_required' WHEN 3 THEN 'inferred' ELSE 'verified' END AS overall_status FROM {{fields}} GROUP BY row_number"
+_WIDE = "SELECT row_number, " + ", ".join(f"max(canonical_value) FILTER (role = '{r}') AS {r}, max(raw_value) FILTER (role = '{r}') AS {r}_raw" for r in ("part_number", "manufacturer", "description", "material", "size", "uom", "pressure", "brand")) + " FROM {fields} GROUP BY row_number"
+_LIMITS = "CASE role " + " ".join(f"WHEN {_q(r)} THEN {n}" for r, n in V.CHARACTER_LIMITS.items()) + " END"
+_BARE_D, _BARE_P = ("regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]', '', 'g')".format(c) for c in ("description", "part_number"))
+_NEED = ", ".join(map(_q, V.DEFAULT_REQUIRED))
+_OWN_ISSUES = f"""
+SELECT row_number, 'MISSING_REQUIRED_VALUE' AS code, 'error' AS severity, role AS field FROM {{fields}} WHERE role IN ({_NEED}) AND (status = 'missing' OR canonical_value IS NULL)
+UNION ALL SELECT row_number, 'MISSING_DESCRIPTION', 'warning', 'description' FROM {{wide}} WHERE trim(coalesce(description, '')) = '' AND trim(coalesce(part_number, '')) <> ''
+UNION ALL SELECT row_number, 'UNINFORMATIVE_DESCRIPTION', 'warning', 'description' FROM {{wide}} WHERE trim(coalesce(description, '')) <> '' AND {_BARE_P} <> '' AND length(replace({_BARE_D}, {_BARE_P}, '')) < 3
+UNION ALL SELECT row_number, 'LOV_UNMATCHED', 'warning', "column" FROM {{fields}} WHERE role IN ('manufacturer', 'brand', 'category', 'material', 'uom') AND status = 'review_required' AND coalesce(raw_value, '') <> ''
+UNION ALL SELECT row_number, 'LOW_CONFIDENCE', 'warning', "column" FROM {{fields}} WHERE coalesce(raw_value, '') <> '' AND confidence > 0 AND confidence < {V.APPROVAL_CONFIDENCE}
+UNION ALL SELECT row_number, 'CHAR_LIMIT_EXCEEDED', 'error', "column" FROM {{fields}} WHERE length(canonical_value) > {_LIMITS}
+UNION ALL SELECT row_number, 'MATERIAL_PRESSURE_MISMATCH', 'warning', 'material' FROM {{wide}} WHERE material IN ({', '.join(map(_q, V.SOFT_MATERIALS))}) AND TRY_CAST(split_part(trim(pressure), ' ', 1) AS DOUBLE) > 600"""
+_ISSUES = "SELECT * FROM {own_issues} UNION ALL SELECT row_number, 'DUPLICATE_PART_NUMBER', 'warning', 'part_number' FROM (SELECT row_number, count(*) OVER (PARTITION BY lower(trim(part_number))) AS n FROM {wide} WHERE trim(part_number) <> '') WHERE n > 1"
+_VALIDATED = f"""SELECT e.row_number, e.overall_confidence, e.overall_status, coalesce(i.issues, '') AS issues, coalesce(i.errors, 0) AS errors, coalesce(i.warnings, 0) AS warnings, coalesce(i.n, 0) AS n_issues, f.completeness,
+ e.overall_confidence >= {V.APPROVAL_CONFIDENCE} AND NOT f.open AND NOT coalesce(o.bad, false) AS can_auto_approve
+FROM {{enriched}} e
+JOIN (SELECT row_number, count(*) FILTER (role IN ({_NEED}) AND canonical_value IS NOT NULL) / {len(V.DEFAULT_REQUIRED)}.0::DOUBLE AS completeness, bool_or(status = 'review_required' AND coalesce(raw_value, '') <> '') AS open FROM {{fields}} GROUP BY 1) f ON f.row_number = e.row_number
+LEFT JOIN (SELECT row_number, string_agg(code || ':' || field, ',' ORDER BY code || ':' || field) AS issues, count(*) AS n, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM {{issues}} GROUP BY 1) i ON i.row_number = e.row_number
+LEFT JOIN (SELECT row_number, bool_or(severity = 'error' OR code IN ({', '.join(map(_q, V.BLOCKING_ISSUES))})) AS bad FROM {{own_issues}} GROUP BY 1) o ON o.row_number = e.row_number"""
+_ROUTED = "SELECT *, round(errors * 10.0::DOUBLE + warnings * 3.0::DOUBLE + (1.0::DOUBLE - overall_confidence) * 5.0::DOUBLE + (1.0::DOUBLE - completeness) * 2.0::DOUBLE, 4) AS priority, CASE WHEN can_auto_approve THEN 'auto_approved' ELSE 'pending_review' END AS state FROM {validated}"
+_BECOMES = "CASE action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'correct' THEN 'corrected' END"
+_JUDGED = f"SELECT *, coalesce(sound, CASE WHEN count(*) FILTER (sound IS NULL) OVER (PARTITION BY row_number ORDER BY decided_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'not_pending' END) AS refusal FROM (SELECT d.*, {_BECOMES} AS new_state, CASE WHEN r.state IS NULL THEN 'unknown_row' WHEN {_BECOMES} IS NULL THEN 'unknown_action' WHEN r.state <> 'pending_review' THEN 'not_pending' WHEN action = 'correct' AND corrected_material IS NULL THEN 'no_corrections' END AS sound FROM {{decisions_v}} d LEFT JOIN {{routed}} r ON r.row_number = d.row_number)"
+_STATE = "SELECT r.row_number, coalesce(h.new_state, r.state) AS state, h.reviewer FROM {routed} r LEFT JOIN (SELECT * FROM {judged} WHERE refusal IS NULL) h ON h.row_number = r.row_number"
+_TRUE_FOLD, _GUESS_FOLD = _form("expected"), _form("predicted")
+_SCORED = f"""SELECT row_number, coalesce(k, "column") AS "column", role, predicted, expected, CASE WHEN k IS NULL THEN 'not_evaluated' WHEN predicted IS NULL AND expected IS NULL THEN 'missing_correct' WHEN predicted IS NULL THEN 'missing_incorrect' WHEN expected IS NULL THEN 'false_positive' WHEN lower(trim(predicted)) = lower(trim(expected)) THEN 'exact' WHEN {_GUESS_FOLD} = {_TRUE_FOLD} AND {_GUESS_FOLD} <> '' THEN 'normalised' ELSE 'false_positive' END AS outcome
+FROM (SELECT f.row_number, f."column", f.role, f.canonical_value AS predicted, CASE f.role WHEN 'manufacturer' THEN t.manufacturer WHEN 'material' THEN t.material WHEN 'uom' THEN t.uom END AS expected, CASE WHEN f.role IN ('manufacturer', 'material', 'uom') THEN f.role END AS k FROM {{fields}} f JOIN {{truth_v}} t ON t.row_number = f.row_number)"""
+_OUTCOMES = ["exact", "normalised", "missing_correct", "missing_incorrect", "false_positive"]
+_ROW_SCORES = "SELECT row_number, count(*) AS fields, count(*) FILTER (outcome IN ('exact', 'missing_correct')) AS exact, count(*) FILTER (outcome = 'normalised') AS normalised, count(*) FILTER (outcome IN ('exact', 'missing_correct', 'normalised')) = count(*) AS complete, round(count(*) FILTER (outcome IN ('exact', 'missing_correct', 'normalised')) / count(*), 4) AS accuracy FROM {scored} WHERE outcome <> 'not_evaluated' GROUP BY 1"
+_STEPS = {
+    "named": _NAMED, **_matched("manufacturer", "named", "name"), **_matched("distributor", "named", "name"), **_matched("brand", "catalogue_v", "brand", name="own"), **_matched("manufacturer", "catalogue_v", "brand", name="maker"),
+    "branded": _BRANDED, **_UNIT_PARTS, **_MATERIAL_PARTS, "found_fields": _FOUND_FIELDS, "fields": _FIELDS, "enriched": _ENRICHED, "wide": _WIDE, "own_issues": _OWN_ISSUES, "issues": _ISSUES, "validated": _VALIDATED, "routed": _ROUTED,
+    "judged": _JUDGED, "current": _STATE, "scored": _SCORED, "row_scores": _ROW_SCORES,
+}
+
+
+def _on(body: str) -> str:
+    return duck(body, **_STEPS)
+
+
+def _scores(by: str) -> str:
+    n = {o: f"count(*) FILTER (outcome = '{o}')" for o in [*_OUTCOMES, "not_evaluated"]}
+    hits, total = f"({n['exact']} + {n['normalised']})", "count(*) FILTER (outcome <> 'not_evaluated')"
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN round({a} / {b}, 4) ELSE 0.0 END"
+    return _on(f"SELECT {by}, {total} AS total, {', '.join(f'{x} AS {o}' for o, x in n.items())}, {share(n['exact'], total)} AS exact_accuracy, {share(hits, total)} AS normalised_accuracy, {share(hits, '(' + hits + ' + ' + n['false_positive'] + ')')} AS precision FROM {{scored}} GROUP BY 1")
+
+
+_ANY = lambda role: f"coalesce(nullif({role}, ''), {role}_raw, '')"
+_NO_BRAND = f"({_ANY('brand')} = '' OR starts_with({_ANY('brand')}, '--') OR contains({_ANY('brand')}, 'Unbranded'))"
+_MFR = f"coalesce({_code(_ANY('manufacturer'))}, '')"
+
+ORACLES |= {
+    "enrich_fields": _on('SELECT row_number, "column", canonical_value, confidence, status, role, transformation FROM {fields}'),
+    "enrich_batch": _on("SELECT * FROM {enriched}"),
+    "verified_rate": _on("SELECT 'part_feed' AS source_name, sum(n) AS fields, sum(v) AS verified, count(*) FILTER (r) AS rows_to_review, round(sum(v) / sum(n), 4) AS verified_rate FROM (SELECT row_number, count(*) AS n, count(*) FILTER (status = 'verified') AS v, bool_or(status = 'review_required') AS r FROM {fields} GROUP BY 1)"),
+    "validate_batch": _on("SELECT row_number, issues, round(completeness, 4) AS completeness, can_auto_approve FROM {validated}"),
+    "batch_validation_summary": _on("SELECT 'part_feed' AS source_name, count(*) AS total_rows, count(*) FILTER (can_auto_approve) AS auto_approved, sum(n_issues) AS total_issues, count(*) FILTER (NOT can_auto_approve) AS review_required, round(count(*) FILTER (can_auto_approve) / count(*), 4) AS auto_approve_rate FROM {validated}"),
+    "issue_histogram": _on("SELECT code, severity, count(*) AS n FROM {issues} GROUP BY 1, 2"),
+    "route_rows": _on("SELECT row_number, errors, warnings, priority, state FROM {routed}"),
+    "pending_queue": _on("SELECT row_number, priority FROM {routed} WHERE state = 'pending_review' ORDER BY priority, row_number LIMIT 50"),
+    "bulk_approve": _on("SELECT row_number, 'approve' AS action FROM {routed} WHERE state = 'pending_review' AND overall_confidence >= 0.6"),
+    "current_review_state": _on("SELECT * FROM {current}"),
+    "review_summary": _on("SELECT 'part_feed' AS source_name, count(*) AS rows, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("pending_review", "auto_approved", "approved", "rejected", "corrected")) + ", count(*) FILTER (state IN ('approved', 'auto_approved', 'corrected')) AS approved_overall FROM {current}"),
+    "refused_decisions": _on("SELECT event_id, row_number, refusal FROM {judged} WHERE refusal IS NOT NULL"),
+    "queue_audit_count": _on("SELECT action, count(*) AS events FROM {judged} WHERE refusal IS NULL GROUP BY 1"),
+    "audit_page": _on("SELECT event_id, action, reviewer FROM {judged} WHERE refusal IS NULL ORDER BY decided_at DESC, event_id LIMIT 50"),
+    "replay_decisions": _on(f"SELECT r.row_number, coalesce(s.state, r.state) AS state, s.reviewer, s.state IS NOT NULL AS reconstructed FROM {{routed}} r LEFT JOIN (SELECT row_number, arg_min({_BECOMES}, (decided_at, event_id)) AS state, arg_min(reviewer, (decided_at, event_id)) AS reviewer FROM {{decisions_v}} GROUP BY 1) s ON s.row_number = r.row_number"),
+    "overlay_review": _on("SELECT row_number, CASE WHEN row_number % 3 = 0 THEN 'approved' ELSE 'pending_review' END AS state, CASE WHEN row_number % 3 = 0 THEN overall_confidence ELSE 0.0 END AS overall_confidence FROM {enriched}"),
+    "export_wide": _on("SELECT row_number, " + ", ".join(f"coalesce(max(raw_value) FILTER (role = '{r}'), '') AS {r}_raw, coalesce(max(canonical_value) FILTER (role = '{r}'), '') AS {r}_canonical, printf('%.2f', max(confidence) FILTER (role = '{r}')) AS {r}_confidence, max(status) FILTER (role = '{r}') AS {r}_status" for r in ("material", "uom")) + " FROM {fields} GROUP BY 1"),
+    "export_commerce": _on(f"SELECT row_number, {_MFR} AS manufacturer, CASE WHEN {_NO_BRAND} THEN {_MFR} ELSE {_ANY('brand')} END AS brand, {_ANY('part_number')} AS part_number, '' AS category, {_ANY('description')} AS description, {_ANY('material')} AS material, {_ANY('size')} AS size, {_ANY('uom')} AS uom, {_ANY('pressure')} AS pressure_rating, '' AS temperature_range, '' AS connection_type FROM {{wide}}"),
+    "export_audit": _on("SELECT r.row_number, 8 AS n_fields, 1 + (h.row_number IS NOT NULL)::INT AS n_events FROM {routed} r LEFT JOIN (SELECT DISTINCT row_number FROM {judged} WHERE refusal IS NULL) h ON h.row_number = r.row_number"),
+    "field_metrics": _scores('"column"'),
+    "role_metrics": _scores("role"),
+    "row_metrics": _on("SELECT * FROM {row_scores}"),
+    "mismatches": _on("SELECT row_number, \"column\", expected, predicted, CASE WHEN predicted IS NULL THEN 'missing_incorrect' WHEN expected IS NULL THEN 'false_positive' ELSE 'mismatch' END AS kind FROM {scored} WHERE outcome IN ('missing_incorrect', 'false_positive')"),
+    "evaluation_summary": _on("SELECT * FROM (SELECT count(*) AS fields, round(count(*) FILTER (outcome = 'exact') / count(*), 4) AS exact_rate, round(count(*) FILTER (outcome IN ('exact', 'normalised')) / count(*), 4) AS normalised_rate, round(count(*) FILTER (outcome = 'missing_correct') / greatest(count(*) FILTER (outcome IN ('missing_correct', 'missing_incorrect')), 1), 4) AS missing_detection_rate FROM {scored} WHERE outcome <> 'not_evaluated'), (SELECT count(*) AS rows, round(count(*) FILTER (complete) / count(*), 4) AS complete_row_rate, round(avg(accuracy), 4) AS average_row_accuracy FROM {row_scores})"),
+    "infer_from_text_vocab": duck(f"SELECT r.row_number, {_MAKER.replace('r.part_desc', 'r.text')} AS inferred FROM (SELECT row_number, concat_ws(' for ', part_desc, part_manuf) AS text FROM {{catalogue_v}}) r"),
+}
