@@ -1,7 +1,8 @@
 """Language ID with bit-sliced Bloom filters over byte n-grams.
 
 One Bloom filter per language, stored side by side: each place of the table holds a mask with a bit for each language,
-so k lookups and an AND give all languages that hold an n-gram. Per-language counts of a text, corrected for each
+so k lookups and an AND give all languages that hold an n-gram. A mask has 64 bits at most; each further 64 languages have
+a table of their own. Per-language counts of a text, corrected for each
 filter's false positives, decide.
 """
 
@@ -55,10 +56,10 @@ def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages in the order of their bits, the table of masks, and each filter's rate of false positives."""
+    """Languages in the order of their bits, a table of masks for each 64 of them, and each filter's rate of false positives."""
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     bits: int
     false_rate: np.ndarray
 
@@ -66,8 +67,6 @@ class Model:
     def build(cls, language: np.ndarray, gram: np.ndarray, count: np.ndarray) -> "Model":
         """From counts of each n-gram in each language."""
         names = sorted(set(language.tolist()))
-        if len(names) > 64:
-            raise ValueError("a mask has room for 64 languages")
         which = np.searchsorted(names, language)
         share = count / np.bincount(which, weights=count, minlength=len(names))[which]
         keys, key = np.unique(gram, return_inverse=True)
@@ -76,24 +75,29 @@ class Model:
         held = (share >= SHARE * best[key]) & (count > 1)
         most = int(np.bincount(which[held], minlength=1).max()) if held.any() else 1
         bits = max(10, math.ceil(math.log2(most * LOAD)))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(names))
-        table = np.zeros(1 << bits, kind)
-        for i in range(len(names)):
-            for place in _places(gram[held & (which == i)], bits):
-                table[place] |= kind(1) << kind(i)
-        fill = np.array([float(((table >> kind(i)) & kind(1)).mean()) for i in range(len(names))])
-        return cls(names, table, bits, fill**HASHES)
+        masks, fill = [], []
+        for first in range(0, len(names), 64):
+            here = range(first, min(first + 64, len(names)))
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(here))
+            table = np.zeros(1 << bits, kind)
+            for i in here:
+                for place in _places(gram[held & (which == i)], bits):
+                    table[place] |= kind(1) << kind(i - first)
+            fill += [float(((table >> kind(i - first)) & kind(1)).mean()) for i in here]
+            masks.append(table)
+        return cls(names, masks, bits, np.array(fill) ** HASHES)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row, corrected counts of its n-grams in each language; and how many n-grams it has."""
         found, first = grams(data, offsets)
         a, b, c = _places(found, self.bits)
-        masks = self.table[a] & self.table[b] & self.table[c]
         n = np.diff(first)
         out = np.zeros((len(n), len(self.languages)))
-        for i in range(len(self.languages)):
-            total = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)))
-            out[:, i] = total[first[1:]] - total[first[:-1]]
+        for k, table in enumerate(self.tables):
+            masks, kind = table[a] & table[b] & table[c], table.dtype.type
+            for i in range(64 * k, min(64 * k + 64, len(self.languages))):
+                total = np.concatenate(([0], np.cumsum((masks >> kind(i - 64 * k)) & kind(1), dtype=np.int64)))
+                out[:, i] = total[first[1:]] - total[first[:-1]]
         return np.maximum(0, (out - n[:, None] * self.false_rate) / (1 - self.false_rate)), n
 
 
