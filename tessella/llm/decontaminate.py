@@ -101,7 +101,7 @@ class FMIndex:
 class Benchmark:
     """The windows of a block of items: vocabulary (sorted word hashes) and windows of each length as numbers."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.window = window
         found: dict[int, list[tuple[bytes, int]]] = {}
         self.items = [i for i, _ in items]
@@ -186,7 +186,7 @@ def search_shard(bench: Benchmark, data: np.ndarray, offsets: np.ndarray) -> tup
 
 
 def _blocks(benchmark: DataFrame, text_col: str, id_col: str) -> list[DataFrame]:
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body")).where("body is not null")
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("id", "body"), F.lit(n)) == k) for k in range(n)]
@@ -207,7 +207,7 @@ def _search(docs: DataFrame, block: DataFrame, text_col: str, window: int) -> Da
             for a, b, data, offsets in text.slices(batch.column(at), SHARD_BYTES):
                 n_words, spans, items = search_shard(bench, data, offsets)
                 hits = [[dict(zip(("ws", "we", "bs", "be"), x)) for x in spans.get(k, [])] for k in range(b - a)]
-                names = [sorted({bench.items[i] for i in items.get(k, ())}) for k in range(b - a)]
+                names = [sorted({bench.items[i] for i in items.get(k, ())} - {None}) for k in range(b - a)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words), pa.array(hits, hit_type), pa.array(names, item_type)], [*batch.schema.names, "n_words", "hits", "items"])
 
@@ -235,7 +235,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """What of a benchmark each whole text holds: id_col, n_words, hits (merged spans of words and of UTF-8 bytes), items.
 
-    A row for each row of docs. Null texts have no words; items without id or text are left out; repeated items count
+    A row for each row of docs. Null texts have no words; items without text are left out, and those without an id hit words but are in no list; repeated items count
     once; an empty benchmark hits nothing; other columns aren't read. One narrow pass: nothing is shuffled. A
     benchmark of over BLOCK_BYTES is searched block by block, over numbered rows in the shared folder, and spans are
     merged.
@@ -272,7 +272,7 @@ iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1),
 dw AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
 m AS (SELECT dw.doc_id, dw.s, dw.k, iw.item_id FROM dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+g AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items, sha256(coalesce(g.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
 """
