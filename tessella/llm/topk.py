@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from . import tables
 
 #: Vectors of a block, of a group of blocks that a task holds, groups and queries that meet in a task.
-BLOCK, GROUP, GROUPS_AT_ONCE, QUERIES = 256, 32768, 4, 512
+BLOCK, GROUP, GROUPS_AT_ONCE, QUERIES = 256, 32768, 4, 8192
 _PACKED = "dim int, part long, ids binary, matrix binary"
 
 
@@ -29,6 +29,16 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
+def _bytes_of(m: np.ndarray) -> bytes:
+    """A matrix of integers in the least width of 2, 4 or 8 bytes that holds them all."""
+    largest = int(np.abs(m).max(initial=0))
+    return m.astype("<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<i8").tobytes()
+
+
+def _matrix_of(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // (rows * dim) if dim else 8}").reshape(rows, dim)
+
+
 def _pack(rows: DataFrame, most: int, by_likeness: bool) -> DataFrame:
     """Rows of up to `most` vectors of one dimension each, as matrices."""
 
@@ -44,7 +54,7 @@ def _pack(rows: DataFrame, most: int, by_likeness: bool) -> DataFrame:
                 order = np.lexsort((m[np.arange(len(m)), strongest], strongest))
                 ids, m = ids[order], m[order]
             part += 1
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int64()), pa.array([ids.tobytes()]), pa.array([m.astype("<i8").tobytes()])], ["dim", "part", "ids", "matrix"])
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int64()), pa.array([ids.tobytes()]), pa.array([_bytes_of(m)])], ["dim", "part", "ids", "matrix"])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
@@ -65,14 +75,16 @@ def _pack(rows: DataFrame, most: int, by_likeness: bool) -> DataFrame:
 
 
 def _unpack(table: pa.Table, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(i.as_py(), "<i8"), np.frombuffer(m.as_py(), "<i8").reshape(-1, dim)) for i, m in zip(table.column("ids"), table.column("matrix"))]
+    ids = [np.frombuffer(i.as_py(), "<i8") for i in table.column("ids")]
+    return [(i, _matrix_of(m.as_py(), len(i), dim)) for i, m in zip(ids, table.column("matrix"))]
 
 
 def top_k_of(query_ids: np.ndarray, queries: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query row, id, score) among groups of vectors with other ids; ties to smaller ids."""
     blocks = [(ids[a : a + BLOCK], m[a : a + BLOCK]) for ids, m in groups for a in range(0, len(ids), BLOCK)]
     dim = queries.shape[1]
-    largest = max([int(np.abs(queries).max(initial=0)) * int(max(np.abs(m).max(initial=0) for _, m in blocks)) * max(dim, 1)])
+    most = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    largest = most(queries) * max(most(m) for _, m in blocks) * max(dim, 1)
     kind = np.float64 if largest < 1 << 53 else np.int64
     q = queries.astype(kind)
     high, low = (np.stack([f(m, 0).astype(kind) for _, m in blocks]) for f in (np.max, np.min))
@@ -115,7 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     columns aren't read.
 
     Groups of blocks meet chunks of queries in a grid of tasks, each of bounded size; each gives at most k rows a
-    query, which are ranked per query. No task and no broadcast holds all queries or all vectors.
+    query, which are ranked per query. No task and no broadcast holds all queries or all vectors. A group moves once for
+    each chunk of QUERIES queries, in the least width that holds its numbers.
     """
     groups = tables.keep(_pack(integer_vectors(vectors, id_col, vector_col, scale), GROUP, True), "vectors")
     chunks = tables.keep(_pack(integer_vectors(queries, id_col, vector_col, scale).dropDuplicates(["id"]), QUERIES, False), "queries")
@@ -127,7 +140,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     def score(met: pa.Table) -> pa.Table:
         dim = met.column("dim")[0].as_py()
         query_ids = np.frombuffer(met.column("query_ids")[0].as_py(), "<i8")
-        queries = np.frombuffer(met.column("queries")[0].as_py(), "<i8").reshape(-1, dim)
+        queries = _matrix_of(met.column("queries")[0].as_py(), len(query_ids), dim)
         row, ids, scores = top_k_of(query_ids, queries, _unpack(met, dim), k)
         return pa.table({"query_id": query_ids[row], "vec_id": ids, "score": scores})
 
