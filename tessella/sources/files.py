@@ -89,6 +89,16 @@ def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     return normalise(with_row_number(numbered, "__file", "__order").select("row_number", *cells), path.rsplit("/", 1)[-1])
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """df, whose __id is monotonically_increasing_id(), with row_number from 2 on in its place. Only a count for each
+    partition is brought together; rows stay where they are read."""
+    part, place = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = df.groupBy(part).count().select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = df.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(starts), "__part")
+    return placed.withColumn("row_number", (F.col("__start") + place + 2).cast("int")).drop("__part", "__start", "__id")
+
+
 _LISTS = ["products", "items", "rows", "records", "data", "catalogue", "catalog"]
 
 
@@ -108,13 +118,13 @@ def read_catalogue_json(spark: SparkSession, path: str, columns: list[str]) -> D
 
 
 def read_catalogue_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Records of an XML feed: attributes and child text as columns. A file that declares a document type or entities is
+    """Records of an XML feed: attributes and child text as columns, all of them text as written. A file that declares a document type or entities is
     refused before it is parsed."""
     if spark.read.text(path).where(F.lower("value").rlike("<!(doctype|entity)")).head(1):
         raise ValueError("a feed with a document type or entities is refused")
-    raw = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").option("inferSchema", True).load(path)
-    numbered = raw.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + 1).alias("row_number"), *(F.col(f"`{c}`").cast("string").alias(canonical_header(c)) for c in raw.columns))
-    return normalise(numbered, path.rsplit("/", 1)[-1])
+    raw = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").option("inferSchema", False).load(path)
+    cells = raw.select(F.monotonically_increasing_id().alias("__id"), *(F.col(f"`{c}`").cast("string").alias(canonical_header(c)) for c in raw.columns))
+    return normalise(_numbered(cells), path.rsplit("/", 1)[-1])
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:

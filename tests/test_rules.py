@@ -148,3 +148,14 @@ def test_feeds_are_decoded_by_all_their_bytes(spark, tmp_path):
     assert read(tmp_path / "a b.csv") == cp1252 and read(tmp_path / "utf8.csv") == utf8
     assert [r[2] for r in read(tmp_path / "latin.csv")] == ["y"]
     assert [r for r in read(tmp_path) if r[2] != "y"] == sorted(cp1252 + utf8)
+
+
+def test_xml_values_stay_as_written_and_rows_are_numbered(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<c>" + "".join(f'<item id="0{k:04d}"><price>{k}.50</price></item>' for k in range(40)) + "</c>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = files.read_catalogue_xml(spark, str(tmp_path / "a.xml"), "item").orderBy("row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.row_number for r in got] == list(range(2, 42))
+    assert [(r.id, r.price) for r in got] == [(f"0{k:04d}", f"{k}.50") for k in range(40)]
