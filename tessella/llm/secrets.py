@@ -94,11 +94,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     for each input row; null texts have no spans; a null owner or repository counts as one of its own; repeated rows
     are scanned each; other columns aren't read.
 
-    The scan is one narrow pass whose candidates are written to the shared folder; only candidates are shuffled.
+    The scan is one narrow pass whose candidates are written to the shared folder, as is the ownership of their values;
+    only candidates are shuffled. Texts of any length are scanned whole.
     """
     scanned = tables.keep(_scan(docs, text_col, id_col, owner_col, repo_col), "secrets")
     flat = scanned.where(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
-    judged = flat.select("row", "kind", "start", "end", "hash").join(ownership(flat), "hash")
+    # Written first, so that its size is known where it is joined: a small one goes to all tasks, and a value that a third
+    # of rows hold can be split where it doesn't.
+    owned = tables.keep(ownership(flat), "ownership")
+    judged = flat.select("row", "kind", "start", "end", "hash").join(owned, "hash")
     live = (F.col("n_owners") < copied_from) & (F.col("n_repos") < copied_repos)
     one = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "end", "kind", "n_owners", "n_repos", live.alias("live"))
     per_row = judged.groupBy("row").agg(F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_copied"), F.sort_array(F.collect_list(one)).alias("held"))
