@@ -18,11 +18,12 @@ def read_batch(spark: SparkSession, root: str, organization: str, batch: str) ->
 
 
 def drop_batch(spark: SparkSession, root: str, organization: str, batch: str) -> int:
-    """Remove one named batch of an organisation and say how many rows it had; 0 for an unknown one."""
-    n = read_batch(spark, root, organization, batch).count()
+    """Empty one named batch of an organisation and say how many rows it had; 0 for an unknown one."""
+    rows = read_batch(spark, root, organization, batch)
+    n = rows.count()
     if n:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/organization_id={organization}/batch_id={batch}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        none = spark.createDataFrame([], rows.drop(*KEYS).schema)
+        none.write.mode("overwrite").parquet(f"{root}/organization_id={organization}/batch_id={batch}")
     return n
 
 
