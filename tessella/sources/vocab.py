@@ -53,7 +53,7 @@ def load_vocab(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.coalesce(*(F.when(name.startswith(start), F.lit(k)) for start, k in FILE_KINDS))
     parts = []
     csv = spark.read.option("header", True).option("multiLine", True).schema("canonical string, aliases string, source string").option("pathGlobFilter", "*.csv")
-    rows = csv.csv(folder).select(kind.alias("vocab"), name.alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("canonical").alias("canonical"), F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), F.trim), lambda x: x != "").alias("aliases"), F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("file")).alias("source"))
+    rows = csv.csv(folder).select(kind.alias("vocab"), name.alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("canonical").alias("canonical"), F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "").alias("aliases"), F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("file")).alias("source"))
     parts.append(rows)
     entry = "struct<type:string,entries:array<struct<canonical:string,aliases:array<string>,source:string>>>"
     texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
