@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..resources import values as V
 from .views import duck
 
@@ -323,3 +325,95 @@ ORACLES |= {
     "evaluation_summary": _on("SELECT * FROM (SELECT count(*) AS fields, round(count(*) FILTER (outcome = 'exact') / count(*), 4) AS exact_rate, round(count(*) FILTER (outcome IN ('exact', 'normalised')) / count(*), 4) AS normalised_rate, round(count(*) FILTER (outcome = 'missing_correct') / greatest(count(*) FILTER (outcome IN ('missing_correct', 'missing_incorrect')), 1), 4) AS missing_detection_rate FROM {scored} WHERE outcome <> 'not_evaluated'), (SELECT count(*) AS rows, round(count(*) FILTER (complete) / count(*), 4) AS complete_row_rate, round(avg(accuracy), 4) AS average_row_accuracy FROM {row_scores})"),
     "infer_from_text_vocab": duck(f"SELECT r.row_number, {_MAKER.replace('r.part_desc', 'r.text')} AS inferred FROM (SELECT row_number, concat_ws(' for ', part_desc, part_manuf) AS text FROM {{catalogue_v}}) r"),
 }
+
+
+def _got(text: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({text}, {_q(pattern)}, {group}), '')"
+
+
+def _unit(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} = {_q(f)} THEN {_q(u)}" for u, d, forms in V.UNITS if d in ("pressure", "length") for f in forms) + " END"
+
+
+def _whole_word(text: str, rows: list[tuple[str, str]]) -> str:
+    """The name of the first form that stands in the text as a word."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {_q('(?i)' + chr(92) + 'b' + re.escape(f) + chr(92) + 'b')}) THEN {_q(n)}" for f, n in rows) + " END"
+
+
+_PRESSED, _MEASURED = r"(?i)\b(\d+)\s*(psi|bar|wog|cwp|swp|kpa|mpa)\b", r"(?i)\b(\d+(?:[-/]\d+)?|\d+\.\d+)\s*(?:in|inch|inches|mm|cm)\b"
+_MEASURE = r"(?i)\b\d+(?:[-/]\d+)?\s*(in|inch|inches|mm|cm)\b"
+_WEIGHED = r"(?i)\b(\d+(?:\.\d+)?)\s*(lbs?|pounds?|kg|ounces?|oz)\b"
+_LENGTH = r"(\d+(?:[-/]\d+|\.\d+)?|\.\d+)"
+_SIDED = rf'(?i){_LENGTH}\s*(?:in|inch|")\s*x\s*{_LENGTH}\s*(?:in|inch|")'
+_NO_PART = "SELECT row_number, part_desc AS d, CASE WHEN coalesce(mfg_part_num, '') = '' THEN part_desc ELSE regexp_replace(part_desc, '(?i)(^|[^A-Za-z0-9])' || mfg_part_num || '($|[^A-Za-z0-9])', '\\1 \\2', 'g') END AS t FROM {catalogue_v}"
+_STATED = [
+    ("Grit", "coalesce(" + ", ".join(_got("t", p) for p in (r"(?i)\b(P\d{2,4})\b", r"(?i)\b(\d{2,4})\s*-?\s*Grit\b", r"(?i)\bGrit\s*-?\s*(\d{2,4})\b")) + ")", "NULL"),
+    ("Voltage Rating", _got("t", r"(?i)\b(\d+)\s*V\b"), "'V'"), ("Amperage Rating", _got("t", r"(?i)\b(\d{1,4})\s*A\b"), "'A'"),
+    ("Horsepower", _got("t", r"(?i)\b(\d+(?:\.\d+)?)\s*HP\b"), "'HP'"), ("Size", f"{_got('d', _SIDED)} || ' in x ' || {_got('d', _SIDED, 2)} || ' in'", "NULL"),
+    ("Weight", _got("d", _WEIGHED), f"upper({_got('d', _WEIGHED, 2)})"),
+]
+_LABEL = r"^([A-Z][A-Za-z0-9/()]*(?:[ -][A-Z][A-Za-z0-9/()]*){0,3}):\s+(.{1,60})$"
+_LINES = "SELECT document_id, page, unnest(range(len(l))) AS line, trim(unnest(l)) AS l FROM (SELECT document_id, page, string_split_regex(text, '\\r?\\n') AS l FROM {doc_pages_v})"
+_LABELLED = f"""SELECT *, row_number() OVER (PARTITION BY document_id, lower(label) ORDER BY page, line) AS once
+FROM (SELECT document_id, page, line, trim({_got('l', _LABEL)}) AS label, trim({_got('l', _LABEL, 2)}) AS value FROM {{lines}} WHERE length(l) BETWEEN 1 AND 120)
+WHERE label IS NOT NULL AND value <> '' AND lower(label) NOT IN ('page', 'copyright', 'phone', 'fax', 'email', 'website', 'note', 'notes') AND NOT contains(lower(value), 'http')
+AND len(string_split_regex(value, '\\s+')) <= 8 AND NOT regexp_matches(value, '[.,;]$|^[a-z]')"""
+_OFFERED = "SELECT 'p' || CAST(page_id % 40 AS VARCHAR) AS part_number, page_id AS rank, url FROM {pages_v}"
+_SEARCHED = "(contains(lower(c.url), '/search') OR contains(lower(c.url), 'q=') OR contains(lower(c.url), 'query='))"
+_HELD = f"SELECT c.part_number, c.rank, c.url, contains(lower(p.html), c.part_number) AS held, contains(lower(p.html), c.part_number) AND NOT {_SEARCHED} AS found FROM {{offered}} c JOIN {{pages_v}} p ON p.url = c.url WHERE NOT {_BLOCKED.replace('(url', '(c.url')}"
+_CHECKED = "SELECT part_number, rank, url, CASE WHEN found THEN 'verified' ELSE 'fetched' END AS status, CASE WHEN found THEN 0.9::DOUBLE WHEN held THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS confidence FROM (SELECT *, min(rank) FILTER (found) OVER (PARTITION BY part_number) AS first_found FROM {held}) WHERE first_found IS NULL OR rank <= first_found"
+_SHOWN = r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t,
+lower(string_split_regex(substr(trim(regexp_replace(nullif(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), ''), '<[^>]+>', ' ', 'g')), 1, 200), ' +')[1]) AS w FROM {pages_v}"""
+_AROUND = "SELECT page_id, t, greatest(strpos(lower(t), w) - 40, 1) AS b, least(strpos(lower(t), w) - 1 + length(w) + 40, length(t)) AS e FROM {shown} WHERE contains(lower(t), w)"
+#: Parts of names that begin one another, for the choice between a manufacturer's domains.
+_ASKED = f"SELECT row_number, CASE row_number % 3 WHEN 0 THEN 'Freud' WHEN 1 THEN 'Apollo Valves' ELSE 'Appliance Dealers Cooperative' END AS manufacturer, part_desc || CASE WHEN row_number % 2 = 0 THEN ' Diablo Whirlpool' ELSE '' END || CASE WHEN brand IS NULL OR {_placeholder('brand')} THEN '' ELSE ' ' || brand END AS text FROM {{catalogue_v}}"
+_OWN = _values([(m, k, d, x) for m, ds in V.MANUFACTURER_DOMAINS.items() for k, d in enumerate(ds) for x in d.lower().split(".") if x not in ("com", "net", "org", "co", "de", "jp", "www")], "manufacturer, k, domain, label")
+_ASKED_WORDS = "SELECT DISTINCT row_number, manufacturer, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM {asked}"
+_MEETS = "length(w.w) >= 4 AND (starts_with(o.label, w.w) OR starts_with(w.w, o.label))"
+_NAMED_DOMAINS = f"SELECT w.row_number, count(DISTINCT o.domain) AS n, min(o.domain) AS domain FROM {{asked_words}} w JOIN {{own}} o ON o.manufacturer = w.manufacturer AND {_MEETS} GROUP BY 1"
+_SAME_NAME = f"SELECT manufacturer, count(DISTINCT domain) AS n FROM {{own}} o JOIN (SELECT DISTINCT manufacturer AS m, unnest(string_split_regex(lower(manufacturer), '[^a-z0-9]+')) AS w FROM {{own}}) w ON w.m = o.manufacturer AND {_MEETS} GROUP BY 1"
+_LISTED = _values([(m, len(ds), ds[0]) for m, ds in V.MANUFACTURER_DOMAINS.items() if ds], "manufacturer, n, domain")
+_NOUN = "trim(string_split(coalesce(fine, ''), '&')[1])"
+_LAST = f"string_split_regex({_NOUN}, ' +')[-1]"
+
+ORACLES |= {
+    "extract_specs": duck(f"SELECT row_number, {_whole_word('part_desc', sorted(V.MATERIALS.items(), key=lambda x: -len(x[0])))} AS material, {_got('part_desc', _PRESSED)} AS pressure, {_unit(f'lower({_got("part_desc", _PRESSED, 2)})')} AS pressure_uom, {_got('part_desc', _MEASURED)} AS size, {_unit(f'lower({_got("part_desc", _MEASURE)})')} AS size_uom, {_whole_word('part_desc', [(x, x) for x in V.CONNECTIONS])} AS connection_type, {_got('part_desc', '(?i)(-?[0-9]+°[FC][ ]*to[ ]*-?[0-9]+°[FC])')} AS temperature_range FROM {{catalogue_v}}"),
+    "extract_dimensions": duck(f"SELECT row_number, {_got('x', _WEIGHED)} AS weight, upper({_got('x', _WEIGHED, 2)}) AS weight_uom, {_got('x', _SIDED)} AS width, {_got('x', _SIDED, 2)} AS length FROM (SELECT row_number, part_desc || ' ' || size || ' in x 3-1/2 in, .5 lb' AS x FROM {{catalogue_v}})"),
+    "extract_attributes": duck("SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_number, {_q(n)} AS label, {v} AS value, {u} AS uom FROM {{no_part}}" for n, v, u in _STATED) + ") WHERE value IS NOT NULL", no_part=_NO_PART),
+    "label_value_lines": duck("SELECT document_id, CAST(position AS INTEGER) AS position, label, value FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, line) AS position FROM {labelled} WHERE once = 1) WHERE position <= 20", lines=_LINES, labelled=_LABELLED),
+    "documents_for_part": duck("SELECT a.document_id, p.n AS n_proposals FROM (SELECT document_id, length(text) AS created_at FROM {doc_pages_v} WHERE page = 1 AND document_id IN (SELECT document_id FROM {facts} WHERE name = 'part_number' AND lower(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) = 'apo105') AND EXISTS (SELECT 1 FROM {catalogue_v} WHERE lower(regexp_replace(mfg_part_num, '[^A-Za-z0-9]', '', 'g')) = 'apo105') ORDER BY created_at DESC, document_id LIMIT 200) a LEFT JOIN (SELECT document_id, CAST(count(*) AS INTEGER) AS n FROM {facts} WHERE name <> 'part_number' GROUP BY 1) p ON p.document_id = a.document_id", facts_all=_FACTS, facts=_FOUND),
+    "candidate_urls": duck("SELECT row_number, CAST(rank AS INTEGER) AS rank, head || CASE WHEN head LIKE '%q=' THEN trim(mfg_part_num) ELSE replace(lower(trim(mfg_part_num)), ' ', '-') END AS url FROM {catalogue_v}, {heads} WHERE mfg_part_num IS NOT NULL", heads=_values([(k, f"https://www.{d}/{x}") for k, (x, d) in enumerate([(x, d) for d in ("parker.com", "apollovalves.com") for x in ("product/", "products/", "us/en/product/")] + [("search?q=", d) for d in ("parker.com", "apollovalves.com")])], "rank, head")),
+    "match_snippet": duck("SELECT s.page_id, CASE WHEN trim(substr(a.t, a.b, a.e - a.b + 1)) <> '' THEN CASE WHEN b > 1 THEN '…' ELSE '' END || trim(substr(a.t, a.b, a.e - a.b + 1)) || CASE WHEN e < length(a.t) THEN '…' ELSE '' END END AS snippet FROM {shown} s LEFT JOIN {around} a ON a.page_id = s.page_id", shown=_SHOWN, around=_AROUND),
+    "verify_on_pages": duck(_CHECKED, offered=_OFFERED, held=_HELD),
+    "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
+    "resolve_domain": duck("SELECT a.row_number, CASE WHEN l.n = 1 THEN l.domain WHEN d.n = 1 THEN d.domain WHEN s.n = l.n THEN l.domain END AS domain FROM {asked} a LEFT JOIN {listed} l ON l.manufacturer = a.manufacturer LEFT JOIN {named_domains} d ON d.row_number = a.row_number LEFT JOIN {same_name} s ON s.manufacturer = a.manufacturer", asked=_ASKED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME),
+    "product_noun": duck(f"SELECT row_number, CASE WHEN regexp_matches({_LAST}, '..ies$') THEN regexp_replace({_NOUN}, 'ies$', 'y') WHEN regexp_matches({_LAST}, '(ses|xes|ches|shes)$') THEN regexp_replace({_NOUN}, 'es$', '') WHEN regexp_matches({_LAST}, '[^s]s$') THEN regexp_replace({_NOUN}, 's$', '') ELSE {_NOUN} END AS noun, regexp_replace(trim(classpath), ' *> *', '>', 'g') AS path FROM {{classes}}", classes=_taxonomy()),
+}
+
+
+def _json(x: str) -> str:
+    return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+
+def _member(name: str, x: str, before: str = "", after: str = "") -> str:
+    ""","name":value, or nothing where there is no value."""
+    return f"""coalesce(',"{name}":{before}' || CAST(to_json({x}) AS VARCHAR) || '{after}', '')"""
+
+
+def _property(name: str, role: str, more: str = "''") -> str:
+    return f"""CASE WHEN {role} IS NOT NULL THEN '{{"@type":"PropertyValue","name":"{name}","value":' || CAST(to_json({role}) AS VARCHAR) || {more} || '}}' END"""
+
+
+_EMPTIED = "SELECT row_number, " + ", ".join(f"nullif({r}, '') AS {r}" for r in ("description", "part_number", "manufacturer", "brand", "material", "size", "uom", "pressure")) + " FROM {wide}"
+_PROPERTIES = f"concat_ws(',', {_property('Material', 'material')}, {_property('Size', 'size', _member('unitText', 'uom'))}, {_property('Pressure Rating', 'pressure')})"
+_PRODUCT = " || ".join([
+    """'{"@context":"https://schema.org","@type":"Product"'""", _member("name", "description"), _member("sku", "part_number"), _member("mpn", "part_number"),
+    _member("brand", "brand", '{"@type":"Brand","name":', "}"), _member("manufacturer", "manufacturer", '{"@type":"Organization","name":', "}"),
+    f"""coalesce(',"additionalProperty":[' || nullif({_PROPERTIES}, '') || ']', '')""", "'}'",
+])
+_FIELD = f"""to_json("column") || ':{{"value":' || {_json('canonical_value')} || ',"confidence":' || CAST(CAST(confidence AS DOUBLE) AS VARCHAR) || ',"status":' || {_json('status')} || ',"raw":' || {_json('raw_value')} || ',"how":' || {_json('transformation')} || '}}'"""
+
+ORACLES |= {
+    "export_json": _on(f"""SELECT e.row_number, '{{"row_number":' || e.row_number || ',"status":' || {_json('e.overall_status')} || ',"confidence":' || CAST(CAST(e.overall_confidence AS DOUBLE) AS VARCHAR) || ',"fields":{{' || f.f || '}}}}' AS json FROM {{enriched}} e JOIN (SELECT row_number, string_agg({_FIELD}, ',' ORDER BY position) AS f FROM {{fields}} GROUP BY 1) f ON f.row_number = e.row_number"""),
+    "export_jsonld": duck(f"SELECT row_number, {_PRODUCT} AS json FROM {{emptied}}", **_STEPS, emptied=_EMPTIED),
+}
