@@ -62,7 +62,10 @@ def asset_names(brand: Column, part: Column) -> Column:
 
 def delivery_record(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """df with part_number_out, manufacturer_name, brand_name, classification, descriptions, bullets, triplets, size,
-    addresses and asset names, kept as structs and arrays; wide_record() makes the 252 columns of it at the sink."""
+    addresses and asset names, kept as structs and arrays; wide_record() makes the 252 columns of it at the sink.
+
+    Standards and warranty are the format's fixed texts, which every row gets, those without a class too: they tell
+    nothing of the product."""
     columns = df.columns if columns is None else columns
     slots = resolve_brand_slots(columns)
     out = df.select("*", *(s.alias(f"_slot{k}") for k, s in enumerate(slots)))
@@ -77,6 +80,8 @@ def delivery_record(df: DataFrame, columns: list[str] | None = None) -> DataFram
     out = out.withColumn("attributes", F.slice(taxonomy.attribute_template("stated", "_class.classpath"), 1, 50)).withColumn("dimensions", X.extract_dimensions("description_out"))
     out = out.withColumn("domain", web.resolve_domain("manufacturer_name", "description_out", [F.col(f"_slot{k}") for k in range(3)]))
     out = out.withColumn("sources", web.candidate_sources("manufacturer_name", "part_number_out", "domain")).withColumn("assets", asset_names(F.col("brand_name"), F.col("part_number_out")))
+    standards = F.when(F.contains("_class.dept", F.lit("Appliances")), V.APPLIANCE_STANDARDS).otherwise(V.STANDARDS)
+    out = out.withColumn("standards", standards).withColumn("warranty", F.lit(V.WARRANTY))
     none = lambda c: F.when(F.col("unresolved"), "").otherwise(c)
     out = out.select("*", none(F.col("_class.dept")).alias("dept"), none(F.col("_class.class_name")).alias("class_name"), none(F.col("_class.fine")).alias("fine"), none(taxonomy.delivery_classpath("_class.classpath")).alias("delivery_path"), none(taxonomy.product_noun("_class.fine")).alias("product_name"))
     return out
@@ -94,6 +99,7 @@ def wide_record(record: DataFrame) -> DataFrame:
         "SHORT_DESC": F.col("tiers.short"), "LONG_DESC1": F.col("tiers.long"), "RETAIL_DESC": F.col("tiers.retail"), "Product Name": F.col("product_name"),
         "LENGTH": F.col("dimensions.length"), "LENGTH_UOM": F.when(F.col("dimensions.length").isNotNull(), "in"), "WIDTH": F.col("dimensions.width"), "WIDTH_UOM": F.when(F.col("dimensions.width").isNotNull(), "in"),
         "WEIGHT": F.col("dimensions.weight"), "WEIGHT_UOM": F.col("dimensions.weight_uom"), "Product Image": F.col("assets.image"), "Specification Sheet": F.col("assets.sheet"), "Actual Image (Yes/No)": F.lit("Yes"),
+        "Standard/Approvals": F.col("standards"), "Warranty": F.col("warranty"),
     }
     made |= {f"ITEM_FEATURES_{k}": item("features", k - 1) for k in range(1, 21)}
     made |= {f"ATTRIBUTE_{x} {k}": item("attributes", k - 1, x.lower()) for k in range(1, 51) for x in ("LABEL", "VALUE", "UOM")}

@@ -126,6 +126,8 @@ def test_json_and_xml_feeds(spark, tmp_path):
     a = tmp_path / "a.json"
     a.write_text('{"items": [{"SKU": "A", "n": {"x": 1}}, 5, {"SKU": "B"}]}')
     assert [r.sku for r in files.read_catalogue_json(spark, str(a), ["SKU", "n"]).orderBy("row_number").collect()] == ["A", "B"]
+    whole = files.read_catalogue_json(spark, str(a))
+    assert {"n", "sku"} < set(whole.columns) and [(r.sku, r.n) for r in whole.orderBy("row_number").collect()] == [("A", '{"x":1}'), ("B", None)]
     x = tmp_path / "a.xml"
     x.write_text('<feed><item id="7"><SKU>A</SKU></item><item id="8"><SKU>B</SKU></item></feed>')
     assert sorted((r.id, r.sku) for r in files.read_catalogue_xml(spark, str(x), "item").collect()) == [("7", "A"), ("8", "B")]
@@ -159,3 +161,24 @@ def test_xml_values_stay_as_written_and_rows_are_numbered(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.row_number for r in got] == list(range(2, 42))
     assert [(r.id, r.price) for r in got] == [(f"0{k:04d}", f"{k}.50") for k in range(40)]
+
+
+def test_class_paths_are_trimmed_at_their_parts(spark):
+    assert _one(spark, taxonomy.delivery_classpath, " A > B  >C ") == "A>B>C"
+    family = next(iter(V.ATTRIBUTE_LABELS))
+    found = F.array(F.struct(F.lit("Grit").alias("label"), F.lit("P80").alias("value"), F.lit(None).cast("string").alias("uom")))
+    laid = _one(spark, lambda c: taxonomy.attribute_template(found, c), f"Top > {family} > Leaf")
+    assert [x.label for x in laid][: len(V.ATTRIBUTE_LABELS[family])] == V.ATTRIBUTE_LABELS[family]
+
+
+def test_standards_and_warranty_are_fixed_texts(spark):
+    df = spark.createDataFrame([("P1", "hose clamp", None), (None, None, None)], "mfg_part_num string, part_desc string, part_manuf string")
+    got = delivery.wide_record(delivery.delivery_record(df)).select("`Standard/Approvals`", "Warranty").collect()
+    assert [tuple(r) for r in got] == [(V.STANDARDS, V.WARRANTY)] * 2
+
+
+def test_export_delivery_writes_all_columns(spark, tmp_path):
+    df = spark.createDataFrame([("P1", 'a "quoted", part', "Apollo")], "mfg_part_num string, part_desc string, part_manuf string")
+    delivery.export_delivery(df, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.columns == V.delivery_columns() and back.first()["Part_Desc"] == 'a "quoted", part'
