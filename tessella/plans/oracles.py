@@ -375,6 +375,8 @@ _SAME_NAME = f"SELECT manufacturer, count(DISTINCT domain) AS n FROM {{own}} o J
 _LISTED = _values([(m, len(ds), ds[0]) for m, ds in V.MANUFACTURER_DOMAINS.items() if ds], "manufacturer, n, domain")
 _NOUN = "trim(string_split(coalesce(fine, ''), '&')[1])"
 _LAST = f"string_split_regex({_NOUN}, ' +')[-1]"
+_RESOLVED = "SELECT a.row_number, CASE WHEN l.n = 1 THEN l.domain WHEN d.n = 1 THEN d.domain WHEN s.n = l.n THEN l.domain END AS domain FROM {asked} a LEFT JOIN {listed} l ON l.manufacturer = a.manufacturer LEFT JOIN {named_domains} d ON d.row_number = a.row_number LEFT JOIN {same_name} s ON s.manufacturer = a.manufacturer"
+_NOUNS = f"SELECT row_number, CASE WHEN regexp_matches({_LAST}, '..ies$') THEN regexp_replace({_NOUN}, 'ies$', 'y') WHEN regexp_matches({_LAST}, '(ses|xes|ches|shes)$') THEN regexp_replace({_NOUN}, 'es$', '') WHEN regexp_matches({_LAST}, '[^s]s$') THEN regexp_replace({_NOUN}, 's$', '') ELSE {_NOUN} END AS noun, regexp_replace(trim(classpath), ' *> *', '>', 'g') AS path FROM {{classes}}"
 
 ORACLES |= {
     "extract_specs": duck(f"SELECT row_number, {_whole_word('part_desc', sorted(V.MATERIALS.items(), key=lambda x: -len(x[0])))} AS material, {_got('part_desc', _PRESSED)} AS pressure, {_unit(f'lower({_got("part_desc", _PRESSED, 2)})')} AS pressure_uom, {_got('part_desc', _MEASURED)} AS size, {_unit(f'lower({_got("part_desc", _MEASURE)})')} AS size_uom, {_whole_word('part_desc', [(x, x) for x in V.CONNECTIONS])} AS connection_type, {_got('part_desc', '(?i)(-?[0-9]+°[FC][ ]*to[ ]*-?[0-9]+°[FC])')} AS temperature_range FROM {{catalogue_v}}"),
@@ -386,8 +388,8 @@ ORACLES |= {
     "match_snippet": duck("SELECT s.page_id, CASE WHEN trim(substr(a.t, a.b, a.e - a.b + 1)) <> '' THEN CASE WHEN b > 1 THEN '…' ELSE '' END || trim(substr(a.t, a.b, a.e - a.b + 1)) || CASE WHEN e < length(a.t) THEN '…' ELSE '' END END AS snippet FROM {shown} s LEFT JOIN {around} a ON a.page_id = s.page_id", shown=_SHOWN, around=_AROUND),
     "verify_on_pages": duck(_CHECKED, offered=_OFFERED, held=_HELD),
     "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
-    "resolve_domain": duck("SELECT a.row_number, CASE WHEN l.n = 1 THEN l.domain WHEN d.n = 1 THEN d.domain WHEN s.n = l.n THEN l.domain END AS domain FROM {asked} a LEFT JOIN {listed} l ON l.manufacturer = a.manufacturer LEFT JOIN {named_domains} d ON d.row_number = a.row_number LEFT JOIN {same_name} s ON s.manufacturer = a.manufacturer", asked=_ASKED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME),
-    "product_noun": duck(f"SELECT row_number, CASE WHEN regexp_matches({_LAST}, '..ies$') THEN regexp_replace({_NOUN}, 'ies$', 'y') WHEN regexp_matches({_LAST}, '(ses|xes|ches|shes)$') THEN regexp_replace({_NOUN}, 'es$', '') WHEN regexp_matches({_LAST}, '[^s]s$') THEN regexp_replace({_NOUN}, 's$', '') ELSE {_NOUN} END AS noun, regexp_replace(trim(classpath), ' *> *', '>', 'g') AS path FROM {{classes}}", classes=_taxonomy()),
+    "resolve_domain": duck(_RESOLVED, asked=_ASKED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME),
+    "product_noun": duck(_NOUNS, classes=_taxonomy()),
 }
 
 
@@ -417,3 +419,19 @@ ORACLES |= {
     "export_json": _on(f"""SELECT e.row_number, '{{"row_number":' || e.row_number || ',"status":' || {_json('e.overall_status')} || ',"confidence":' || CAST(CAST(e.overall_confidence AS DOUBLE) AS VARCHAR) || ',"fields":{{' || f.f || '}}}}' AS json FROM {{enriched}} e JOIN (SELECT row_number, string_agg({_FIELD}, ',' ORDER BY position) AS f FROM {{fields}} GROUP BY 1) f ON f.row_number = e.row_number"""),
     "export_jsonld": duck(f"SELECT row_number, {_PRODUCT} AS json FROM {{emptied}}", **_STEPS, emptied=_EMPTIED),
 }
+
+_SUPPLIED = f"SELECT c.row_number, trim(coalesce(c.mfg_part_num, '')) AS part, coalesce({_code('c.part_manuf')}, '') AS maker, c.part_desc AS text, c.brand, k.dept, k.class_name, k.fine, k.classpath, k.classpath = {_q(V.GENERIC_PATH)} AS open FROM {{catalogue_v}} c JOIN {{classes}} k ON k.row_number = c.row_number"
+_STATED_ROWS = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_number, {k} AS k, {_q(n)} AS label, {v} AS value, {u} AS uom FROM {{no_part}}" for k, (n, v, u) in enumerate(_STATED)) + ") WHERE value IS NOT NULL"
+_FAMILIES = _values([(f, x) for f, labels in V.ATTRIBUTE_LABELS.items() for x in labels], "family, label")
+#: The family of a path is its last part that is one.
+_FAMILY = "SELECT row_number, arg_max(s, i) AS family FROM (SELECT row_number, trim(unnest(string_split(classpath, '>'))) AS s, unnest(range(len(string_split(classpath, '>')))) AS i FROM {supplied}) WHERE s IN (SELECT family FROM {families}) GROUP BY 1"
+_LAID = "SELECT row_number, label FROM {stated_rows} UNION SELECT f.row_number, l.label FROM {family} f JOIN {families} l ON l.family = f.family"
+_PATHED = f"""SELECT s.row_number, s.part AS part_number_out, s.maker AS manufacturer_name, s.brand AS brand_name, CASE WHEN s.open THEN '' ELSE s.dept END AS dept, CASE WHEN s.open THEN '' ELSE s.fine END AS fine,
+CASE WHEN s.open THEN '' ELSE regexp_replace(trim(s.classpath), ' *> *', '>', 'g') END AS delivery_path, CASE WHEN s.open THEN '' ELSE w.noun END AS product_name, substr(upper(s.text), 1, 60) AS invoice, coalesce(b.features, '') AS features,
+CAST(least(50, coalesce(a.n, 0)) AS INTEGER) AS n_attributes, d.domain, regexp_replace(upper(s.brand), '[^A-Z0-9]+', '', 'g') || '_' || regexp_replace(upper(s.part), '[^A-Z0-9_-]+', '_', 'g') || '.jpg' AS image
+FROM {{supplied}} s JOIN {{nouns}} w ON w.row_number = s.row_number LEFT JOIN (SELECT row_number, string_agg(label || ': ' || value || coalesce(' ' || uom, ''), '|' ORDER BY k) AS features FROM {{stated_rows}} GROUP BY 1) b ON b.row_number = s.row_number
+LEFT JOIN (SELECT row_number, count(*) AS n FROM {{laid}} GROUP BY 1) a ON a.row_number = s.row_number LEFT JOIN {{resolved}} d ON d.row_number = s.row_number"""
+
+ORACLES |= {
+    "delivery_record": duck(_PATHED, classes=_taxonomy(), supplied=_SUPPLIED, no_part=_NO_PART, stated_rows=_STATED_ROWS, families=_FAMILIES, family=_FAMILY, laid=_LAID, nouns=_NOUNS, resolved=_RESOLVED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME, asked="SELECT row_number, maker AS manufacturer, text || ' ' || brand AS text FROM {supplied}"),
+}
