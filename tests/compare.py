@@ -19,7 +19,7 @@ def duck(sf: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         x = x.item() if hasattr(x, "item") else x
         if isinstance(x, bool):
