@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw import op11_context_tree_weighting
 from .decontaminate import OP9_SQL, op9_decontamination
 from .fim import OP12_SQL, op12_fill_in_middle
 from .jaccard import op1_ngram_jaccard_join
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_decontamination": op9_decontamination,
     "op10_exact_topk": op10_exact_topk,
+    "op11_context_tree_weighting": op11_context_tree_weighting,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_prefix_trie": op13_prefix_trie,
 }
