@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import cells as C, extract as X
@@ -61,6 +64,38 @@ def test_keywords_are_whole_words(spark):
     assert _one(spark, taxonomy.classification, "widget", "Mirka USA")["dept"] == "Abrasives & Cutting Tools"
 
 
+def test_the_dictionary_finds_what_the_patterns_of_the_rules_find(spark):
+    rnd = random.Random(5)
+    words = [w for x in V.TAXONOMY for w in x[0]]
+
+    def text():
+        parts = []
+        for _ in range(rnd.randint(0, 6)):
+            w = rnd.choice(words) if rnd.random() < 0.5 else rnd.choice(["hose", "clamp", "wide", "safety", "x9"])
+            w = w.upper() if rnd.random() < 0.3 else w[: rnd.randint(1, len(w))] if rnd.random() < 0.2 else w
+            parts.append(w + rnd.choice(["", "", "s", "es", "ing", "ed", "er"]) + rnd.choice([" ", "-", "  ", "/", "", ", ", "é", "1"]))
+        return None if rnd.random() < 0.05 else "".join(parts)
+
+    def rule(t):
+        t = (t or "").lower()
+        for k, (words, *_) in enumerate(V.TAXONOMY):
+            for w in words:
+                if re.search(f"(?<![{V.KEYWORD_BORDERS.get(w, 'A-Za-z0-9')}]){re.escape(w)}(?:s|es|ing|ed)?(?![A-Za-z0-9])", t):
+                    return k
+        return None
+
+    def path(d, m):
+        k = rule(d)
+        return rule(m) if k is None else k
+
+    rows = [(text(), text()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "d string, m string").repartition(4)
+    starts = [x[1] for x in V.TAXONOMY]
+    for r in df.select("d", "m", taxonomy.classification("d", "m").alias("c")).collect():
+        k = path(r.d, r.m)
+        assert r.c["classpath"] == V.GENERIC_PATH if k is None else r.c["classpath"].startswith(starts[k] + " > "), (r, k)
+
+
 def test_prose_states_no_facts(spark):
     assert _one(spark, X.facts_of, "Saves on materials and installation time") == []
     assert [f.name for f in _one(spark, X.facts_of, "Catalog Number: see table below")] == []
