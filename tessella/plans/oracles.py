@@ -435,3 +435,7 @@ LEFT JOIN (SELECT row_number, count(*) AS n FROM {{laid}} GROUP BY 1) a ON a.row
 ORACLES |= {
     "delivery_record": duck(_PATHED, classes=_taxonomy(), supplied=_SUPPLIED, no_part=_NO_PART, stated_rows=_STATED_ROWS, families=_FAMILIES, family=_FAMILY, laid=_LAID, nouns=_NOUNS, resolved=_RESOLVED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME, asked="SELECT row_number, maker AS manufacturer, text || ' ' || brand AS text FROM {supplied}"),
 }
+
+_FEED = f"""SELECT CAST(p_partkey AS VARCHAR) AS sku, {_clean("p_name || chr(10) || '5\" pipe; \"' || p_type || '\",' || chr(10) || chr(10) || p_size")} AS item_description,
+ CASE WHEN p_size % 3 > 0 THEN p_brand END AS vendor FROM part"""
+ORACLES |= {"scan_delimited": _FEED, "scan_xml": _FEED}

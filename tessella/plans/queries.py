@@ -49,6 +49,27 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return metrics.scored_fields(fields, view(s, d, "truth_v"))
 
 
+# Feeds
+
+
+def _feed(s: SparkSession, d: str) -> DataFrame:
+    """Parts as a feed's rows, with quotes, separators and line breaks in their cells."""
+    note = F.concat("p_name", F.lit('\n5" pipe; "'), "p_type", F.lit('",\n\n'), F.col("p_size").cast("string"))
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("SKU"), note.alias("Item Description"), F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise("N/A").alias("Vendor"))
+
+
+@query
+def scan_delimited(s, d):
+    _feed(s, d).write.csv(path := files.scratch(s, "feed"), header=True, quoteAll=True, escape='"', lineSep="\n")
+    return files.read_catalogue_csv(s, path).select("sku", "item_description", "vendor")
+
+
+@query
+def scan_xml(s, d):
+    _feed(s, d).toDF("sku", "item_description", "vendor").write.format("xml").option("rowTag", "item").save(path := files.scratch(s, "feed"))
+    return files.read_catalogue_xml(s, path, "item").select("sku", "item_description", "vendor")
+
+
 # Cells and roles
 
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import csv
+import tempfile
+import uuid
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.cells import canonical_header, clean_cell
 from ..resources import values as V
+from . import delimited
 
 _SEPARATORS = [",", ";", "\t", "|"]
-#: The characters of ISO-8859-1 that are other ones in cp1252, and those.
-_C1 = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
-_CP1252 = _C1.encode("latin-1").decode("cp1252")
+#: Lines that a header may have.
+HEADER_LINES = 1_000
 
 
 def route_files(files: DataFrame) -> DataFrame:
@@ -26,6 +27,17 @@ def route_files(files: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("kind") == "unsupported", refused))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares (spark.checkpoint.dir); in a local one on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def header_separator(line: str, suffix: str = ".csv") -> str:
     """The separator that gives a header most columns outside quotes; ties go to the comma. Tabs for .tsv."""
     if suffix == ".tsv":
@@ -45,11 +57,6 @@ def canonicalise(df: DataFrame) -> DataFrame:
     return numbered.select(*(F.col(f"c{k}").alias(n) for n, k in sorted(last.items(), key=lambda x: x[1])))
 
 
-def with_row_number(df: DataFrame, file_col: str, order_col: str) -> DataFrame:
-    """df with row_number from 2 on in each file; a window over a file, not over all files."""
-    return df.withColumn("row_number", F.row_number().over(Window.partitionBy(file_col).orderBy(order_col)) + 1)
-
-
 def normalise(df: DataFrame, source: str, lineage: tuple[str, ...] = ("row_number",)) -> DataFrame:
     """Clean cells, drop rows without any, and add source_name; row numbers stay as they were read."""
     cells = [c for c in df.columns if c not in lineage]
@@ -66,27 +73,33 @@ def file_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.file: "UTF-8" if r.utf8 else "ISO-8859-1" if r.odd else "cp1252" for r in found.collect()}
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """Separator and canonical names by the first record of the first file."""
+    suffix = ".tsv" if path.lower().endswith(".tsv") else ".csv"
+    lines = [bytes(r.b) for r in spark.read.text(path).select(F.col("value").cast("binary").alias("b")).limit(HEADER_LINES).collect()]
+    if not lines:
+        return ",", []
+    try:
+        text = [x.decode() for x in lines]
+    except UnicodeDecodeError:
+        text = [x.decode("ISO-8859-1").translate(str.maketrans(delimited.C1, delimited.CP1252)) for x in lines]
+    text[0] = text[0].lstrip("\ufeff")
+    sep = header_separator(text[0], suffix)
+    return sep, [canonical_header(x) for x in next(csv.reader((x + "\n" for x in text), delimiter=sep), [])]
+
+
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV or TSV feed: separator by its first line, all cells text, quoted newlines kept, short rows filled with
-    nulls, cells past the header dropped. All bytes of each file tell its encoding: UTF-8, else cp1252, else ISO-8859-1."""
-    encodings = file_encodings(spark, path)
-    head = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("b")).limit(1).collect()
-    line = bytes(head[0].b).decode(encodings[head[0].file]) if head else ""
-    sep = header_separator(line.lstrip("﻿"), ".tsv" if path.lower().endswith(".tsv") else ".csv")
-    names = [canonical_header(x) for x in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])]
-    options = {"header": True, "multiLine": True, "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    nulls, cells past the header dropped. All bytes of each file tell its encoding: UTF-8, else cp1252, else ISO-8859-1.
+    Files of any size are read in splits, and rows are numbered from 2 on in each file, without a shuffle of rows."""
+    sep, names = _header(spark, path)
     columns = [f"c{k}" for k in range(max(len(names), 1))]
-    kinds, parts = sorted(set(encodings.values())) or ["UTF-8"], []
-    for kind in kinds:
-        files = path if len(kinds) == 1 else [unquote(f) for f, e in encodings.items() if e == kind]
-        raw = spark.read.options(**options, encoding="UTF-8" if kind == "UTF-8" else "ISO-8859-1").schema(", ".join(f"{c} string" for c in columns)).csv(files)
-        # Spark's readers don't know cp1252, which differs from ISO-8859-1 by these characters only.
-        cells = [F.translate(c, _C1, _CP1252).alias(c) if kind == "cp1252" else F.col(c) for c in columns]
-        parts.append(raw.select(*cells, F.monotonically_increasing_id().alias("__order"), F.col("_metadata.file_path").alias("__file")))
-    numbered = reduce(DataFrame.unionAll, parts)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    rows = delimited.records(spark, path, sep).where("number > 0")
+    cells = rows.select((F.col("number") + 1).cast("int").alias("row_number"), F.from_csv("record", ", ".join(f"{c} string" for c in columns), options).alias("r"))
     last = {n: k for k, n in enumerate(names) if n}
-    cells = [F.col(f"c{k}").alias(n) for n, k in sorted(last.items(), key=lambda x: x[1])]
-    return normalise(with_row_number(numbered, "__file", "__order").select("row_number", *cells), path.rsplit("/", 1)[-1])
+    named = [F.col(f"r.c{k}").alias(n) for n, k in sorted(last.items(), key=lambda x: x[1])]
+    return normalise(cells.select("row_number", *named), path.rsplit("/", 1)[-1])
 
 
 def _numbered(df: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import cells as C, extract as X
@@ -217,3 +220,42 @@ def test_export_delivery_writes_all_columns(spark, tmp_path):
     delivery.export_delivery(df, str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert back.columns == V.delivery_columns() and back.first()["Part_Desc"] == 'a "quoted", part'
+
+
+@pytest.mark.parametrize("most", [64, 150, 1 << 20])
+def test_quoted_feeds_in_many_splits_give_the_rows_of_a_plain_reader(spark, tmp_path, most):
+    """Line breaks and separators in quotes, doubled quotes, inch marks in plain cells, cells longer than many splits,
+    empty lines, short and long rows, line breaks of two characters, several files of different encodings."""
+    rnd = random.Random(most)
+    pieces = ["a", "b c", "5\" pipe", "é€", ",", ";", '"', "\n", "\n\n", "x", "", "12", " "]
+    want = []
+    for name, encoding, end, rows in (("a.csv", "utf-8", "\n", 150), ("b.csv", "cp1252", "\r\n", 60), ("c.csv", "utf-8", "\n", 0), ("d.csv", "utf-8", "\n", 1)):
+        out = ["sku,note,size"]
+        for k in range(rows):
+            cells = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 5))) for _ in range(rnd.choice([1, 3, 3, 3, 4]))]
+            cells = [c * 60 if rnd.random() < 0.03 else c for c in cells]
+            cells[0] = f"{name}{k}" + cells[0]
+            out.append(",".join('"' + c.replace('"', '""') + '"' if rnd.random() < 0.3 or re.search('[,\n]|^"', c) else c for c in cells))
+            out += [""] * rnd.choice([0, 0, 0, 1])
+        text = end.join(x.replace("\n", end) for x in out) + rnd.choice(["", end])
+        (tmp_path / name).write_bytes(text.encode(encoding))
+        plain = [r for r in csv.reader(io.StringIO(text, newline=""), strict=False) if r][1:]
+        clean = lambda c: None if re.sub(r"\s+", " ", c).strip().lower() in C.BLANK else re.sub(r"\s+", " ", c).strip()
+        want += [(k + 2, *(clean(c) for c in (r + [""] * 3)[:3])) for k, r in enumerate(plain)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = files.read_catalogue_csv(spark, str(tmp_path))
+        got = [tuple(r) for r in df.select("row_number", "sku", "note", "size").collect()]
+        assert most > 1000 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_quote_that_is_never_closed_and_an_empty_feed(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\ny,z\n2,q\n')
+    assert [tuple(r) for r in files.read_catalogue_csv(spark, str(tmp_path / "open.csv")).select("row_number", "a", "b").collect()] == [(2, "1", "x y,z 2,q")]
+    (tmp_path / "none.csv").write_text("")
+    assert files.read_catalogue_csv(spark, str(tmp_path / "none.csv")).count() == 0
