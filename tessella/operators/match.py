@@ -9,13 +9,8 @@ from ..functions.extract import first_word, word
 from ..resources import values as V
 from ..sources import vocab as vocabularies
 
-#: Rows of a table that may be broadcast or written into an expression.
-SMALL = 5000
-
-
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """The table with a broadcast hint if it has at most `most` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Entries that may be written into an expression, and characters of a run in the index of substring_pairs.
+SMALL, GRAM = 5000, 3
 
 
 def _kind(vocab: DataFrame, kind: str) -> DataFrame:
@@ -26,7 +21,7 @@ def match_vocab_exact(df: DataFrame, column: str, vocab: DataFrame, kind: str) -
     """df with canonical, confidence and match_type of equal comparison forms: 1.0 exact for an entry's name, 0.95
     alias for another form, 0.0 none otherwise (canonical ''). Of entries that share a form the last loaded counts."""
     known = vocabularies.latest_forms(_kind(vocab, kind)).select(F.col("form").alias("_form"), F.col("canonical").alias("_name"), F.col("canon_form").alias("_canon"))
-    joined = df.withColumn("_form", form(column)).join(small(known), "_form", "left")
+    joined = df.withColumn("_form", form(column)).join(known, "_form", "left")
     hit = F.col("_name").isNotNull() & (F.col("_form") != "")
     exact = F.col("_form") == F.col("_canon")
     return joined.select(
@@ -35,17 +30,40 @@ def match_vocab_exact(df: DataFrame, column: str, vocab: DataFrame, kind: str) -
     )
 
 
+def _grams(c: Column, size: int) -> Column:
+    """The distinct runs of so many characters; none of a shorter text."""
+    return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda k: F.substring(c, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def substring_pairs(texts: DataFrame, patterns: DataFrame, q: int = GRAM) -> DataFrame:
+    """pattern, text of all pairs where a text contains a pattern. Both tables hold distinct values without blanks or nulls.
+
+    Texts post their runs of 1 to q characters in an inverted index. A pattern looks only under the rarest of its runs of
+    q characters (a shorter one under itself), and not at all if any of them is in no text; what it meets there is
+    verified. No product of the tables is formed, and either may be of any size.
+    """
+    every = lambda c: F.flatten(F.array(*(_grams(c, k) for k in range(1, q + 1))))
+    index = texts.select("text", F.explode(every(F.col("text"))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("pattern") < q, F.array("pattern")).otherwise(_grams(F.col("pattern"), q))
+    asked = patterns.select("pattern", F.size(own).alias("grams"), F.explode(own).alias("gram")).join(counts, "gram")
+    rarest = asked.groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("known"), F.any_value("grams").alias("grams"))
+    return rarest.where("known = grams").select("pattern", "gram").join(index, "gram").where(F.contains("text", "pattern")).select("pattern", "text")
+
+
 def match_vocab_contains(df: DataFrame, column: str, vocab: DataFrame, kind: str) -> DataFrame:
     """df with canonical, confidence and match_type; what has no equal form takes the first entry in load order whose
     name contains the cell's form or lies in it (0.80 normalized). Forms without ASCII letters or digits match nothing.
 
-    Only the distinct forms left over meet the vocabulary, in a nested loop with a table of checked size; then their
-    results are joined back."""
+    Only the distinct forms left over meet the vocabulary, by substring_pairs in both directions; then their results
+    are joined back."""
     exact = match_vocab_exact(df, column, vocab, kind).withColumn("_form", form(column))
     left = exact.where((F.col("match_type") == "none") & (F.col("_form") != "")).select("_form").distinct()
     entries = _kind(vocab, kind).select("ord", F.col("canonical").alias("_name"), form("canonical").alias("_canon")).where("_canon <> ''")
-    near = left.join(small(entries), F.contains(F.col("_form"), F.col("_canon")) | F.contains(F.col("_canon"), F.col("_form")))
-    found = near.groupBy("_form").agg(F.min_by("_name", "ord").alias("_near"))
+    entries = entries.groupBy("_canon").agg(F.min("ord").alias("ord"), F.min_by("_name", "ord").alias("_name"))
+    within = substring_pairs(left.withColumnRenamed("_form", "text"), entries.select(F.col("_canon").alias("pattern"))).toDF("_canon", "_form")
+    around = substring_pairs(entries.select(F.col("_canon").alias("text")), left.withColumnRenamed("_form", "pattern")).toDF("_form", "_canon")
+    found = within.unionByName(around).join(entries, "_canon").groupBy("_form").agg(F.min_by("_name", "ord").alias("_near"))
     out = exact.join(found, "_form", "left")
     use = (F.col("match_type") == "none") & F.col("_near").isNotNull()
     return out.select(

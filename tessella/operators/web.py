@@ -8,7 +8,6 @@ from ..functions import cells as C
 from ..functions.cells import col
 from ..functions.extract import first
 from ..resources import values as V
-from .match import small
 
 
 def domains(spark: SparkSession) -> DataFrame:
@@ -52,14 +51,14 @@ def is_manufacturer_url(df: DataFrame, url_col: str, mfr_col: str, known: DataFr
     """df with on_domain: whether the host is a domain of the row's manufacturer or lies below one."""
     own = known.groupBy("manufacturer").agg(F.collect_set("domain").alias("_domains")).withColumnRenamed("manufacturer", "_m")
     host = url_host(url_col)
-    out = df.join(small(own), F.col(mfr_col) == F.col("_m"), "left")
+    out = df.join(own, F.col(mfr_col) == F.col("_m"), "left")
     hit = F.exists("_domains", lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
     return out.withColumn("on_domain", F.coalesce(hit, F.lit(False))).drop("_domains", "_m")
 
 
 def domain_lookup(df: DataFrame, mfr_col: str, known: DataFrame) -> DataFrame:
     """df with a row for each domain registered for its manufacturer's exact name."""
-    return df.join(small(known.withColumnRenamed("manufacturer", "_m")), F.col(mfr_col) == F.col("_m"), "left").drop("_m")
+    return df.join(known.withColumnRenamed("manufacturer", "_m"), F.col(mfr_col) == F.col("_m"), "left").drop("_m")
 
 
 _SUFFIXES = ["com", "net", "org", "co", "de", "jp", "www"]
@@ -117,7 +116,7 @@ def resolve_from_hits(hits: DataFrame, known: DataFrame) -> DataFrame:
     labels = F.split(url_host("url"), r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     open_ = hits.where(~is_blocked_url("url")).withColumn("domain", F.explode(endings))
-    found = open_.join(small(own), "domain")
+    found = open_.join(own, "domain")
     best = F.min_by(F.struct("manufacturer", "url"), F.struct("rank", "url", "manufacturer"))
     return found.groupBy("part_number").agg(best.alias("b")).select("part_number", "b.*")
 

@@ -51,6 +51,36 @@ def test_join_and_expression_agree(spark):
     assert sorted(joined, key=key) == sorted(direct, key=key)
 
 
+def test_large_vocabularies_meet_cells_without_a_product(spark):
+    rnd = random.Random(2)
+    name = lambda: "".join(rnd.choice("abc d") for _ in range(rnd.choice([1, 2, 3, 5, 9, 14])))
+    names = {k: name() for k in range(300)}
+    vocab_rows = spark.createDataFrame([("manufacturer", k, n, [name() for _ in range(k % 3)], "x") for k, n in names.items()], "vocab string, ord long, canonical string, aliases array<string>, source string")
+    cells = [name() + rnd.choice(["", " zz", "x"]) for _ in range(300)] + ["", None, "ä", "abc", "abc"]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, name string")
+    found = match.match_vocab_contains(df, "name", vocab_rows, "manufacturer")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    exact = {r.id: r for r in match.match_vocab_exact(df, "name", vocab_rows, "manufacturer").collect()}
+    seen = set()
+    for r in found.collect():
+        key = match.plain_form(r.name or "")
+        want = (exact[r.id].canonical, exact[r.id].match_type)
+        if want[1] == "none" and key:
+            near = [n for _, n in sorted(names.items()) if match.plain_form(n) and (key in match.plain_form(n) or match.plain_form(n) in key)]
+            want = (near[0], "normalized") if near else ("", "none")
+        assert (r.canonical, r.match_type) == want, r
+        seen.add(r.match_type)
+    assert len(seen) >= 3
+
+
+def test_pairs_of_substrings(spark):
+    texts, patterns = ["abcabc", "ab", "a", "xyz é", "zzzz"], ["bca", "ab", "a", "zzz", "é", "abcabcabc", "cab", "q"]
+    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {tuple(r) for r in match.substring_pairs(one(texts, "text"), one(patterns, "pattern")).collect()}
+    assert got == {(p, t) for p in patterns for t in texts if p in t}
+
+
 def test_units_and_materials(spark):
     assert _one(spark, match.unit_expression, "Inches").asDict() == {"canonical": "in", "dimension": "length", "confidence": 1.0}
     assert _one(spark, match.unit_expression, "mm.")["confidence"] == 0.9
