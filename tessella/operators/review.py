@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.cells import col
+from ..resources import values as V
 
 #: Decisions and the state that each leads to.
 STATES = [("approve", "approved"), ("reject", "rejected"), ("correct", "corrected")]
@@ -67,6 +68,42 @@ def replay_decisions(routed: DataFrame, stored: DataFrame, keys: list[str]) -> D
     return out.select(*keys, F.coalesce("review_state", "state").alias("state"), "reviewer", "decided_at", F.col("review_state").isNotNull().alias("reconstructed"))
 
 
+def restored_events(routed: DataFrame, stored: DataFrame, keys: list[str], audit: DataFrame | None = None) -> DataFrame:
+    """Stored human states as events: who decided what and when, marked as put back.
+
+    stored: keys, review_state, reviewer, decided_at. States of the system and rows that routing doesn't know give no event,
+    nor does a decision of which audit holds an event of the same row, action and reviewer. Ids are equal on every run.
+    """
+    action = F.coalesce(*(F.when(F.col("review_state") == state, F.lit(a)) for a, state in STATES))
+    human = stored.withColumn("action", action).where("action is not null").join(routed.select(*keys, F.col("state").alias("previous_state")), keys)
+    if audit is not None:
+        seen = audit.select(*keys, "action", F.coalesce("reviewer", F.lit("")).alias("_by")).distinct()
+        human = human.withColumn("_by", F.coalesce("reviewer", F.lit(""))).join(seen, [*keys, "action", "_by"], "left_anti").drop("_by")
+    comment = F.when(F.col("decided_at").isNull(), V.RESTORED_COMMENT.format(when=V.RESTORED_UNTIMED)).otherwise(V.RESTORED_COMMENT.format(when=V.RESTORED_TIMED))
+    event = F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), "action", F.coalesce("reviewer", F.lit("")), F.lit("restored")), 256)
+    return human.select(*keys, event.alias("event_id"), "action", "previous_state", F.col("review_state").alias("new_state"), "reviewer", F.col("decided_at").cast("timestamp").alias("decided_at"), comment.alias("comment"))
+
+
+def replay_events(routed: DataFrame, stored: DataFrame, keys: list[str], audit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, audit) of a queue that is routed afresh and gets its stored decisions back as events.
+
+    audit, if there is any: human events that are still known (keys, event_id, action, previous_state, new_state, reviewer,
+    decided_at). One order holds for all events of a row: the system's, then people's by time, those without a time
+    last, ties by id; the last one gives the row's state and reviewer. place counts a row's events from 1.
+    """
+    action = F.when(F.col("state") == "auto_approved", "auto_approve").otherwise("submit_for_review")
+    none = lambda kind: F.lit(None).cast(kind)
+    system = routed.select(*keys, "event_id", action.alias("action"), F.lit("new").alias("previous_state"), F.col("state").alias("new_state"), none("string").alias("reviewer"), none("timestamp").alias("decided_at"), none("string").alias("comment"), F.lit(0).alias("_rank"))
+    events = system.unionByName(restored_events(routed, stored, keys, audit).withColumn("_rank", F.lit(1)))
+    if audit is not None:
+        events = events.unionByName(audit.select(*keys, "event_id", "action", "previous_state", "new_state", "reviewer", "decided_at").withColumn("comment", none("string")).withColumn("_rank", F.lit(1)))
+    order = F.struct("_rank", F.col("decided_at").isNull().alias("_late"), "decided_at", "event_id")
+    # The state is a combine before the shuffle, not a window over a row's events.
+    state = events.groupBy(*keys).agg(F.max_by(F.struct("new_state", "reviewer"), order).alias("x"), F.count("*").alias("n_events")).select(*keys, F.col("x.new_state").alias("state"), "x.reviewer", "n_events")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", F.col("decided_at").isNull(), "decided_at", "event_id"))
+    return state, events.withColumn("place", place).drop("_rank")
+
+
 def review_summary(state: DataFrame, *by: str) -> DataFrame:
     names = ["pending_review", "auto_approved", "approved", "rejected", "corrected"]
     out = state.groupBy(*by).agg(F.count("*").alias("rows"), *(F.count_if(F.col("state") == s).alias(s) for s in names))

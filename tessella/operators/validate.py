@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import col, is_missing, is_placeholder, pick, role_of
+from ..functions.ranges import running, scratch
 from ..resources import values as V
 
 #: Columns that carry lineage and have no role.
 LINEAGE = ["row_number", "source_name", "source_fingerprint", "organization_id", "batch_id"]
+#: Other rows of a part number that a row names.
+SHOWN_ROWS = 10
 _ISSUE = "struct<code:string,severity:string,field:string>"
 
 
@@ -100,6 +103,30 @@ def duplicate_part_numbers(df: DataFrame, part: Column | str = "part_number", *b
     return keyed.join(often, [*by, "part_key"]).select(*by, "row_number", "part_key", "rows")
 
 
+def other_rows(df: DataFrame, part: Column | str = "part_number", *by: str, shown: int = SHOWN_ROWS) -> DataFrame:
+    """What duplicate_part_numbers gives, with other_rows (the first `shown` other rows of that number, ascending), next_row (the
+    next row of it, null at the last) and message.
+
+    Pointers make the whole list reachable from any row, though no row carries it: with lists, a number on n rows would make
+    n * n entries. Rows are counted within their number by ranges, and a pointer is a join on (number, place), so a
+    number that a third of all rows has stands in no single task.
+    """
+    keyed = df.select(*by, "row_number", F.lower(F.trim(col(part))).alias("part_key")).where("part_key <> ''")
+    often = keyed.groupBy(*by, "part_key").agg(F.count("*").alias("rows")).where("rows > 1")
+    keys = [*by, "part_key"]
+    placed = running(keyed.join(often, keys), keys, ["row_number"], scratch(df.sparkSession, "places"), {"place": ("sum", F.lit(1).cast("long"))})
+    following = placed.select(*keys, (F.col("place") - 1).alias("place"), F.col("row_number").alias("next_row"))
+    first = placed.where(F.col("place") <= shown + 1).groupBy(*keys).agg(F.sort_array(F.collect_list("row_number")).alias("first"))
+    out = placed.join(following, [*keys, "place"], "left").join(first, keys)
+    # A row that is itself among the first is left out once; rows of equal number and place in the batch stay each.
+    own = F.array_position("first", F.col("row_number")).cast("int")
+    others = F.slice(F.when(own > 0, F.concat(F.slice("first", F.lit(1), own - 1), F.slice("first", own + 1, F.lit(shown + 1)))).otherwise(F.col("first")), 1, shown)
+    listed = F.array_join(F.transform(others, lambda x: x.cast("string")), ", ")
+    more = F.when(F.col("rows") - 1 > shown, F.concat(F.lit(", and "), (F.col("rows") - 1 - shown).cast("string"), F.lit(" more"))).otherwise("")
+    message = F.concat(F.lit("Part number appears in "), F.col("rows").cast("string"), F.lit(" rows: "), listed, more)
+    return out.select(*by, "row_number", "part_key", "rows", others.alias("other_rows"), "next_row", message.alias("message"))
+
+
 def _part_number(enriched: DataFrame) -> Column:
     """The canonical part number. It is the cell itself, so that reading it there spares a second enrichment."""
     for name in enriched.columns:

@@ -439,3 +439,18 @@ ORACLES |= {
 _FEED = f"""SELECT CAST(p_partkey AS VARCHAR) AS sku, {_clean("p_name || chr(10) || '5\" pipe; \"' || p_type || '\",' || chr(10) || chr(10) || p_size")} AS item_description,
  CASE WHEN p_size % 3 > 0 THEN p_brand END AS vendor FROM part"""
 ORACLES |= {"scan_delimited": _FEED, "scan_xml": _FEED}
+
+_KEYED = "SELECT row_number, lower(trim(mfg_part_num)) AS k FROM {catalogue_v} WHERE trim(mfg_part_num) <> ''"
+ORACLES["repeated_part_numbers"] = duck(
+    "SELECT a.row_number, a.k AS part_key, a.n AS rows, array_to_string(a.o, ',') AS other_rows, a.nxt AS next_row, 'Part number appears in ' || a.n || ' rows: ' || array_to_string(a.o, ', ') || CASE WHEN a.n > 6 THEN ', and ' || (a.n - 6) || ' more' ELSE '' END AS message"
+    " FROM (SELECT row_number, k, n, nxt, list_slice(list_filter(l, lambda x: x <> row_number), 1, 5) AS o FROM (SELECT row_number, k, count(*) OVER (PARTITION BY k) AS n, lead(row_number) OVER (PARTITION BY k ORDER BY row_number) AS nxt, list(row_number) OVER (PARTITION BY k ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM {keyed})) a WHERE a.n > 1",
+    keyed=_KEYED,
+)
+_SAYS = V.RESTORED_COMMENT.replace("'", "''")
+_STORED = f"SELECT row_number, arg_max(action, (decided_at, event_id)) AS action, arg_max({_BECOMES}, (decided_at, event_id)) AS new_state, arg_max(reviewer, (decided_at, event_id)) AS reviewer, max(decided_at) AS at FROM {{decisions_v}} GROUP BY 1"
+_RESTORED = f"""SELECT s.row_number, s.action, CASE WHEN s.row_number % 13 = 0 THEN 'pending_review' ELSE r.state END AS previous_state, s.new_state, s.reviewer,
+ CASE WHEN s.row_number % 13 = 0 OR s.row_number % 11 > 0 THEN strftime(s.at, '%Y-%m-%d') END AS decided_on,
+ CASE WHEN s.row_number % 13 = 0 THEN NULL WHEN s.row_number % 11 = 0 THEN '{_SAYS.format(when=V.RESTORED_UNTIMED)}' ELSE '{_SAYS.format(when=V.RESTORED_TIMED)}' END AS comment, 2 AS place
+ FROM ({_STORED}) s LEFT JOIN {{routed}} r ON r.row_number = s.row_number WHERE r.row_number IS NOT NULL"""
+ORACLES["replay_audit"] = _on(f"SELECT * FROM ({_RESTORED}) x")
+ORACLES["replay_state"] = _on(f"SELECT r.row_number, coalesce(x.new_state, r.state) AS state, x.reviewer, CASE WHEN x.row_number IS NULL THEN 1 ELSE 2 END AS n_events FROM {{routed}} r LEFT JOIN ({_RESTORED}) x ON x.row_number = r.row_number")

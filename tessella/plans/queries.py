@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import cells as C, extract as X
+from ..functions import cells as C, extract as X, ranges
 from ..operators import delivery, documents, enrich, match, metrics, products, review, store, suggestions, taxonomy, validate, web
 from ..sources import files, vocab
 from ..streaming import streams
@@ -60,13 +60,13 @@ def _feed(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_delimited(s, d):
-    _feed(s, d).write.csv(path := files.scratch(s, "feed"), header=True, quoteAll=True, escape='"', lineSep="\n")
+    _feed(s, d).write.csv(path := ranges.scratch(s, "feed"), header=True, quoteAll=True, escape='"', lineSep="\n")
     return files.read_catalogue_csv(s, path).select("sku", "item_description", "vendor")
 
 
 @query
 def scan_xml(s, d):
-    _feed(s, d).toDF("sku", "item_description", "vendor").write.format("xml").option("rowTag", "item").save(path := files.scratch(s, "feed"))
+    _feed(s, d).toDF("sku", "item_description", "vendor").write.format("xml").option("rowTag", "item").save(path := ranges.scratch(s, "feed"))
     return files.read_catalogue_xml(s, path, "item").select("sku", "item_description", "vendor")
 
 
@@ -266,6 +266,11 @@ def duplicate_part_numbers(s, d):
     return validate.duplicate_part_numbers(_catalogue(s, d), "mfg_part_num")
 
 
+@query
+def repeated_part_numbers(s, d):
+    return validate.other_rows(_catalogue(s, d), "mfg_part_num", shown=5).withColumn("other_rows", F.array_join(F.transform("other_rows", lambda x: x.cast("string")), ","))
+
+
 @query
 def route_rows(s, d):
     return _routed(s, d).select("row_number", "errors", "warnings", "priority", "state")
@@ -543,6 +548,26 @@ def replay_decisions(s, d):
     return review.replay_decisions(_routed(s, d), stored, ["row_number"]).select("row_number", "state", "reviewer", "reconstructed")
 
 
+def _replayed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A rebuilt queue: each row's last decision is stored as its state, some without a time; of some the event is there."""
+    d_ = view(s, d, "decisions_v").groupBy("row_number").agg(F.max_by(F.struct("action", "reviewer", "decided_at", "event_id"), F.struct("decided_at", "event_id")).alias("x"))
+    state = F.element_at(F.create_map(*(F.lit(v) for p in review.STATES for v in p)), F.col("x.action"))
+    at = F.when(F.col("row_number") % 11 > 0, F.col("x.decided_at").cast("timestamp"))
+    stored = d_.select("row_number", state.alias("review_state"), "x.reviewer", at.alias("decided_at"))
+    known = d_.where("row_number % 13 = 0").select("row_number", F.col("x.event_id").alias("event_id"), "x.action", F.lit("pending_review").alias("previous_state"), state.alias("new_state"), "x.reviewer", F.col("x.decided_at").cast("timestamp").alias("decided_at"))
+    return review.replay_events(_routed(s, d), stored, ["row_number"], known)
+
+
+@query
+def replay_audit(s, d):
+    return _replayed(s, d)[1].where("reviewer is not null").select("row_number", "action", "previous_state", "new_state", "reviewer", F.date_format("decided_at", "yyyy-MM-dd").alias("decided_on"), "comment", "place")
+
+
+@query
+def replay_state(s, d):
+    return _replayed(s, d)[0].select("row_number", "state", "reviewer", "n_events")
+
+
 @query
 def audit_page(s, d):
     audit = review.apply_decisions(_routed(s, d), _decisions(s, d), ["row_number"])[1]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import csv
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -27,17 +25,6 @@ def route_files(files: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("kind") == "unsupported", refused))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares (spark.checkpoint.dir); in a local one on a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def header_separator(line: str, suffix: str = ".csv") -> str:
     """The separator that gives a header most columns outside quotes; ties go to the comma. Tabs for .tsv."""
     if suffix == ".tsv":

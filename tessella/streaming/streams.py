@@ -23,10 +23,33 @@ def stream_ingest(spark: SparkSession, in_dir: str, schema: str, out_dir: str, c
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_dedupe(stream: DataFrame, time_col: str, watermark: str = "1 day", columns: list[str] | None = None) -> DataFrame:
-    """A stream without rows of equal cells that come within the watermark; state older than that is dropped."""
+def stream_dedupe(stream: DataFrame, time_col: str, watermark: str | None = "1 day", columns: list[str] | None = None) -> DataFrame:
+    """A stream without rows of equal cells that come within the watermark; state older than that is dropped.
+
+    Without a watermark (None) a fingerprint is remembered for good: a row is let through once, however late its repeat
+    comes and however often the query is started again from its checkpoint. That state grows with the distinct rows, 64
+    bytes each; it is dealt over the shuffle partitions, and with the RocksDB provider (see permanent_state) it
+    lies on disk and a checkpoint writes only what has changed.
+    """
     cells = [c for c in (columns or stream.columns) if c != time_col]
-    return stream.withColumn("fingerprint", store.fingerprint(cells)).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["fingerprint"])
+    marked = stream.withColumn("fingerprint", store.fingerprint(cells))
+    return marked.dropDuplicates(["fingerprint"]) if watermark is None else marked.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["fingerprint"])
+
+
+def permanent_state(spark: SparkSession) -> None:
+    """Keep the state of streams that are started from now on in RocksDB, with changelogs as checkpoints."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def stream_intake(stream: DataFrame, time_col: str, out_dir: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
+    """Write each distinct row of a stream once and for good, in out_dir; an epoch that is run again overwrites itself."""
+    permanent_state(stream.sparkSession)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_dir)
+
+    return stream_dedupe(stream, time_col, None, columns).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_document_facts(pages: DataFrame, rows: DataFrame, keys: list[str], out_dir: str, checkpoint: str) -> StreamingQuery:

@@ -129,6 +129,28 @@ def test_the_dictionary_finds_what_the_patterns_of_the_rules_find(spark):
         assert r.c["classpath"] == V.GENERIC_PATH if k is None else r.c["classpath"].startswith(starts[k] + " > "), (r, k)
 
 
+def test_rows_of_a_number_that_a_third_of_all_rows_has(spark):
+    df = spark.range(600).selectExpr("cast(id as int) as row_number", "case when id % 3 = 0 then ' Hot ' when id % 3 = 1 then 'n' || cast(id div 6 as string) when id % 7 = 0 then null else '' end as part_number")
+    out = {r.row_number: r for r in validate.other_rows(df.repartition(5), "part_number", shown=4).collect()}
+    hot = [k for k in range(600) if k % 3 == 0]
+    for k, nxt in zip(hot, [*hot[1:], None]):
+        assert (out[k].part_key, out[k].rows, out[k].next_row, out[k].other_rows) == ("hot", 200, nxt, [x for x in hot[:5] if x != k][:4])
+        assert out[k].message.endswith(", and 195 more")
+    assert set(out) == {*hot, *(k for k in range(600) if k % 3 == 1)} and validate.other_rows(df.limit(0), "part_number").count() == 0
+
+
+def test_restored_decisions_are_events(spark):
+    routed = spark.createDataFrame([(k, "auto_approved" if k == 4 else "pending_review", f"s{k}") for k in range(1, 7)], "row_number int, state string, event_id string")
+    stored = spark.createDataFrame([(1, "approved", "ann", "2024-01-02"), (2, "rejected", None, None), (3, "pending_review", "bo", None), (4, "auto_approved", None, None), (5, "corrected", "cy", "2024-03-01"), (99, "approved", "ann", None)], "row_number int, review_state string, reviewer string, decided_at string")
+    known = spark.createDataFrame([(5, "e5", "correct", "pending_review", "corrected", "cy", None)], "row_number int, event_id string, action string, previous_state string, new_state string, reviewer string, decided_at timestamp")
+    state, audit = review.replay_events(routed, stored, ["row_number"], known)
+    assert sorted((r.row_number, r.state, r.reviewer, r.n_events) for r in state.collect()) == [(1, "approved", "ann", 2), (2, "rejected", None, 2), (3, "pending_review", None, 1), (4, "auto_approved", None, 1), (5, "corrected", "cy", 2), (6, "pending_review", None, 1)]
+    told = {r.row_number: r for r in audit.where("place = 2").collect()}
+    assert set(told) == {1, 2, 5} and told[5].event_id == "e5" and told[5].comment is None
+    assert (told[1].action, told[1].previous_state, told[1].new_state) == ("approve", "pending_review", "approved") and "from storage" in told[1].comment and "not recorded" in told[2].comment
+    assert audit.select("event_id").distinct().count() == audit.count()
+
+
 def test_prose_states_no_facts(spark):
     assert _one(spark, X.facts_of, "Saves on materials and installation time") == []
     assert [f.name for f in _one(spark, X.facts_of, "Catalog Number: see table below")] == []

@@ -49,6 +49,24 @@ def test_equal_rows_of_a_stream_come_once(spark, tmp_path):
     assert sorted(r.v for r in spark.table("once").collect()) == ["a", "b"]
 
 
+def test_a_late_repeat_after_a_restart_is_still_a_repeat(spark, tmp_path):
+    providers = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    add = lambda rows: spark.createDataFrame(rows, "v string, t long").withColumn("at", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    steps = [[("a", 1), ("a", 2), ("b", 3)], [("c", 4_000_000), ("a", 4_000_001)], [("b", 90_000_000), ("d", 5), (None, 6), (None, 7)], []]
+    seen = []
+    try:
+        for rows in steps:
+            if rows:
+                add(rows)
+            stream = spark.readStream.schema("v string, at timestamp").parquet(str(tmp_path / "in"))
+            streams.stream_intake(stream, "at", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+            seen.append(sorted((r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr))
+    finally:
+        for p in providers:
+            spark.conf.unset(p)
+    assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d", None], ["a", "b", "c", "d", None]]
+
+
 def test_batches_are_written_and_dropped_alone(spark, tmp_path):
     root = str(tmp_path / "t")
     df = spark.createDataFrame([(2, "a"), (3, "b")], "row_number int, v string")
