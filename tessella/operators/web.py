@@ -166,6 +166,62 @@ def verify_on_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("part_number", "rank", "url", F.when(F.col("_found"), "verified").otherwise("fetched").alias("status"), F.when(F.col("_found"), 0.9).when(F.col("_held"), 0.2).otherwise(0.1).alias("confidence"))
 
 
+#: Runs of characters by which pages are found: of four with a digit, or of one to four.
+_DIGIT_RUNS = r"(?s)(?=([0-9]...|.[0-9]..|..[0-9].|...[0-9]))"
+_RUNS = [r"(?s)(?=(.{%d}))" % k for k in range(1, 5)]
+
+
+def _runs(text: Column, plain: bool) -> Column:
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_distinct(F.flatten(F.array(*map(found, _RUNS))) if plain else found(_DIGIT_RUNS))
+
+
+def pages_holding(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, part_number and url of the pages of a host that hold a part number anywhere in their html, in any of its forms.
+
+    asked: distinct host and part_number; pages: host, url, html. An index of pages by host and run of four characters
+    with a digit is met by the rarest such run of each form, and what is met is verified; so a host of very many pages and
+    very many part numbers makes no product. Forms without a digit, or shorter, look for runs of all characters, which only
+    the pages of their hosts post.
+    """
+    forms = asked.withColumn("form", F.explode(C.part_variants("part_number")))
+    plain = ~F.col("form").rlike("[0-9]") | (F.length("form") < 4)
+    forms = forms.withColumn("plain", plain)
+    low = pages.select("host", "url", F.lower("html").alias("text"))
+    hosts = forms.where("plain").select("host").distinct()
+    index = low.select("host", F.lit(False).alias("plain"), "url", F.explode(_runs(F.col("text"), False)).alias("run"))
+    index = index.union(low.join(hosts, "host", "left_semi").select("host", F.lit(True), "url", F.explode(_runs(F.col("text"), True))))
+    counts = index.groupBy("host", "plain", "run").agg(F.count("*").alias("n"))
+    own = F.when(~F.col("plain"), _runs(F.col("form"), False)).when(F.length("form") < 4, F.array("form")).otherwise(F.array_distinct(F.regexp_extract_all("form", F.lit(_RUNS[3]), F.lit(1))))
+    posted = forms.select("host", "part_number", "form", "plain", F.size(own).alias("runs"), F.explode(own).alias("run")).join(counts, ["host", "plain", "run"])
+    rarest = posted.groupBy("host", "part_number", "form", "plain").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.count("*").alias("known"), F.any_value("runs").alias("runs")).where("known = runs")
+    met = rarest.join(index, ["host", "plain", "run"]).select("host", "part_number", "form", "url")
+    return met.join(low.select("url", "text"), "url").where(F.contains("text", "form")).select("host", "part_number", "url").distinct()
+
+
+def verify_by_host(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """candidates (part_number, rank, url) held against all crawled pages (url, html) of their hosts: part_number, rank, url,
+    status, confidence, page, n_pages, for each part number up to its first verified candidate.
+
+    verified (0.9): some page of the host that isn't a search holds the part number; page is the first of them by address,
+    n_pages how many there are. fetched: the host has pages, and searches repeat the number (0.2) or none has it (0.1).
+    unreached (0.0): no page of the host. blocked (0.0): the address is refused, and reported as such. Null addresses are
+    unreached; repeated candidates stay.
+    """
+    marked = candidates.select("part_number", "rank", "url", is_blocked_url("url").alias("_blocked"), url_host("url").alias("host"))
+    crawled = pages.select(url_host("url").alias("host"), "url", "html").where("host <> ''")
+    asked = marked.where("not _blocked").select("host", "part_number").distinct().join(crawled.select("host").distinct(), "host", "left_semi")
+    held = pages_holding(asked, crawled).withColumn("_search", is_search_url("url"))
+    found = held.groupBy("host", "part_number").agg(F.min(F.when(~F.col("_search"), F.col("url"))).alias("page"), F.count_if(~F.col("_search")).alias("n_pages"))
+    reached = crawled.groupBy("host").agg(F.lit(True).alias("_reached"))
+    status = F.when(F.col("_blocked"), "blocked").when(F.col("page").isNotNull(), "verified").when(F.col("_reached"), "fetched").otherwise("unreached")
+    met = marked.join(found, ["host", "part_number"], "left").join(reached, "host", "left").withColumn("status", status)
+    first_hit = met.where("status = 'verified'").groupBy("part_number").agg(F.min("rank").alias("_first"))
+    out = met.join(first_hit, "part_number", "left").where(F.col("_first").isNull() | (F.col("rank") <= F.col("_first")))
+    confidence = F.when(F.col("status") == "verified", 0.9).when(F.col("status") != "fetched", 0.0).when(F.col("n_pages").isNotNull(), 0.2).otherwise(0.1)
+    return out.select("part_number", "rank", "url", "status", confidence.alias("confidence"), F.when(F.col("status") == "verified", F.col("page")).alias("page"), F.when(F.col("status") == "verified", F.col("n_pages")).otherwise(F.lit(0)).cast("long").alias("n_pages"))
+
+
 def source_summary(sources: DataFrame, *by: str) -> DataFrame:
     """Sources listed, verified, and whether there is a product page and a datasheet."""
     return sources.groupBy(*by).agg(F.count("*").alias("sources"), F.count_if(F.col("status") == "verified").alias("verified"), F.bool_or(F.col("source_type") == "product_page").alias("has_product_page"), F.bool_or(F.col("source_type").isin("pdf_datasheet", "specification_sheet")).alias("has_datasheet"))

@@ -454,3 +454,15 @@ _RESTORED = f"""SELECT s.row_number, s.action, CASE WHEN s.row_number % 13 = 0 T
  FROM ({_STORED}) s LEFT JOIN {{routed}} r ON r.row_number = s.row_number WHERE r.row_number IS NOT NULL"""
 ORACLES["replay_audit"] = _on(f"SELECT * FROM ({_RESTORED}) x")
 ORACLES["replay_state"] = _on(f"SELECT r.row_number, coalesce(x.new_state, r.state) AS state, x.reviewer, CASE WHEN x.row_number IS NULL THEN 1 ELSE 2 END AS n_events FROM {{routed}} r LEFT JOIN ({_RESTORED}) x ON x.row_number = r.row_number")
+
+_HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '')"
+_NEAR = f"""SELECT page_id % 2 AS rank, 'Track(' || (page_id - page_id % 2) || ')' AS part_number,
+ CASE WHEN page_id % 7 = 0 THEN 'https://www.amazon.com/dp/' || page_id WHEN page_id % 5 = 0 THEN 'https://nowhere.example/x' ELSE 'https://www.' || {_HOST} || '/product/' || page_id END AS url FROM {{pages_v}}"""
+_MET = f"""SELECT c.k, c.part_number, c.rank, c.url, CASE WHEN c.url LIKE '%amazon%' THEN 'blocked' WHEN count(p.url) FILTER (contains(p.low, lower(c.part_number)) AND NOT p.search) > 0 THEN 'verified' WHEN count(p.url) > 0 THEN 'fetched' ELSE 'unreached' END AS status,
+ min(p.url) FILTER (contains(p.low, lower(c.part_number)) AND NOT p.search) AS page, count(DISTINCT p.url) FILTER (contains(p.low, lower(c.part_number)) AND NOT p.search) AS n, count(p.url) FILTER (contains(p.low, lower(c.part_number))) AS any_
+ FROM (SELECT *, {_HOST} AS host, row_number() OVER () AS k FROM {{near_}}) c LEFT JOIN (SELECT url, {_HOST} AS host, lower(html) AS low, contains(lower(url), '/search') OR contains(lower(url), 'q=') OR contains(lower(url), 'query=') AS search FROM {{pages_v}}) p ON p.host = c.host GROUP BY c.k, c.part_number, c.rank, c.url"""
+ORACLES["verify_by_host"] = duck(
+    "SELECT m.part_number, m.rank, m.url, m.status, CASE WHEN m.status = 'verified' THEN 0.9 WHEN m.status <> 'fetched' THEN 0.0 WHEN m.any_ > 0 THEN 0.2 ELSE 0.1 END AS confidence, CASE WHEN m.status = 'verified' THEN m.page END AS page, CASE WHEN m.status = 'verified' THEN m.n ELSE 0 END AS n_pages"
+    " FROM {met} m LEFT JOIN (SELECT part_number, min(rank) AS f FROM {met} WHERE status = 'verified' GROUP BY 1) v ON v.part_number = m.part_number WHERE v.f IS NULL OR m.rank <= v.f",
+    near_=_NEAR, met=_MET,
+)

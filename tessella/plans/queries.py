@@ -385,6 +385,15 @@ def verify_on_pages(s, d):
     return web.verify_on_pages(candidates, p)
 
 
+@query
+def verify_by_host(s, d):
+    p = view(s, d, "pages_v")
+    i, host = F.col("page_id"), web.url_host("url")
+    number = F.concat(F.lit("Track("), (i - i % 2).cast("string"), F.lit(")"))
+    url = F.when(i % 7 == 0, F.concat(F.lit("https://www.amazon.com/dp/"), i.cast("string"))).when(i % 5 == 0, F.lit("https://nowhere.example/x")).otherwise(F.concat(F.lit("https://www."), host, F.lit("/product/"), i.cast("string")))
+    return web.verify_by_host(p.select(number.alias("part_number"), (i % 2).alias("rank"), url.alias("url")), p)
+
+
 @query
 def candidate_sources(s, d):
     c = _catalogue(s, d).where("mfg_part_num is not null").withColumn("domain", F.when(F.col("row_number") % 2 == 0, "parker.com"))

@@ -230,6 +230,16 @@ def test_pages_are_searched_to_their_end(spark):
     assert got == [("PN-4711", 1, "https://a.com/1", "verified", 0.9)]
 
 
+def test_pages_of_a_host_by_part_number(spark):
+    pages = spark.createDataFrame([("https://www.a.com/1", "x PN 4711 y"), ("https://a.com/search?q=ab", "AB-CD zz77"), ("http://a.com/2", "xab-cdx ü q9"), ("http://a.com/3", "pn-4711"), ("http://b.com/1", "pn4711 PN-4711"), (None, "pn4711"), ("http://a.com/4", None)], "url string, html string")
+    rows = [("PN 4711", 1, "https://a.com/x"), ("PN 4711", 2, "https://b.com"), ("AB-CD", 1, "https://b.com/x"), ("AB-CD", 2, "http://www.A.com/"), ("zz77", 1, "https://a.com"), ("Q9", 1, "http://a.com"), ("none", 1, "http://a.com"), ("none", 2, "https://www.amazon.com/x"), ("none", 3, None), ("none", 4, "http://c.com"), ("Ü", 5, "http://a.com")]
+    got = {(r.part_number, r.rank): (r.status, r.confidence, r.page, r.n_pages) for r in web.verify_by_host(spark.createDataFrame(rows, "part_number string, rank int, url string"), pages).collect()}
+    assert got == {
+        ("PN 4711", 1): ("verified", 0.9, "http://a.com/3", 2), ("AB-CD", 1): ("fetched", 0.1, None, 0), ("AB-CD", 2): ("verified", 0.9, "http://a.com/2", 1), ("zz77", 1): ("fetched", 0.2, None, 0), ("Q9", 1): ("verified", 0.9, "http://a.com/2", 1),
+        ("none", 1): ("fetched", 0.1, None, 0), ("none", 2): ("blocked", 0.0, None, 0), ("none", 3): ("unreached", 0.0, None, 0), ("none", 4): ("unreached", 0.0, None, 0), ("Ü", 5): ("verified", 0.9, "http://a.com/2", 1),
+    }
+
+
 def test_feeds_are_decoded_by_all_their_bytes(spark, tmp_path):
     (tmp_path / "a b.csv").write_bytes("name,note\nplain,x\nCafé “big” €5™,naïve\n".encode("cp1252"))
     (tmp_path / "latin.csv").write_bytes(b"name,note\nCaf\xe9 \x81,y\n")
