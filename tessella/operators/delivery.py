@@ -145,6 +145,40 @@ def export_json(enriched: DataFrame, evidence: bool = True) -> DataFrame:
     return enriched.select("row_number", F.to_json(F.struct("row_number", F.col("overall_status").alias("status"), F.col("overall_confidence").alias("confidence"), fields.alias("fields")), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_document(routed: DataFrame, *by: str, evidence: bool = True) -> DataFrame:
+    """One JSON document for each batch, in lines: by, part (0 the head, 1 a row, 2 the foot), row_number, line.
+
+    Head: source file, row count, share of verified fields. Rows: status, confidence, fields with their evidence, and review
+    state. Foot: validation counts. Lines of a batch in order of (part, row_number) are the document; head, foot and the one
+    row that takes no comma come from one aggregate, so no task holds all rows. by is one column, the batch's source.
+    """
+    source = by[0]
+    fields = lambda f: F.struct(
+        f["raw_value"].alias("raw_value"), f["canonical_value"].alias("canonical_value"), f["confidence"].alias("confidence"), f["status"].alias("status"), f["role"].alias("role"),
+        *([F.struct(F.col(source).alias("source_file"), F.col("row_number").alias("source_row"), f["column"].alias("source_column"), f["raw_value"].alias("raw_value")).alias("evidence")] if evidence else []),
+    )
+    named = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["column"], fields(f))))
+    plain = {"ignoreNullFields": "false"}
+    row = F.to_json(F.struct("row_number", "overall_status", F.round("overall_confidence", 4).alias("overall_confidence"), named.alias("fields"), F.col("state").alias("review_state")), plain)
+    n_fields, verified = F.sum(F.size("fields")), F.sum(F.size(F.filter("fields", lambda f: f["status"] == "verified")))
+    batch = routed.groupBy(*by).agg(
+        F.count("*").alias("row_count"), F.min("row_number").alias("_first"), F.coalesce(F.round(verified / F.nullif(n_fields, F.lit(0)), 4), F.lit(0.0)).alias("verified_rate"),
+        F.count_if("can_auto_approve").alias("auto_approve_count"), F.count_if(~F.col("can_auto_approve")).alias("review_required_count"), F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("total_issues"),
+    )
+    none = F.lit(None).cast(routed.schema["row_number"].dataType).alias("row_number")
+    head = F.concat(F.lit('{"batch":'), F.to_json(F.struct(F.col(source).alias("source_file"), "row_count", "verified_rate"), plain), F.lit(',"rows":['))
+    foot = F.concat(F.lit('],"validation":'), F.to_json(F.struct("auto_approve_count", "review_required_count", "total_issues")), F.lit("}"))
+    ends = batch.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("line")), F.struct(F.lit(2).alias("part"), foot.alias("line")))).alias("x")).select(*by, "x.part", none, "x.line")
+    rows = routed.select(*by, "row_number", row.alias("line")).join(batch.select(*by, "_first"), list(by))
+    rows = rows.select(*by, F.lit(1).alias("part"), "row_number", F.when(F.col("row_number") == F.col("_first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+    return rows.unionByName(ends)
+
+
+def write_json_document(lines: DataFrame, path: str, *by: str) -> None:
+    """The lines of json_document as text files; read in the order of their names they are the documents, one after another."""
+    lines.repartitionByRange(*by, "part", "row_number").sortWithinPartitions(*by, "part", "row_number").select("line").write.mode("overwrite").text(path)
+
+
 def export_jsonld(enriched: DataFrame) -> DataFrame:
     """row_number and a schema.org Product; what isn't known is left out."""
     value = lambda role: F.nullif(F.coalesce(of_role("fields", role)["canonical_value"], F.lit("")), F.lit(""))

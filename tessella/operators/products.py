@@ -97,3 +97,41 @@ def model_constraints(versions: DataFrame) -> DataFrame:
     own = versions.select("product_id", "version_id", "name", F.explode(hits).alias("violation"))
     again = versions.groupBy("product_id", "version_id", "name").count().where("count > 1").select("product_id", "version_id", "name", F.lit("REPEATED_NAME").alias("violation"))
     return own.union(again)
+
+
+def nested_constraints(versions: DataFrame) -> DataFrame:
+    """product_id, version_id, name, violation of versions with nested attributes, checked where they stand.
+
+    versions: product_id, version_id, attributes (name, confidence, evidence: array of source_name, source_type, page). A
+    version without attributes breaks no rule of attributes; null arrays are empty; name is null for rules of a version.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    anywhere = lambda a, test: F.exists(F.coalesce(a["evidence"], F.array().cast(kind)), test)
+    kind = versions.schema["attributes"].dataType.elementType["evidence"].dataType
+    rules = {
+        "EMPTY_NAME": lambda a: blank(a["name"]),
+        "NO_EVIDENCE": lambda a: F.coalesce(F.size(a["evidence"]), F.lit(0)) <= 0,
+        "CONFIDENCE_RANGE": lambda a: (a["confidence"] < 0) | (a["confidence"] > 1),
+        "EMPTY_SOURCE_NAME": lambda a: anywhere(a, lambda e: blank(e["source_name"])),
+        "EMPTY_SOURCE_TYPE": lambda a: anywhere(a, lambda e: blank(e["source_type"])),
+        "PAGE_RANGE": lambda a: anywhere(a, lambda e: F.coalesce(e["page"] < 1, F.lit(False))),
+    }
+    struct = lambda name, violation: F.struct(name.alias("name"), violation.alias("violation"))
+    none, all_ = F.lit(None).cast("string"), F.coalesce("attributes", F.array().cast(versions.schema["attributes"].dataType))
+    broken = lambda a: F.array_compact(F.array(*(F.when(F.coalesce(test(a), F.lit(False)), struct(a["name"], F.lit(rule))) for rule, test in rules.items())))
+    names = F.transform(all_, lambda a: a["name"])
+    again = F.transform(F.filter(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1), lambda n: struct(n, F.lit("REPEATED_NAME")))
+    own = F.when(blank("product_id") | blank("version_id"), F.array(struct(none, F.lit("EMPTY_ID")))).otherwise(F.array().cast("array<struct<name:string,violation:string>>"))
+    hits = F.concat(own, F.flatten(F.transform(all_, broken)), again)
+    return versions.select("product_id", "version_id", F.explode(hits).alias("x")).select("product_id", "version_id", "x.*")
+
+
+def product_constraints(products: DataFrame, versions: DataFrame) -> DataFrame:
+    """product_id, version_id, violation: products with an empty id, sku, name or category, products without a version, and
+    versions of no product. Membership is two anti-joins; nothing is gathered."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    none = F.lit(None).cast("string")
+    empty = products.where(blank("product_id") | blank("sku") | blank("name") | blank("category")).select("product_id", none.alias("version_id"), F.lit("EMPTY_FIELD").alias("violation"))
+    bare = products.join(versions.select("product_id").distinct(), "product_id", "left_anti").select("product_id", none, F.lit("NO_VERSION"))
+    foreign = versions.join(products.select("product_id").distinct(), "product_id", "left_anti").select("product_id", "version_id", F.lit("FOREIGN_VERSION"))
+    return empty.union(bare).union(foreign)

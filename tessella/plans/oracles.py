@@ -466,3 +466,24 @@ ORACLES["verify_by_host"] = duck(
     " FROM {met} m LEFT JOIN (SELECT part_number, min(rank) AS f FROM {met} WHERE status = 'verified' GROUP BY 1) v ON v.part_number = m.part_number WHERE v.f IS NULL OR m.rank <= v.f",
     near_=_NEAR, met=_MET,
 )
+
+_ATTRIBUTES = "SELECT product_id, version_id, CASE WHEN value = '4' THEN 'size' ELSE name END AS name, confidence * 2 - 0.1 AS confidence, value, unit, CASE WHEN value = '3' THEN ' ' ELSE status END AS source_name, CAST(value AS INT) - 1 AS page FROM {versions_v}"
+_BROKEN = {"CONFIDENCE_RANGE": "confidence < 0 OR confidence > 1", "NO_EVIDENCE": "value = '2'", "EMPTY_SOURCE_NAME": "value <> '2' AND trim(source_name) = ''", "EMPTY_SOURCE_TYPE": "value <> '2' AND unit IS NULL", "PAGE_RANGE": "value <> '2' AND page < 1"}
+ORACLES["nested_constraints"] = duck(
+    " UNION ALL ".join(f"SELECT product_id, version_id, name, '{k}' AS violation FROM {{attributes}} WHERE {test}" for k, test in _BROKEN.items())
+    + " UNION ALL SELECT product_id, version_id, name, 'REPEATED_NAME' FROM {attributes} GROUP BY 1, 2, 3 HAVING count(*) > 1", attributes=_ATTRIBUTES,
+)
+_KNOWN = "SELECT 'P-' || p_partkey AS product_id, p_size FROM part WHERE p_partkey % 9 > 0"
+_HELD_VERSIONS = "SELECT DISTINCT product_id, version_id FROM {versions_v} WHERE version_id <> 'V-1995'"
+ORACLES["product_constraints"] = duck(
+    "SELECT product_id, NULL AS version_id, 'EMPTY_FIELD' AS violation FROM {known} WHERE p_size = 7 UNION ALL SELECT product_id, NULL, 'NO_VERSION' FROM {known} WHERE product_id NOT IN (SELECT product_id FROM {held_versions})"
+    " UNION ALL SELECT product_id, version_id, 'FOREIGN_VERSION' FROM {held_versions} WHERE product_id NOT IN (SELECT product_id FROM {known})", known=_KNOWN, held_versions=_HELD_VERSIONS,
+)
+_BATCH = "SELECT r.source_name, count(*) AS n, count(*) FILTER (can_auto_approve) AS ok, sum(n_issues) AS issues, min(r.row_number) AS first FROM (SELECT r.*, c.source_name FROM {routed} r JOIN {catalogue_v} c ON c.row_number = r.row_number) r GROUP BY 1"
+_RATE = "SELECT round(count(*) FILTER (status = 'verified') / count(*), 4) AS rate FROM {fields}"
+ORACLES["export_json_document"] = _on(
+    "SELECT 'part_feed' AS source_name, 1 AS part, r.row_number, r.row_number > b.first AS comma, r.overall_status AS status, r.state AS review_state, CAST(r.row_number AS VARCHAR) AS source_row, f.canonical_value AS material, NULL AS line"
+    f' FROM {{routed}} r LEFT JOIN (SELECT row_number, any_value(canonical_value) AS canonical_value FROM {{fields}} WHERE "column" = \'material\' GROUP BY 1) f ON f.row_number = r.row_number, ({_BATCH}) b'
+    f""" UNION ALL SELECT source_name, 0, NULL, false, NULL, NULL, NULL, NULL, '{{"batch":{{"source_file":"' || source_name || '","row_count":' || n || ',"verified_rate":' || rate || '}},"rows":[' FROM ({_BATCH}), ({_RATE})"""
+    f""" UNION ALL SELECT source_name, 2, NULL, false, NULL, NULL, NULL, NULL, '],"validation":{{"auto_approve_count":' || ok || ',"review_required_count":' || (n - ok) || ',"total_issues":' || issues || '}}}}' FROM ({_BATCH})"""
+)

@@ -342,6 +342,15 @@ def export_json(s, d):
     return delivery.export_json(_enriched(s, d))
 
 
+@query
+def export_json_document(s, d):
+    lines = delivery.json_document(_routed(s, d), "source_name")
+    row = F.ltrim("line", F.lit(","))
+    got = lambda path: F.when(F.col("part") == 1, F.get_json_object(row, path))
+    whole = F.when(F.col("part") != 1, F.col("line"))
+    return lines.select("source_name", "part", "row_number", F.startswith("line", F.lit(",")).alias("comma"), got("$.overall_status").alias("status"), got("$.review_state").alias("review_state"), got("$.fields.material.evidence.source_row").alias("source_row"), got("$.fields.material.canonical_value").alias("material"), whole.alias("line"))
+
+
 @query
 def export_jsonld(s, d):
     return delivery.export_jsonld(_enriched(s, d))
@@ -441,6 +450,26 @@ def model_constraints(s, d):
     return products.model_constraints(view(s, d, "versions_v").withColumn("confidence", F.col("confidence") * 2 - 0.1))
 
 
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Versions with their attributes in one array; what a name, a source and a page are follows from the values."""
+    v = view(s, d, "versions_v")
+    source = F.struct(F.when(F.col("value") == "3", F.lit(" ")).otherwise(F.col("status")).alias("source_name"), F.when(F.col("unit").isNotNull(), F.lit("datasheet")).alias("source_type"), (F.col("value").cast("int") - 1).alias("page"))
+    one = F.struct(F.when(F.col("value") == "4", F.lit("size")).otherwise(F.col("name")).alias("name"), (F.col("confidence") * 2 - 0.1).alias("confidence"), F.when(F.col("value") != "2", F.array(source)).otherwise(F.array().cast("array<struct<source_name:string,source_type:string,page:int>>")).alias("evidence"))
+    return v.groupBy("product_id", "version_id").agg(F.collect_list(one).alias("attributes"))
+
+
+@query
+def nested_constraints(s, d):
+    return products.nested_constraints(_nested(s, d))
+
+
+@query
+def product_constraints(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").where("p_partkey % 9 > 0")
+    known = p.select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("product_id"), F.col("p_brand").alias("sku"), F.when(F.col("p_size") != 7, F.col("p_name")).otherwise("  ").alias("name"), F.col("p_type").alias("category"))
+    return products.product_constraints(known, view(s, d, "versions_v").where("version_id <> 'V-1995'").select("product_id", "version_id").distinct())
+
+
 # Evaluation and figures
 
 

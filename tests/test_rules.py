@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import random
 import re
 
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import cells as C, extract as X
-from tessella.operators import delivery, enrich, match, metrics, review, taxonomy, validate, web
+from tessella.operators import delivery, enrich, match, metrics, products, review, taxonomy, validate, web
+from tessella.plans.views import view
 from tessella.resources import values as V
 from tessella.sources import files, vocab
 
@@ -321,3 +323,26 @@ def test_a_quote_that_is_never_closed_and_an_empty_feed(spark, tmp_path):
     assert [tuple(r) for r in files.read_catalogue_csv(spark, str(tmp_path / "open.csv")).select("row_number", "a", "b").collect()] == [(2, "1", "x y,z 2,q")]
     (tmp_path / "none.csv").write_text("")
     assert files.read_catalogue_csv(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_a_batch_is_written_as_one_json_document_in_parts(spark, sf, tmp_path):
+    routed = review.route_rows(validate.validate_batch(enrich.enrich_batch(view(spark, sf, "catalogue_v").limit(40)))).cache()
+    delivery.write_json_document(delivery.json_document(routed, "source_name"), str(tmp_path / "out"), "source_name")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))
+    got = json.loads(text)
+    assert got["batch"]["source_file"] == "part_feed" and got["batch"]["row_count"] == 40
+    assert [r["row_number"] for r in got["rows"]] == sorted(r.row_number for r in routed.collect())
+    states = {r.row_number: r.state for r in routed.collect()}
+    assert all(r["review_state"] == states[r["row_number"]] and r["fields"]["material"]["evidence"]["source_row"] == r["row_number"] for r in got["rows"])
+    assert got["validation"]["auto_approve_count"] + got["validation"]["review_required_count"] == 40
+
+
+def test_rules_of_nested_versions(spark):
+    good = ("size", 0.5, [("s", "t", 1), ("s", "t", None)])
+    rows = [
+        ("p", "v", [good]), ("p", " ", [("size", None, [("s", "t", None)])]), ("p", "v2", [("", 2.0, None), ("a", 0.1, []), ("a", 0.1, [(" ", None, 0)])]), ("p", "v3", None), (None, "v4", []),
+    ]
+    df = spark.createDataFrame(rows, "product_id string, version_id string, attributes array<struct<name:string,confidence:double,evidence:array<struct<source_name:string,source_type:string,page:int>>>>")
+    got = sorted((r.version_id, r.name, r.violation) for r in products.nested_constraints(df).collect() if r.name is not None)
+    assert got == [("v2", "", "CONFIDENCE_RANGE"), ("v2", "", "EMPTY_NAME"), ("v2", "", "NO_EVIDENCE"), ("v2", "a", "EMPTY_SOURCE_NAME"), ("v2", "a", "EMPTY_SOURCE_TYPE"), ("v2", "a", "NO_EVIDENCE"), ("v2", "a", "PAGE_RANGE"), ("v2", "a", "REPEATED_NAME")]
+    assert sorted((r.version_id, r.violation) for r in products.nested_constraints(df).where("name is null").collect()) == [(" ", "EMPTY_ID"), ("v4", "EMPTY_ID")]
