@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tables, text
 
@@ -22,6 +22,8 @@ from . import tables, text
 WIDTH, HASHES, LOAD = 4, 3, 8
 #: A language holds an n-gram that it uses at least this share as often as the language that uses it most.
 SHARE = 0.35
+#: N-grams that occur once are noise where a language has this many that occur again; where it has fewer, they are all there is.
+FEW = 2000
 UNKNOWN = "und"
 
 #: Capital letters become small; ASCII that isn't a letter becomes a space.
@@ -72,7 +74,8 @@ class Model:
         keys, key = np.unique(gram, return_inverse=True)
         best = np.zeros(len(keys))
         np.maximum.at(best, key, share)
-        held = (share >= SHARE * best[key]) & (count > 1)
+        few = np.bincount(which[count > 1], minlength=len(names)) < FEW
+        held = (share >= SHARE * best[key]) & ((count > 1) | few[which])
         most = int(np.bincount(which[held], minlength=1).max()) if held.any() else 1
         bits = max(10, math.ceil(math.log2(most * LOAD)))
         masks, fill = [], []
@@ -110,7 +113,8 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
 
     Fits on a bounded sample: rows whose hash falls under per_language / (labelled rows of the language), about
     `per_language` whole texts of each language, or all where there are fewer. The n-gram counts that come to the
-    driver are bounded by that sample, at any size of corpus.
+    driver are bounded by that sample, at any size of corpus. Every language with an n-gram in its sample is learned, be it of
+    one short text.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(_held_out(id_col), F.lit(True)))
     there = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
@@ -132,25 +136,32 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
                     keys, n = np.unique(found[own], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # A window over the n-grams of a language's sample, whose size is bounded.
+    again = F.count_if(F.col("n") > 1).over(Window.partitionBy("lang"))
+    counted = counted.withColumn("again", again).where((F.col("n") > 1) | (F.col("again") < FEW)).drop("again").toPandas()
     if not len(counted):
         return None
     return Model.build(counted["lang"].to_numpy(), counted["gram"].to_numpy().astype(np.uint32), counted["n"].to_numpy())
 
 
+def lettered(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
+    """Whether each text has a letter of any alphabet."""
+    plain = np.diff(np.concatenate(([0], np.cumsum((_FOLD[data] > 32) & (data < 128))))[offsets]) > 0
+    return [bool(p) or any(c.isalpha() for c in data[a:b].tobytes().decode()) for p, a, b in zip(plain, offsets, offsets[1:])]
+
+
 def classify(m: Model | None, texts: pa.Array) -> tuple[list[str], list[float]]:
     """The language and score of each text."""
     names: list[str] = []
     scores: list[float] = []
     for a, b, data, offsets in text.slices(texts):
-        letters = np.concatenate(([0], np.cumsum((_FOLD[data] > 32) & (data < 128))))[offsets]
         if m:
             counts, n = m.counts(data, offsets)
             best = counts.argmax(1)
             score = np.clip(counts[np.arange(b - a), best] / np.maximum(n, 1), 0.0, 1.0)
-        for k in range(b - a):
-            plain = letters[k + 1] > letters[k]
-            if m and (plain or any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())):
+        for k, spoken in enumerate(lettered(data, offsets)):
+            if m and spoken:
                 names.append(m.languages[best[k]])
                 scores.append(float(score[k]))
             else:
@@ -182,15 +193,21 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs whose text has a language; texts that are `und` go."""
+    """The rows and columns of docs whose text has a language; texts that are `und` go.
+
+    Without a model (no labelled text) nothing is known against a text with a letter: only null texts and those without any go.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     tables.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = classify(shared.value, batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            if shared.value:
+                known = [x != UNKNOWN for x in classify(shared.value, batch.column(at))[0]]
+            else:
+                known = [x for _, _, data, offsets in text.slices(batch.column(at)) for x in lettered(data, offsets)]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -304,6 +304,40 @@ def test_languages(spark, sf):
     assert language_id.train(docs.limit(0)) is None and language_id.predict(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_no_labels_empty_no_corpus(spark):
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(["words", None, "", "12 34", "中", "words", "é"])], "doc_id long, text string, lang string")
+    assert language_id.train(docs) is None
+    assert sorted(r.doc_id for r in language_id.keep_known(docs, None).collect()) == [0, 4, 5, 6]
+
+
+def test_a_language_of_one_short_text_is_learned_and_counts_are_those_of_sets(spark):
+    """Filters against plain sets: a text's count of a language is that of its n-grams that the language holds."""
+    own = {"xx": "lorem ipsum dolor sit amet consectetur", "yy": "zqzq vkvk wjwj", "zz": "plain words again and again"}
+    ids = [k for k in range(500) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(ids.pop(), own["yy"], "yy")] + [(ids.pop(), f"{own[x]} {k % 7}", x) for x in ("xx", "zz") for k in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["xx", "yy", "zz"]
+    found = {}
+    for _, t, x in rows:
+        raw = re.sub("[^a-z]", " ", t.lower()).encode()
+        for g in (raw[k : k + 4] for k in range(len(raw) - 3)):
+            if g.strip():
+                found.setdefault(x, {}).setdefault(g, 0)
+                found[x][g] += 1
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in found.items()}
+    best = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    held = {x: {g for g, v in s.items() if v >= language_id.SHARE * best[g]} for x, s in share.items()}
+    for t in [*own.values(), "ipsum again", "zqzq and dolor"]:
+        raw = t.encode()
+        counts, n = model.counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        gs = [raw[k : k + 4] for k in range(len(raw) - 3)]
+        for x, c in zip(model.languages, counts[0] * (1 - model.false_rate) + n[0] * model.false_rate):
+            exact = sum(g in held[x] for g in gs)
+            assert exact <= round(c) <= exact + max(2, 0.1 * len(gs))
+    asked = spark.createDataFrame([(1, "zqzq vkvk"), (2, "lorem dolor"), (3, "again and words")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()} == {1: "yy", 2: "xx", 3: "zz"}
+
+
 def test_more_languages_than_a_mask_has_bits():
     names = [f"l{k:03d}" for k in range(130)]
     language = np.repeat(np.array(names), 50)
