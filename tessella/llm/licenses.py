@@ -12,10 +12,12 @@ from . import tables, text
 
 #: Words of a fingerprint, and fingerprints of a winnowing window for notices and for whole texts.
 GRAM, WINNOW_NOTICE, WINNOW_TEXT = 3, 2, 6
-#: How many words an alignment may leave its diagonal.
+#: The least number of words by which an alignment may leave its diagonal; long templates have as many as a match may lack.
 BAND = 12
 #: Share of a template's words that a match must hold; it may hold as many other words as it may lack.
 COVERAGE = 0.75
+#: Words from which a template needs two fingerprints near each other before it is aligned.
+LONG = 40
 
 #: Notices and headers by which licenses are named, (license, words). The numbers and variant names in
 #: them tell licenses apart, so a match must have exactly those.
@@ -33,6 +35,12 @@ NOTICES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -40,10 +48,18 @@ NOTICES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
+#: Titles, and identifiers after "SPDX-License-Identifier:". A match must have exactly these words.
+TITLES = (("MIT", "The MIT License MIT"), ("MIT", "MIT License Copyright (c)"), ("ISC", "ISC License Copyright (c)"))
+IDENTIFIERS = (
+    "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
 #: The names that tell variants of a license apart, beside numbers.
 VARIANTS = ("affero", "lesser", "library", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike")
 _BSD = (
@@ -61,18 +77,25 @@ _BSD_END = (
 TEXTS = (
     ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
     ("Apache-2.0", "Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted."),
+    ("Apache-2.0", "Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:"),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
     ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
     ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
     ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
     ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work; and"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
-TEMPLATES = (*((name, body, True) for name, body in NOTICES), *((name, body, False) for name, body in TEXTS))
+TEMPLATES = (
+    *((name, body, "notice") for name, body in NOTICES), *((name, body, "text") for name, body in TEXTS), *((name, body, "exact") for name, body in TITLES),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}", "exact") for name in IDENTIFIERS),
+)
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -93,31 +116,43 @@ def _hashed(body: str) -> tuple[np.ndarray, list[bytes]]:
 class Templates:
     """Word hashes of all templates and an inverted index of their winnowed fingerprints.
 
-    templates: (license, words, whether the numbers and variant names of a match must be those of the template)."""
+    templates: (license, words, kind). The numbers and variant names in a match of a "notice" must be those of the template,
+    an "exact" one must be matched word for word, and the coverage of a "text" is taken over all that is known of its
+    license: its longest text and those that aren't part of it."""
 
-    def __init__(self, templates: list[tuple[str, str, bool]]) -> None:
+    def __init__(self, templates: list[tuple[str, str, str]]) -> None:
         self.names: list[str] = []
         self.words: list[np.ndarray] = []
-        self.strict: list[np.ndarray | None] = []
+        self.kinds: list[str] = []
+        self.strict: list[np.ndarray] = []
         index: dict[int, list[tuple[int, int]]] = {}
-        for name, body, strict in templates:
+        for name, body, kind in templates:
             h, words = _hashed(body)
             if len(h) < GRAM:
                 raise ValueError(f"a template needs {GRAM} words: {body!r}")
             grams = text.windows(h, GRAM)
-            for at in winnow(grams, WINNOW_NOTICE if strict else WINNOW_TEXT).tolist():
+            for at in winnow(grams, WINNOW_TEXT if kind == "text" else WINNOW_NOTICE).tolist():
                 index.setdefault(int(grams[at]), []).append((len(self.names), at))
             self.names.append(name)
             self.words.append(h)
-            self.strict.append(np.array([x[:1].isdigit() or x.lower().decode() in VARIANTS for x in words]) if strict else None)
+            self.kinds.append(kind)
+            self.strict.append(np.array([x[:1].isdigit() or x.lower().decode() in VARIANTS for x in words]))
         self.index = index
-        self.telling = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h[w] for h, w in zip(self.words, self.strict) if w is not None), _hashed(" ".join([*VARIANTS, *map(str, range(10))]))[0]]))
+        self.telling = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h[w] for h, w, k in zip(self.words, self.strict, self.kinds) if k == "notice"), _hashed(" ".join([*VARIANTS, *map(str, range(10))]))[0]]))
         self.likely = np.zeros(1 << 16, bool)
         self.likely[[x & 0xFFFF for x in index]] = True
+        self.whole = [len(h) if k != "text" else self._known(name) for name, h, k in zip(self.names, self.words, self.kinds)]
+
+    def _known(self, name: str) -> int:
+        """Words of a license's texts, without those that begin another one."""
+        own = sorted({tuple(h.tolist()) for n, h, k in zip(self.names, self.words, self.kinds) if n == name and k == "text"}, key=len)
+        return sum(len(h) for k, h in enumerate(own) if not any(other[: len(h)] == h for other in own[k + 1 :]))
 
     def says(self, k: int, span: np.ndarray) -> bool:
         """Whether the telling words of a span are those of the template, in order."""
-        if self.strict[k] is None:
+        if self.kinds[k] == "exact":
+            return np.array_equal(span, self.words[k])
+        if self.kinds[k] == "text":
             return True
         return np.array_equal(span[np.isin(span, self.telling)], self.words[k][self.strict[k]])
 
@@ -155,29 +190,47 @@ def align(template: np.ndarray, words: np.ndarray, at: int, band: int = BAND) ->
 
 def find_licenses(templates: Templates, hashes: np.ndarray, grams: np.ndarray, coverage: float = COVERAGE) -> list[tuple[str, int, int, float]]:
     """(license, first word, end word, coverage) of one text; of overlapping matches the one with most words."""
-    found = []
-    tried: set[tuple[int, int]] = set()
+    anchors: dict[int, list[tuple[int, int]]] = {}
     for at in np.flatnonzero(templates.likely[(grams & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
         for k, place in templates.index.get(int(grams[at]), ()):
-            diagonal = at - place
-            if any((k, d) in tried for d in range(diagonal - 1, diagonal + 2)):
+            anchors.setdefault(k, []).append((at - place, at))
+    found = []
+    for k, own in anchors.items():
+        words = templates.words[k]
+        may_lack = int((1 - coverage) * len(words) + 1e-9)
+        band = max(BAND, may_lack)
+        left, own = hashes, sorted(own)
+        while own:
+            # A match leaves its first diagonal by a band at most, so anchors chain over a band, and an alignment of twice
+            # its width about their middle holds any match that one of them is part of.
+            chain = [x for x in own if x[0] <= own[0][0] + band]
+            if len(words) >= LONG and len(chain) < 2:
+                own = own[1:]
                 continue
-            tried.add((k, diagonal))
-            words = templates.words[k]
-            count, start, end = align(words, hashes, diagonal)
-            if count >= coverage * len(words) and end - start - count <= (1 - coverage) * len(words) and templates.says(k, hashes[start:end]):
-                found.append((count, count / len(words), templates.names[k], start, end))
+            count, start, end = align(words, left, (chain[0][0] + chain[-1][0]) // 2, 2 * band)
+            if count < coverage * len(words) or end - start - count > may_lack or not templates.says(k, left[start:end]):
+                own = own[len(chain) :]
+                continue
+            found.append((count, count / len(words), templates.names[k], start, end, count / templates.whole[k]))
+            left = left.copy() if left is hashes else left
+            left[start:end] = 0
+            own = [x for x in own if not start <= x[1] < end]
     out: list[tuple[str, int, int, float]] = []
-    for count, share, name, start, end in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2])):
+    for _, _, name, start, end, share in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2])):
         if not any(s < end and start < e for _, s, e, _ in out):
-            out.append((name, start, end, share))
+            out.append((name, start, end, min(share, 1.0)))
     return sorted(out, key=lambda x: x[1])
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, bool]] | tuple = TEMPLATES, text_col: str = "text", id_col: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | tuple = TEMPLATES, text_col: str = "text", id_col: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """License notices of each whole text: id_col, n_matches, licenses (distinct, sorted), coverage (the best, 4
     places; 0 without a match) and matches (license, start, end in code points, coverage).
 
+    A match may lack a quarter of its template's words and hold as many others, in the middle too. Of texts of variants
+    that differ by a clause, that counts of which more words are there; of equal ones, that with less left over. Coverage
+    is of all that the templates know of the license, so a first sentence alone has little. Texts of any length are
+    scanned whole.
+
     A row for each input row; null texts have no match; repeated rows are scanned each; other columns aren't read. The
     templates, a bounded list, go to the tasks with the code. A narrow stage of one pass.
     """
