@@ -23,10 +23,12 @@ _PACKED = "dim int, part long, ids binary, matrix binary"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and floor(scale * x) of each component, for vectors without null or non-finite components."""
+    """id and floor(scale * x) of each component, for vectors without null or non-finite components. A component that no
+    64-bit integer holds is an error, not the nearest one that does."""
     v, limit = F.col(vector_col), float("inf")
     sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(limit)))
-    return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    whole = lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 63), F.floor(x.cast("double") * scale)).otherwise(F.raise_error(F.lit("a scaled component of a vector is beyond 64-bit integers")))
+    return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v"))
 
 
 def _bytes_of(m: np.ndarray) -> bytes:
@@ -85,6 +87,8 @@ def top_k_of(query_ids: np.ndarray, queries: np.ndarray, groups: list[tuple[np.n
     dim = queries.shape[1]
     most = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
     largest = most(queries) * max(most(m) for _, m in blocks) * max(dim, 1)
+    if largest >= 1 << 63:
+        raise OverflowError("inner products of these vectors may pass 64-bit integers; use a smaller scale")
     kind = np.float64 if largest < 1 << 53 else np.int64
     q = queries.astype(kind)
     high, low = (np.stack([f(m, 0).astype(kind) for _, m in blocks]) for f in (np.max, np.min))
@@ -123,7 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     Components become floor(scale * x) and scores are exact integers; ties go to smaller ids. Vectors with null or
     non-finite components, and rows without an id, take no part; vectors of different lengths don't meet. Repeated
-    candidate rows are candidates each. Queries of equal ids count once. Empty tables give an empty result. Other
+    candidate rows are candidates each. Of queries with equal ids and the same or other
+    vectors the least vector counts. Products that may pass 64 bits are refused with an error. Empty tables give an empty result. Other
     columns aren't read.
 
     Groups of blocks meet chunks of queries in a grid of tasks, each of bounded size; each gives at most k rows a
@@ -131,7 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     each chunk of QUERIES queries, in the least width that holds its numbers.
     """
     groups = tables.keep(_pack(integer_vectors(vectors, id_col, vector_col, scale), GROUP, True), "vectors")
-    chunks = tables.keep(_pack(integer_vectors(queries, id_col, vector_col, scale).dropDuplicates(["id"]), QUERIES, False), "queries")
+    chunks = tables.keep(_pack(integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), QUERIES, False), "queries")
     n = max(1, -(-groups.count() // GROUPS_AT_ONCE))
     placed = groups.withColumn("cell", F.pmod(F.xxhash64("part"), F.lit(n).cast("long")))
     cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("cell")

@@ -473,6 +473,18 @@ def test_alignment_finds_the_longest_common_words_of_the_band():
         assert got[0] == count and (not count or got[1:] == (start, start - span + 1))
 
 
+def test_top_k_of_repeated_and_of_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (0, [1.0, -2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, -3.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0"), k=3).collect())
+        assert got == [(0, 1, 2, 64 * 64 * 6), (0, 2, 1, -64 * 64), (0, 3, 1, -64 * 64)]
+    for big in (1e17, 1e18):
+        df = spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64"):
+            topk.top_k(df, df).collect()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.integers(-3, 4, 8) / 8]) for k in range(300)] + [(900, None), (901, [None] * 8), (902, [math.inf] + [0.0] * 7), (None, [0.0] * 8), (20, [0.5] * 3)]
