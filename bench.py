@@ -1,12 +1,15 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line with seconds per query.
 
-Each catalogue stage also runs over `part`, tiled to at least a million rows, into a noop sink: rows_per_second.
+Each query runs once cold and then warm, twice or until it has had WARM_S seconds; `queries` has the medians of the warm
+runs, `cold` the first ones. Each catalogue stage also runs over `part`, tiled to at least a million rows, into a noop
+sink: rows_per_second.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 from pathlib import Path
@@ -20,6 +23,8 @@ from tessella.plans.queries import QUERIES
 from tessella.plans.views import VIEWS
 
 HEADLINE = ["match_manufacturer", "enrich_batch", "validate_batch", "route_rows", "classify", "delivery_record", "extract_facts", "link_documents", "version_diff", "latency_percentiles", "field_metrics"]
+#: Seconds of a query's runs after which it isn't run again.
+WARM_S = 15
 TILED_ROWS = int(os.environ.get("BENCH_ROWS", 1_000_000))
 
 
@@ -31,18 +36,26 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     seconds: dict[str, float] = {}
+    cold: dict[str, float] = {}
 
-    def timed(name: str, df) -> float:
-        start = time.perf_counter()
-        df().write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    def timed(name: str, df, again: int = 2) -> float:
+        runs: list[float] = []
+        while len(runs) <= 1 or len(runs) <= again and sum(runs) < WARM_S:
+            start = time.perf_counter()
+            df().write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+            if sum(runs) > 4 * WARM_S:
+                break
+        cold[name], seconds[name] = round(runs[0], 3), round(statistics.median(runs[1:] or runs), 3)
         return seconds[name]
 
     todo = {n: QUERIES[n] for n in HEADLINE}
     try:
         from tessella.llm.queries import QUERIES as llm
 
-        todo |= {n: llm[n] for n in ("op2_secret_scans", "op4_pii", "op6_token_counts", "op7_language_id", "op9_decontamination", "op10_exact_topk")}
+        import corpus_pipeline
+
+        todo |= llm | {"pipeline": corpus_pipeline.run}
     except ModuleNotFoundError:
         pass
     for name, query in todo.items():
@@ -56,7 +69,7 @@ def main() -> None:
     rate = {}
     for name, stage in (("enrich", enrich.enrich_batch), ("validate", lambda d: validate.validate_batch(enrich.enrich_batch(d))), ("route", lambda d: review.route_rows(validate.validate_batch(enrich.enrich_batch(d)))), ("deliver", delivery.delivery_record)):
         rate[name] = round(n / timed(f"tiled_{name}", lambda s=stage: s(rows)))
-    print(json.dumps({"metric": "total query time", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds, "sf": sf, "rows": n, "rows_per_second": rate, "cpus": int(cpus)}))
+    print(json.dumps({"metric": "total query time", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds, "cold": cold, "cold_total": round(sum(cold.values()), 2), "sf": sf, "rows": n, "rows_per_second": rate, "cpus": int(cpus)}))
 
 
 if __name__ == "__main__":
