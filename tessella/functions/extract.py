@@ -32,17 +32,16 @@ def extract_material(c: Column | str) -> Column:
     return first_word(c, [(word(k)[4:], v) for k, v in forms])
 
 
-_PRESSURE = r"(?i)\b(\d+)\s*(psi|bar|wog|cwp|swp|kpa|mpa)\b"
 #: Pressure and length units as written in small letters, and their names.
 UNIT_NAMES = [(form, unit) for unit, dimension, forms in V.UNITS for form in forms if dimension in ("pressure", "length")]
 
 
 def extract_pressure(c: Column | str) -> Column:
-    return first(c, _PRESSURE, 1)
+    return first(c, V.PRESSURE_PATTERN, 1)
 
 
 def extract_pressure_uom(c: Column | str) -> Column:
-    return pick(UNIT_NAMES, F.lower(first(c, _PRESSURE, 2)))
+    return pick(UNIT_NAMES, F.lower(first(c, V.PRESSURE_PATTERN, 2)))
 
 
 def extract_connection(c: Column | str) -> Column:
@@ -50,25 +49,20 @@ def extract_connection(c: Column | str) -> Column:
 
 
 def extract_temperature(c: Column | str) -> Column:
-    return first(c, r"(?i)(-?\d+°[FC]\s*to\s*-?\d+°[FC])")
+    return first(c, V.TEMPERATURE_PATTERN)
 
 
 def extract_size(c: Column | str) -> Column:
-    return first(c, r"(?i)\b(\d+(?:[-/]\d+)?|\d+\.\d+)\s*(?:in|inch|inches|mm|cm)\b")
+    return first(c, V.SIZE_PATTERN)
 
 
 def extract_size_uom(c: Column | str) -> Column:
-    return pick(UNIT_NAMES, F.lower(first(c, r"(?i)\b\d+(?:[-/]\d+)?\s*(in|inch|inches|mm|cm)\b")))
-
-
-_WEIGHT = r"(?i)\b(\d+(?:\.\d+)?)\s*(lbs?|pounds?|kg|ounces?|oz)\b"
-_NUMBER = r"(?:\d+(?:[-/]\d+|\.\d+)?|\.\d+)"
-_SIDES = rf'(?i)({_NUMBER})\s*(?:in|inch|")\s*x\s*({_NUMBER})\s*(?:in|inch|")'
+    return pick(UNIT_NAMES, F.lower(first(c, V.SIZE_UNIT_PATTERN)))
 
 
 def extract_dimensions(c: Column | str) -> Column:
     """A struct of weight, weight_uom, width and length (in inches)."""
-    return F.struct(first(c, _WEIGHT, 1).alias("weight"), F.upper(first(c, _WEIGHT, 2)).alias("weight_uom"), first(c, _SIDES, 1).alias("width"), first(c, _SIDES, 2).alias("length"))
+    return F.struct(first(c, V.WEIGHT_PATTERN, 1).alias("weight"), F.upper(first(c, V.WEIGHT_PATTERN, 2)).alias("weight_uom"), first(c, V.SIDES_PATTERN, 1).alias("width"), first(c, V.SIDES_PATTERN, 2).alias("length"))
 
 
 def strip_part_number(text: Column | str, part: Column | str) -> Column:
@@ -83,11 +77,11 @@ def extract_attributes(text: Column | str, part: Column | str) -> Column:
     t = strip_part_number(text, part)
     d = extract_dimensions(text)
     one = lambda label, value, uom=None: F.when(value.isNotNull(), F.struct(F.lit(label).alias("label"), value.alias("value"), (F.lit(uom) if not isinstance(uom, Column) else uom).cast("string").alias("uom")))
-    grit = F.coalesce(first(t, r"(?i)\b(P\d{2,4})\b"), first(t, r"(?i)\b(\d{2,4})\s*-?\s*Grit\b"), first(t, r"(?i)\bGrit\s*-?\s*(\d{2,4})\b"))
+    grit = F.coalesce(*(first(t, p) for p in V.GRIT_PATTERNS))
     size = F.concat(d["width"], F.lit(" in x "), d["length"], F.lit(" in"))
     return F.array_compact(F.array(
-        one("Grit", grit), one("Voltage Rating", first(t, r"(?i)\b(\d+)\s*V\b"), "V"), one("Amperage Rating", first(t, r"(?i)\b(\d{1,4})\s*A\b"), "A"),
-        one("Horsepower", first(t, r"(?i)\b(\d+(?:\.\d+)?)\s*HP\b"), "HP"), one("Size", size), one("Weight", d["weight"], d["weight_uom"]),
+        one("Grit", grit), one("Voltage Rating", first(t, V.VOLT_PATTERN), "V"), one("Amperage Rating", first(t, V.AMPERE_PATTERN), "A"),
+        one("Horsepower", first(t, V.HORSEPOWER_PATTERN), "HP"), one("Size", size), one("Weight", d["weight"], d["weight_uom"]),
     ))
 
 
@@ -96,23 +90,11 @@ def feature_bullets(attributes: Column | str) -> Column:
     return F.transform(valued, lambda a: F.concat(a["label"], F.lit(": "), a["value"], F.coalesce(F.concat(F.lit(" "), a["uom"]), F.lit(""))))
 
 
-_SEPARATOR = r"\s*[:=]\s*"
-#: Labelled specifications of a document, (name, pattern, groups that make the value).
-FACT_PATTERNS = [
-    ("pressure_rating", r"(?i)(?:pressure\s*(?:rating|class)?|class)" + _SEPARATOR + r"([0-9]+(?:\s*[-/]\s*[0-9]+)?\s*(?:psi|bar|wog|class)?\b)", [1]),
-    ("size", r"(?i)(?:size|diameter|dia\.?|dn)" + _SEPARATOR + r"(dn\s*)?([0-9]+(?:\s*[x×/]\s*[0-9]+)?\s*(?:mm|in|inch|inches)?\b)", [1, 2]),
-    ("material", r"(?i)(?:body\s*material|material|construction)" + _SEPARATOR + r"([A-Za-z][A-Za-z0-9 ./-]{2,58})[ \t]*(?:\n|$)", [1]),
-    ("amperage", r"(?i)(?:amperage(?:\s*rating)?|current\s*rating|amps?)" + _SEPARATOR + r"([0-9]+(?:\.[0-9]+)?\s*(?:a|amp|amps)\b)", [1]),
-    ("voltage", r"(?i)(?:voltage(?:\s*rating)?|volts?)" + _SEPARATOR + r"([0-9]+(?:\.[0-9]+)?\s*(?:v|volt|volts)\b)", [1]),
-    ("part_number", r"(?i)(?:part|catalog(?:ue)?|model|item)\s*(?:number|no\.?|#)" + _SEPARATOR + r"((?=[A-Za-z0-9._/-]*[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{2,40})", [1]),
-]
-
-
 def facts_of(text: Column | str) -> Column:
     """name, value and evidence of each labelled specification of a page, the first of each name."""
     t = col(text)
     found = []
-    for name, pattern, groups in FACT_PATTERNS:
+    for name, pattern, groups in V.FACT_PATTERNS:
         value = F.trim(F.concat(*(F.regexp_extract(t, pattern, g) for g in groups)))
         whole = F.regexp_extract(t, pattern, 0)
         start = F.instr(t, whole)
@@ -125,7 +107,7 @@ def facts_of(text: Column | str) -> Column:
 def normalise_fact(name: Column | str, value: Column | str) -> Column:
     """A struct of the comparable value and unit of a fact."""
     n, v = col(name), F.lower(F.trim(F.regexp_replace(col(value), r"\s+", " ")))
-    pressure, size = r"^([0-9]+(?:\s*[-/]\s*[0-9]+)?)\s*(psi|bar|wog|class)?$", r"^(?:dn\s*)?([0-9]+(?:\s*[x×/]\s*[0-9]+)?)\s*(mm|in|inch|inches)?$"
+    pressure, size = V.PRESSURE_FACT_PATTERN, V.SIZE_FACT_PATTERN
     squeeze = lambda x: F.regexp_replace(x, r"\s+", "")
     unit = first(v, size, 2)
     return F.struct(
