@@ -16,8 +16,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.ranges import running
 from . import tables
 
 #: Turns of a block, conversations of a family that share openings, and one more than the longest opening.
@@ -28,24 +29,6 @@ NODE = ["depth", "x", "y"]
 
 
 
-def running(df: DataFrame, key: str, order: list[Column | str], new: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """df with a running "sum" or "xor" of each value over the rows of a key in order, the row itself included.
-
-    Rows are dealt by ranges of (key, order), so that a key of very many rows is split over tasks; what runs over a
-    whole key is one total for each range that it reaches. The ranges are written to the shared folder (named after
-    `new`), since sampled bounds may differ when drawn again.
-    """
-    ranged = tables.keep(df.withColumns({c: v for c, (_, v) in values.items()}).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), new)
-    total = {c: F.bit_xor if how == "xor" else F.sum for c, (how, _) in values.items()}
-    plus = {c: Column.bitwiseXOR if how == "xor" else Column.__add__ for c, (how, _) in values.items()}
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = ranged.groupBy(key, "_range").agg(*(total[c](c).alias(c) for c in values))
-    offsets = offsets.select(key, "_range", *(F.coalesce(total[c](c).over(earlier), F.lit(0)).alias(f"_{c}") for c in values))
-    joined = ranged.join(offsets, [key, "_range"])
-    return joined.withColumns({c: plus[c](F.col(f"_{c}"), total[c](c).over(inside)) for c in values}).drop("_range", *(f"_{c}" for c in values))
-
-
 def numbered(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, pos (from 1, by turn, null first, then role, then text), digest and words of each turn.
 
@@ -54,7 +37,7 @@ def numbered(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     """
     text, role = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     named = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).where("conv_id is not null")
-    placed = running(named, "conv_id", [F.col("turn").asc_nulls_first(), "role", "text"], "turns", {"pos": ("sum", F.lit(1).cast("long"))})
+    placed = running(named, "conv_id", [F.col("turn").asc_nulls_first(), "role", "text"], tables.new_path(named.sparkSession, "turns"), {"pos": ("sum", F.lit(1).cast("long"))})
     digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     return placed.select("conv_id", "pos", digest.alias("digest"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
 
@@ -147,7 +130,7 @@ def prefix_trie(ids: DataFrame, turns: DataFrame, block: int = BLOCK) -> DataFra
     k = F.floor((F.col("pos") - 1) / block).cast("long")
     placed = turns.select("conv_id", "pos", F.xxhash64(F.lit(1), "pos", "digest").alias("x"), F.xxhash64(F.lit(2), "digest", "pos").alias("y"), "words")
     cut = placed.groupBy("conv_id", k.alias("k")).agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by"), F.sort_array(F.collect_list(F.struct("pos", "x", "y", "words"))).alias("turns"))
-    blocks = running(cut, "conv_id", ["k"], "blocks", {"x": ("xor", F.col("bx")), "y": ("xor", F.col("by"))})
+    blocks = running(cut, "conv_id", ["k"], tables.new_path(cut.sparkSession, "blocks"), {"x": ("xor", F.col("bx")), "y": ("xor", F.col("by"))})
     blocks = tables.keep(blocks.select("conv_id", "k", "x", "y", F.col("x").bitwiseXOR(F.col("bx")).alias("ox"), F.col("y").bitwiseXOR(F.col("by")).alias("oy"), "turns"), "prefixes")
 
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
@@ -159,7 +142,7 @@ def prefix_trie(ids: DataFrame, turns: DataFrame, block: int = BLOCK) -> DataFra
     children = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("px").alias("x"), F.col("py").alias("y")).agg(F.count("*").alias("n_children"))
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("conv_id").alias("parent_conv_id"))
     nodes = nodes.join(children, NODE, "left").fillna(0, "n_children").join(parents, ["depth", "px", "py"], "left").drop("px", "py", "words")
-    nodes = running(nodes, "conv_id", ["depth"], "chains", {"upto": ("sum", F.col("value"))})
+    nodes = running(nodes, "conv_id", ["depth"], tables.new_path(nodes.sparkSession, "chains"), {"upto": ("sum", F.col("value"))})
     nodes = tables.keep(nodes, "chains")
 
     # What each conversation's chain holds, summed over the members of each node.

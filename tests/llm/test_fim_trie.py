@@ -105,13 +105,3 @@ def test_trie_without_conversations_and_with_one(spark):
     assert _found(spark, [(None, 1, "user", "x")]) == []
     one = [(21, 0, None, None)]
     assert _found(spark, one) == _trie(one)
-
-
-def test_running_totals_over_a_key_in_many_ranges(spark):
-    df = spark.range(5000).selectExpr("if(id % 3 = 0, id, 1) as k", "id as o").repartition(7)
-    out = prefix_trie.running(df, "k", ["o"], "t", {"n": ("sum", prefix_trie.F.lit(1)), "z": ("xor", prefix_trie.F.col("o"))}).collect()
-    seen = defaultdict(lambda: [0, 0])
-    for r in sorted(out, key=lambda r: r.o):
-        seen[r.k][0] += 1
-        seen[r.k][1] ^= r.o
-        assert [r.n, r.z] == seen[r.k]
