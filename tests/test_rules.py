@@ -7,11 +7,12 @@ import io
 import json
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import cells as C, extract as X
+from tessella.functions import cells as C, extract as X, ranges
 from tessella.operators import delivery, enrich, match, metrics, products, review, taxonomy, validate, web
 from tessella.plans.views import view
 from tessella.resources import values as V
@@ -346,3 +347,13 @@ def test_rules_of_nested_versions(spark):
     got = sorted((r.version_id, r.name, r.violation) for r in products.nested_constraints(df).collect() if r.name is not None)
     assert got == [("v2", "", "CONFIDENCE_RANGE"), ("v2", "", "EMPTY_NAME"), ("v2", "", "NO_EVIDENCE"), ("v2", "a", "EMPTY_SOURCE_NAME"), ("v2", "a", "EMPTY_SOURCE_TYPE"), ("v2", "a", "NO_EVIDENCE"), ("v2", "a", "PAGE_RANGE"), ("v2", "a", "REPEATED_NAME")]
     assert sorted((r.version_id, r.violation) for r in products.nested_constraints(df).where("name is null").collect()) == [(" ", "EMPTY_ID"), ("v4", "EMPTY_ID")]
+
+
+def test_running_totals_over_a_key_in_many_ranges(spark, tmp_path):
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, id, 1) as k", "id as o").repartition(7)
+    out = ranges.running(df, "k", ["o"], str(tmp_path / "t"), {"n": ("sum", F.lit(1)), "z": ("xor", F.col("o"))}).collect()
+    seen = defaultdict(lambda: [0, 0])
+    for r in sorted(out, key=lambda r: r.o):
+        seen[r.k][0] += 1
+        seen[r.k][1] ^= r.o
+        assert [r.n, r.z] == seen[r.k]
