@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import cells as C, extract as X
+from ..functions.ranges import running, scratch
+
+#: Pages that a conflict names.
+SHOWN_PAGES = 20
 
 #: Attributes that a document of a category must state.
 SCHEMAS = {"generic": ["material", "size"], "valve": ["material", "pressure_rating", "size"], "pump": ["material", "size"], "fitting": ["connection_type", "material", "size"]}
@@ -18,19 +22,43 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     return found.select("document_id", "page", "name", "value", "evidence", n["value"].alias("normalized_value"), n["unit"].alias("normalized_unit"), F.lit("inferred").alias("status"), F.lit(0.85).alias("confidence"))
 
 
-def conflicting_facts(facts: DataFrame) -> DataFrame:
-    """document_id, name, pages (sorted) and number of distinct folded values, where there is more than one."""
-    out = facts.groupBy("document_id", "name").agg(F.count_distinct(F.lower("value")).alias("n_values"), F.sort_array(F.collect_list("page")).alias("pages"))
-    return out.where("n_values > 1")
+def conflicting_facts(facts: DataFrame, shown: int = SHOWN_PAGES) -> DataFrame:
+    """document_id, name, number of distinct folded values, number of facts, and the first `shown` pages (sorted), where
+    there is more than one value. Only conflicting facts are numbered, by ranges, so no group gathers all of its pages."""
+    keys = ["document_id", "name"]
+    counted = facts.groupBy(*keys).agg(F.count_distinct(F.lower("value")).alias("n_values"), F.count("*").alias("n_facts")).where("n_values > 1")
+    theirs = facts.select(*keys, "page").join(counted.select(*keys), keys)
+    placed = running(theirs, keys, ["page"], scratch(facts.sparkSession, "conflicts"), {"place": ("sum", F.lit(1).cast("long"))})
+    pages = placed.where(F.col("place") <= shown).groupBy(*keys).agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return counted.join(pages, keys).select(*keys, "n_values", "pages", "n_facts")
+
+
+def conflict_values(facts: DataFrame) -> DataFrame:
+    """document_id, name, value (folded), first_page and n_pages of each value of a conflicting fact: rows, not lists."""
+    keys = ["document_id", "name"]
+    values = facts.groupBy(*keys, F.lower("value").alias("value")).agg(F.min("page").alias("first_page"), F.count("*").alias("n_pages"))
+    often = values.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return values.join(often.select(*keys), keys).select(*keys, "value", "first_page", "n_pages")
+
 
+def validate_facts(facts: DataFrame, required: list[str] | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """document_id, code, attribute: empty values, conflicts and required attributes that are missing.
 
-def validate_facts(facts: DataFrame, required: list[str] | None = None) -> DataFrame:
-    """document_id, code, attribute: empty values, conflicts and required attributes that are missing."""
-    need = SCHEMAS["valve"] if required is None else required
+    categories (document_id, category) gives each document the schema of its own category, if there is one of that name, else the
+    generic one; without that table all documents need `required`, or what a valve needs.
+    """
     empty = facts.where(F.trim("value") == "").select("document_id", F.lit("EMPTY_VALUE").alias("code"), F.col("name").alias("attribute"))
-    conflict = conflicting_facts(facts).select("document_id", F.lit("SOURCE_CONFLICT").alias("code"), F.col("name").alias("attribute"))
+    values = facts.groupBy("document_id", "name").agg(F.count_distinct(F.lower("value")).alias("n"))
+    conflict = values.where("n > 1").select("document_id", F.lit("SOURCE_CONFLICT").alias("code"), F.col("name").alias("attribute"))
+    # Names of facts are few, so a document's set of them is bounded.
     have = facts.groupBy("document_id").agg(F.collect_set("name").alias("have"))
-    missing = have.select("document_id", F.lit("MISSING_REQUIRED").alias("code"), F.explode(F.array_except(F.array(*map(F.lit, need)), "have")).alias("attribute"))
+    if categories is None:
+        need = F.array(*map(F.lit, SCHEMAS["valve"] if required is None else required))
+    else:
+        have = have.join(categories.groupBy("document_id").agg(F.min("category").alias("category")), "document_id", "left")
+        table = F.create_map(*(x for k, v in SCHEMAS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+        need = F.coalesce(F.try_element_at(table, F.coalesce("category", F.lit("generic"))), F.array(*map(F.lit, SCHEMAS["generic"])))
+    missing = have.select("document_id", F.lit("MISSING_REQUIRED").alias("code"), F.explode(F.array_except(need, "have")).alias("attribute"))
     return empty.union(conflict).union(missing)
 
 
@@ -53,7 +81,9 @@ def documents_for_part(links: DataFrame, facts: DataFrame, artifacts: DataFrame,
     """The newest n documents that name a part, each with its proposals."""
     named = links.where(C.part_key("part_number") == C.part_key(F.lit(part))).select("document_id").distinct()
     newest = artifacts.join(named, "document_id").orderBy(F.desc("created_at"), "document_id").limit(n)
-    found = proposals(facts).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page", "name", "value"))).alias("proposals"))
+    # Only what the n documents state is grouped.
+    theirs = proposals(facts).join(newest.select("document_id").distinct(), "document_id", "left_semi")
+    found = theirs.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page", "name", "value"))).alias("proposals"))
     return newest.join(found, "document_id", "left")
 
 

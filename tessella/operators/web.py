@@ -223,8 +223,16 @@ def verify_by_host(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def source_summary(sources: DataFrame, *by: str) -> DataFrame:
-    """Sources listed, verified, and whether there is a product page and a datasheet."""
-    return sources.groupBy(*by).agg(F.count("*").alias("sources"), F.count_if(F.col("status") == "verified").alias("verified"), F.bool_or(F.col("source_type") == "product_page").alias("has_product_page"), F.bool_or(F.col("source_type").isin("pdf_datasheet", "specification_sheet")).alias("has_datasheet"))
+    """Sources listed and verified, whether there is a product page and a datasheet, blocked addresses, what the evidence is
+    worth (the best status: verified, fetched, else discovered) and the mode (live if any page was met, else simulated)."""
+    seen = F.col("status") != "blocked"
+    some = lambda *names: F.bool_or(F.col("status").isin(*names))
+    out = sources.groupBy(*by).agg(
+        F.count_if(seen).alias("sources"), F.count_if(F.col("status") == "verified").alias("verified"), F.coalesce(F.bool_or(seen & (F.col("source_type") == "product_page")), F.lit(False)).alias("has_product_page"),
+        F.coalesce(F.bool_or(seen & F.col("source_type").isin("pdf_datasheet", "specification_sheet")), F.lit(False)).alias("has_datasheet"), F.count_if(~seen).alias("blocked"),
+        F.when(some("verified"), "verified").when(some("fetched"), "fetched").otherwise("discovered").alias("evidence_status"), F.when(some("verified", "fetched"), "live").otherwise("simulated").alias("discovery_mode"),
+    )
+    return out
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -139,6 +139,7 @@ ORACLES: dict[str, str] = {
     "extract_facts": duck("SELECT document_id, page, name, value, CASE name WHEN 'pressure_rating' THEN regexp_extract(lower(value), '^([0-9]+)', 1) WHEN 'size' THEN regexp_extract(lower(value), '^([0-9]+)', 1) WHEN 'material' THEN lower(value) END AS normalized_value, CASE name WHEN 'pressure_rating' THEN nullif(regexp_extract(lower(value), '(psi|bar|wog|class)$', 1), '') WHEN 'size' THEN nullif(regexp_extract(lower(value), '(mm|in)$', 1), '') END AS normalized_unit FROM {facts}", facts_all=_FACTS, facts=_FOUND),
     "proposals": duck("SELECT document_id, page, name, value, 'proposed' AS state FROM {facts} WHERE name <> 'part_number'", facts_all=_FACTS, facts=_FOUND),
     "conflicting_facts": duck("SELECT document_id, name, count(DISTINCT lower(value)) AS n_values, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM {facts} GROUP BY 1, 2 HAVING count(DISTINCT lower(value)) > 1", facts_all=_FACTS, facts=_FOUND),
+    "conflict_values": duck("SELECT document_id, name, lower(value) AS value, min(page) AS first_page, count(*) AS n_pages FROM {facts} WHERE (document_id, name) IN (SELECT (document_id, name) FROM {facts} GROUP BY document_id, name HAVING count(DISTINCT lower(value)) > 1) GROUP BY 1, 2, 3", facts_all=_FACTS, facts=_FOUND),
     "validate_facts": duck("SELECT document_id, 'SOURCE_CONFLICT' AS code, name AS attribute FROM {facts} GROUP BY document_id, name HAVING count(DISTINCT lower(value)) > 1 UNION ALL SELECT d.document_id, 'MISSING_REQUIRED', r.a FROM (SELECT DISTINCT document_id FROM {facts}) d CROSS JOIN (VALUES ('material'), ('pressure_rating'), ('size')) AS r(a) WHERE NOT EXISTS (SELECT 1 FROM {facts} f WHERE f.document_id = d.document_id AND f.name = r.a)", facts_all=_FACTS, facts=_FOUND),
     "link_documents": duck("SELECT s.document_id, c.row_number, trim(c.mfg_part_num) AS part_number, CASE WHEN lower(trim(c.mfg_part_num)) = lower(s.stated) THEN 'exact' ELSE 'normalized' END AS match_type FROM (SELECT document_id, lower(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) AS k, min_by(value, page) AS stated FROM {facts} WHERE name = 'part_number' GROUP BY 1, 2) s JOIN {catalogue_v} c ON lower(regexp_replace(c.mfg_part_num, '[^A-Za-z0-9]', '', 'g')) = s.k", facts_all=_FACTS, facts=_FOUND),
     "classify": duck(_taxonomy()),
@@ -177,7 +178,7 @@ ORACLES |= {
     "search_queries": duck("SELECT row_number, CASE k WHEN 0 THEN trim(part_manuf) || ' ' || mfg_part_num || ' product page' WHEN 1 THEN trim(part_manuf) || ' ' || mfg_part_num || ' datasheet' WHEN 2 THEN trim(part_manuf) || ' ' || mfg_part_num || ' specification' ELSE 'site:parker.com ' || mfg_part_num END AS query FROM {catalogue_v}, (VALUES (0), (1), (2), (3)) AS q(k) WHERE mfg_part_num IS NOT NULL AND part_manuf IS NOT NULL"),
     "part_variants": duck("SELECT DISTINCT row_number, v AS variant FROM (SELECT row_number, unnest([lower(mfg_part_num) || ' x', lower(mfg_part_num) || 'x', lower(mfg_part_num) || '-x', replace(lower(mfg_part_num), '-', '') || ' x']) AS v FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL)"),
     "best_datasheet": duck("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) || '/files/' || CAST(page_id AS VARCHAR) || '-spec.pdf' END AS datasheet FROM {pages_v}"),
-    "merge_products": duck("SELECT product_id, version_id, name, CASE WHEN product_id LIKE '%3' THEN 'new' ELSE value END AS value FROM {versions_v}"),
+    "merge_products": duck("SELECT product_id, version_id, name, CASE WHEN version_id >= 'V-1995' THEN 'new' ELSE value END AS value FROM {versions_v}"),
     "latest_batch": "SELECT o_custkey AS organization_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS batch_id FROM orders GROUP BY 1",
     "description_tiers": duck("SELECT row_number, substr(brand || ' ' || mfg_part_num || ' ' || part_desc, 1, 120) AS mobile, substr(upper(part_desc), 1, 60) AS invoice, substr(part_desc, 1, 100) AS short, brand || ' ' || mfg_part_num || ' - ' || part_desc AS long, part_desc AS retail FROM {catalogue_v} WHERE mfg_part_num IS NOT NULL"),
     "repeat_intake": duck("SELECT p.document_id, p.content_hash, CASE WHEN k.h IS NULL OR k.state = 'pending' THEN 'reprocess' ELSE 'already_extracted' END AS decision FROM (SELECT document_id, sha256(text) AS content_hash FROM {doc_pages_v} WHERE page = 1) p LEFT JOIN (SELECT sha256(text) AS h, max(CASE WHEN document_id LIKE '%17' THEN 'pending' ELSE 'approved' END) AS state FROM {doc_pages_v} WHERE page = 1 AND document_id LIKE '%7' GROUP BY 1) k ON k.h = p.content_hash"),
@@ -314,7 +315,7 @@ ORACLES |= {
     "queue_audit_count": _on("SELECT action, count(*) AS events FROM {judged} WHERE refusal IS NULL GROUP BY 1"),
     "audit_page": _on("SELECT event_id, action, reviewer FROM {judged} WHERE refusal IS NULL ORDER BY decided_at DESC, event_id LIMIT 50"),
     "replay_decisions": _on(f"SELECT r.row_number, coalesce(s.state, r.state) AS state, s.reviewer, s.state IS NOT NULL AS reconstructed FROM {{routed}} r LEFT JOIN (SELECT row_number, arg_min({_BECOMES}, (decided_at, event_id)) AS state, arg_min(reviewer, (decided_at, event_id)) AS reviewer FROM {{decisions_v}} GROUP BY 1) s ON s.row_number = r.row_number"),
-    "overlay_review": _on("SELECT row_number, CASE WHEN row_number % 3 = 0 THEN 'approved' ELSE 'pending_review' END AS state, CASE WHEN row_number % 3 = 0 THEN overall_confidence ELSE 0.0 END AS overall_confidence FROM {enriched}"),
+    "overlay_review": _on("SELECT row_number, CASE WHEN can_auto_approve THEN 'approved' ELSE 'pending_review' END AS state, CASE WHEN can_auto_approve THEN overall_confidence ELSE 0.0 END AS overall_confidence FROM {routed}"),
     "export_wide": _on("SELECT row_number, " + ", ".join(f"coalesce(max(raw_value) FILTER (role = '{r}'), '') AS {r}_raw, coalesce(max(canonical_value) FILTER (role = '{r}'), '') AS {r}_canonical, printf('%.2f', max(confidence) FILTER (role = '{r}')) AS {r}_confidence, max(status) FILTER (role = '{r}') AS {r}_status" for r in ("material", "uom")) + " FROM {fields} GROUP BY 1"),
     "export_commerce": _on(f"SELECT row_number, {_MFR} AS manufacturer, CASE WHEN {_NO_BRAND} THEN {_MFR} ELSE {_ANY('brand')} END AS brand, {_ANY('part_number')} AS part_number, '' AS category, {_ANY('description')} AS description, {_ANY('material')} AS material, {_ANY('size')} AS size, {_ANY('uom')} AS uom, {_ANY('pressure')} AS pressure_rating, '' AS temperature_range, '' AS connection_type FROM {{wide}}"),
     "export_audit": _on("SELECT r.row_number, 8 AS n_fields, 1 + (h.row_number IS NOT NULL)::INT AS n_events FROM {routed} r LEFT JOIN (SELECT DISTINCT row_number FROM {judged} WHERE refusal IS NULL) h ON h.row_number = r.row_number"),
@@ -358,7 +359,7 @@ _LABELLED = f"""SELECT *, row_number() OVER (PARTITION BY document_id, lower(lab
 FROM (SELECT document_id, page, line, trim({_got('l', _LABEL)}) AS label, trim({_got('l', _LABEL, 2)}) AS value FROM {{lines}} WHERE length(l) BETWEEN 1 AND 120)
 WHERE label IS NOT NULL AND value <> '' AND lower(label) NOT IN ('page', 'copyright', 'phone', 'fax', 'email', 'website', 'note', 'notes') AND NOT contains(lower(value), 'http')
 AND len(string_split_regex(value, '\\s+')) <= 8 AND NOT regexp_matches(value, '[.,;]$|^[a-z]')"""
-_OFFERED = "SELECT 'p' || CAST(page_id % 40 AS VARCHAR) AS part_number, page_id AS rank, url FROM {pages_v}"
+_OFFERED = "SELECT 'p' || CAST(page_id // 8 AS VARCHAR) AS part_number, page_id AS rank, url FROM {pages_v}"
 _SEARCHED = "(contains(lower(c.url), '/search') OR contains(lower(c.url), 'q=') OR contains(lower(c.url), 'query='))"
 _HELD = f"SELECT c.part_number, c.rank, c.url, contains(lower(p.html), c.part_number) AS held, contains(lower(p.html), c.part_number) AND NOT {_SEARCHED} AS found FROM {{offered}} c JOIN {{pages_v}} p ON p.url = c.url WHERE NOT {_BLOCKED.replace('(url', '(c.url')}"
 _CHECKED = "SELECT part_number, rank, url, CASE WHEN found THEN 'verified' ELSE 'fetched' END AS status, CASE WHEN found THEN 0.9::DOUBLE WHEN held THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS confidence FROM (SELECT *, min(rank) FILTER (found) OVER (PARTITION BY part_number) AS first_found FROM {held}) WHERE first_found IS NULL OR rank <= first_found"
@@ -387,7 +388,7 @@ ORACLES |= {
     "candidate_urls": duck("SELECT row_number, CAST(rank AS INTEGER) AS rank, head || CASE WHEN head LIKE '%q=' THEN trim(mfg_part_num) ELSE replace(lower(trim(mfg_part_num)), ' ', '-') END AS url FROM {catalogue_v}, {heads} WHERE mfg_part_num IS NOT NULL", heads=_values([(k, f"https://www.{d}/{x}") for k, (x, d) in enumerate([(x, d) for d in ("parker.com", "apollovalves.com") for x in ("product/", "products/", "us/en/product/")] + [("search?q=", d) for d in ("parker.com", "apollovalves.com")])], "rank, head")),
     "match_snippet": duck("SELECT s.page_id, CASE WHEN trim(substr(a.t, a.b, a.e - a.b + 1)) <> '' THEN CASE WHEN b > 1 THEN '…' ELSE '' END || trim(substr(a.t, a.b, a.e - a.b + 1)) || CASE WHEN e < length(a.t) THEN '…' ELSE '' END END AS snippet FROM {shown} s LEFT JOIN {around} a ON a.page_id = s.page_id", shown=_SHOWN, around=_AROUND),
     "verify_on_pages": duck(_CHECKED, offered=_OFFERED, held=_HELD),
-    "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
+    "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet, 0 AS blocked, CASE WHEN bool_or(status = 'verified') THEN 'verified' ELSE 'fetched' END AS evidence_status, 'live' AS discovery_mode FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
     "resolve_domain": duck(_RESOLVED, asked=_ASKED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME),
     "product_noun": duck(_NOUNS, classes=_taxonomy()),
 }
@@ -487,3 +488,19 @@ ORACLES["export_json_document"] = _on(
     f""" UNION ALL SELECT source_name, 0, NULL, false, NULL, NULL, NULL, NULL, '{{"batch":{{"source_file":"' || source_name || '","row_count":' || n || ',"verified_rate":' || rate || '}},"rows":[' FROM ({_BATCH}), ({_RATE})"""
     f""" UNION ALL SELECT source_name, 2, NULL, false, NULL, NULL, NULL, NULL, '],"validation":{{"auto_approve_count":' || ok || ',"review_required_count":' || (n - ok) || ',"total_issues":' || issues || '}}}}' FROM ({_BATCH})"""
 )
+
+_CATEGORY = "SELECT 'doc-' || row_number AS document_id, CASE WHEN part_desc LIKE '%Valve%' THEN 'valve' WHEN part_desc LIKE '%hose%' THEN 'fitting' WHEN part_desc LIKE '%sanding%' THEN 'abrasive' END AS category FROM {catalogue_v}"
+ORACLES["validate_facts_by_category"] = duck(
+    "SELECT document_id, 'SOURCE_CONFLICT' AS code, name AS attribute FROM {facts} GROUP BY document_id, name HAVING count(DISTINCT lower(value)) > 1 UNION ALL SELECT d.document_id, 'MISSING_REQUIRED', r.a FROM (SELECT DISTINCT document_id FROM {facts}) d LEFT JOIN {category} c ON c.document_id = d.document_id"
+    " JOIN (VALUES ('valve', 'material'), ('valve', 'pressure_rating'), ('valve', 'size'), ('fitting', 'connection_type'), ('fitting', 'material'), ('fitting', 'size'), ('generic', 'material'), ('generic', 'size')) AS r(k, a) ON r.k = CASE WHEN c.category IN ('valve', 'fitting') THEN c.category ELSE 'generic' END"
+    " WHERE NOT EXISTS (SELECT 1 FROM {facts} f WHERE f.document_id = d.document_id AND f.name = r.a)", facts_all=_FACTS, facts=_FOUND, category=_CATEGORY,
+)
+ORACLES["source_summary_by_host"] = duck(
+    "SELECT part_number, count(*) FILTER (status <> 'blocked') AS sources, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status <> 'blocked') > 0 AS has_product_page, false AS has_datasheet, count(*) FILTER (status = 'blocked') AS blocked,"
+    " CASE WHEN bool_or(status = 'verified') THEN 'verified' WHEN bool_or(status = 'fetched') THEN 'fetched' ELSE 'discovered' END AS evidence_status, CASE WHEN bool_or(status IN ('verified', 'fetched')) THEN 'live' ELSE 'simulated' END AS discovery_mode"
+    " FROM (SELECT m.* FROM {met} m LEFT JOIN (SELECT part_number, min(rank) AS f FROM {met} WHERE status = 'verified' GROUP BY 1) v ON v.part_number = m.part_number WHERE v.f IS NULL OR m.rank <= v.f) GROUP BY 1", near_=_NEAR, met=_MET,
+)
+_FORMS = " UNION ALL ".join(f"SELECT '{k}' AS vocab, ord, canonical, {_form('form')} AS form FROM ({_entries(k)})" for k in ("manufacturer", "brand", "category", "distributor"))
+ORACLES["reference_usage"] = duck(
+    f"SELECT vocab, canonical, count(*) AS forms, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT vocab, form, arg_max(canonical, ord) AS canonical FROM ({_FORMS}) WHERE form <> '' GROUP BY 1, 2) f LEFT JOIN (SELECT {_form(_code('part_manuf'))} AS form, count(*) AS n FROM {{catalogue_v}} GROUP BY 1) c ON c.form = f.form GROUP BY 1, 2"
+)

@@ -201,6 +201,17 @@ def validate_facts(s, d):
     return documents.validate_facts(_facts(s, d))
 
 
+@query
+def validate_facts_by_category(s, d):
+    kind = F.when(F.col("part_desc").like("%Valve%"), "valve").when(F.col("part_desc").like("%hose%"), "fitting").when(F.col("part_desc").like("%sanding%"), "abrasive")
+    return documents.validate_facts(_facts(s, d), categories=_catalogue(s, d).select(F.concat(F.lit("doc-"), F.col("row_number").cast("string")).alias("document_id"), kind.alias("category")))
+
+
+@query
+def conflict_values(s, d):
+    return documents.conflict_values(_facts(s, d))
+
+
 @query
 def link_documents(s, d):
     rows = _catalogue(s, d).select("row_number", F.col("mfg_part_num").alias("part_number"))
@@ -390,7 +401,7 @@ def is_manufacturer_url(s, d):
 @query
 def verify_on_pages(s, d):
     p = view(s, d, "pages_v")
-    candidates = p.select(F.concat(F.lit("p"), (F.col("page_id") % 40).cast("string")).alias("part_number"), F.col("page_id").alias("rank"), "url")
+    candidates = p.select(F.concat(F.lit("p"), F.expr("page_id div 8").cast("string")).alias("part_number"), F.col("page_id").alias("rank"), "url")
     return web.verify_on_pages(candidates, p)
 
 
@@ -529,6 +540,11 @@ def reference_counts(s, d):
     return vocab.reference_counts(vocab.seed_vocab(s)).join(_catalogue(s, d).agg(F.count("*").alias("catalogue_rows")))
 
 
+@query
+def reference_usage(s, d):
+    return vocab.reference_usage(vocab.seed_vocab(s), _catalogue(s, d).select(C.strip_distributor_code("part_manuf").alias("name")))
+
+
 # Suggestions, paging, visits
 
 
@@ -574,7 +590,7 @@ def stream_visits_batch(s, d):
 
 @query
 def overlay_review(s, d):
-    fresh = _routed(s, d).select("row_number", F.lit("approved").alias("state"), "overall_confidence").where("row_number % 3 = 0")
+    fresh = _routed(s, d).where("state = 'auto_approved'").select("row_number", F.lit("approved").alias("state"), "overall_confidence")
     stored = _catalogue(s, d).select("row_number", F.lit("pending_review").alias("state"), F.lit(0.0).alias("overall_confidence"))
     return review.overlay_review(stored, fresh, ["row_number"])
 
@@ -616,7 +632,7 @@ def audit_page(s, d):
 def export_audit(s, d):
     e = _enriched(s, d)
     audit = review.apply_decisions(_routed(s, d), _decisions(s, d), ["row_number"])[1]
-    return delivery.export_audit(e, audit, ["row_number"]).select("row_number", F.size("transformations").alias("n_fields"), F.size("events").alias("n_events"))
+    return delivery.export_audit(e, audit, ["row_number"]).select("row_number", F.size("transformations").alias("n_fields"), F.col("n_events").cast("int").alias("n_events"))
 
 
 @query
@@ -702,6 +718,11 @@ def source_summary(s, d):
     return web.source_summary(verify_on_pages(s, d).withColumn("source_type", web.classify_url("url")), "part_number")
 
 
+@query
+def source_summary_by_host(s, d):
+    return web.source_summary(verify_by_host(s, d).withColumn("source_type", web.classify_url("url")), "part_number")
+
+
 @query
 def llm_usage(s, d):
     calls = llm_batches(s, d).groupBy("request").agg(F.count("*").alias("rows"), F.count_if(F.col("row_number") % 2 == 0).alias("resolved")).select("rows", "resolved", (F.col("rows") * 120).alias("prompt_tokens"), (F.col("rows") * 20).alias("completion_tokens"))
@@ -711,7 +732,7 @@ def llm_usage(s, d):
 @query
 def merge_products(s, d):
     v = view(s, d, "versions_v").select("product_id", "version_id", "name", "value")
-    changed = v.where("product_id like '%3'").withColumn("value", F.lit("new"))
+    changed = v.where("version_id >= 'V-1995'").withColumn("value", F.lit("new"))
     return store.merge_products(v, changed, ["product_id", "version_id"])
 
 

@@ -69,3 +69,10 @@ def reference_counts(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("vocab").agg(F.count("*").alias("entries"))
 
 
+def reference_usage(vocab: DataFrame, names: DataFrame) -> DataFrame:
+    """vocab, canonical, forms and rows: how many rows of names (name) carry a form of each entry, for all entries.
+
+    Rows are counted by form before they meet the vocabulary, so it is distinct forms that move."""
+    counted = names.select(form("name").alias("form")).where("form <> ''").groupBy("form").agg(F.count("*").alias("n"))
+    used = latest_forms(vocab).join(counted, "form", "left")
+    return used.groupBy("vocab", "canonical").agg(F.count("*").alias("forms"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
