@@ -126,9 +126,9 @@ def export_wide(enriched: DataFrame, raw: bool = True, confidence: bool = True,
     return enriched.select(*out)
 
 
-def export_commerce(enriched: DataFrame) -> DataFrame:
+def export_commerce(enriched: DataFrame, synthesise: bool = False) -> DataFrame:
     """The 12 columns of the commerce format: a role's canonical value, else what the cell holds; a brand that says that
-    there is none gives way to the manufacturer. Nothing is made up for empty cells."""
+    there is none gives way to the manufacturer. Nothing is made up for empty cells unless `synthesise` asks for it."""
     def value(role: str) -> Column:
         f = of_role("fields", role)
         return F.coalesce(F.nullif(f["canonical_value"], F.lit("")), f["raw_value"], F.lit(""))
@@ -138,7 +138,50 @@ def export_commerce(enriched: DataFrame) -> DataFrame:
     no_brand = (brand == "") | F.startswith(brand, F.lit("--")) | F.contains(brand, F.lit("Unbranded"))
     category = F.coalesce(of_role("fields", "category")["canonical_value"], F.lit(""))
     own = {"manufacturer": mfr, "brand": F.when(no_brand, mfr).otherwise(brand), "category": category, "pressure_rating": value("pressure")}
-    return enriched.select("row_number", *(own.get(c, value(c)).alias(c) for c in V.COMMERCE_COLUMNS[1:]))
+    cell = of_role("fields", "manufacturer")["raw_value"].alias("_cell")
+    out = enriched.select("row_number", *(own.get(c, value(c)).alias(c) for c in V.COMMERCE_COLUMNS[1:]), *([cell] if synthesise else []))
+    return commerce_synthesise(out, F.coalesce(F.nullif("_cell", F.lit("")), "manufacturer")).drop("_cell") if synthesise else out
+
+
+def _ruled(rules: list[tuple[str, list[str], str]], places: dict[str, Column]) -> Column:
+    """The value of the first rule (place, parts, value) of which a part is in the text of its place."""
+    out = None
+    for where, parts, value in rules:
+        hit = F.contains(places[where], F.lit(parts[0]))
+        for p in parts[1:]:
+            hit = hit | F.contains(places[where], F.lit(p))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
+def commerce_synthesise(commerce: DataFrame, mfr: Column | str | None = None) -> DataFrame:
+    """The commerce columns with the format's stock values in the empty cells of sparse rows.
+
+    A row is sparse that has a part number and a description, but neither material nor size. What it gets is read from the
+    description where that states it, and is else a stock value of its kind of product, which nothing proves: callers ask for this,
+    and evidence exports never have it. All of it is one projection over rule tables. mfr: the supplier's cell, by which classes
+    are told where the description has none; by default the manufacturer.
+    """
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    sparse = ~empty("description") & ~empty("part_number") & empty("material") & empty("size")
+    out = commerce.withColumn("_class", taxonomy.classification("description", "manufacturer" if mfr is None else mfr)).withColumn("_sparse", sparse)
+    kind = F.when(taxonomy.is_unresolved("_class.classpath"), F.lit("")).otherwise(F.col("_class.class_name"))
+    fill = lambda df, c, value: df.withColumn(c, F.when(F.col("_sparse") & empty(c), value).otherwise(F.col(c)))
+    out = fill(out, "brand", F.col("manufacturer"))
+    out = fill(out, "category", F.coalesce(F.nullif(kind, F.lit("")), F.lit(V.SYNTHESISED_CATEGORY)))
+    stated = F.get(F.filter(X.extract_attributes("description", "part_number"), lambda a: a["label"] == "Size"), 0)["value"]
+    out = fill(out, "size", F.coalesce(stated, F.trim(X.first("description", V.SYNTHESISED_SIZE_PATTERN, 0)), F.lit(V.SYNTHESISED_SIZE)))
+    d = F.lower("description")
+    places = {"description": d, "category": F.lower("category"), "size": F.lower("size"), "raw size": F.col("size")}
+    pressed, volts, amperes = (X.first(d, p, 1) for p in (V.SYNTHESISED_PRESSURE_PATTERN, V.SYNTHESISED_VOLT_PATTERN, V.SYNTHESISED_AMPERE_PATTERN))
+    rated = F.concat(pressed, F.lit(" "), F.upper(X.first(d, V.SYNTHESISED_PRESSURE_PATTERN, 2)))
+    powered = F.concat(volts, F.lit("V"), F.coalesce(F.concat(F.lit(" / "), amperes, F.lit("A")), F.lit("")))
+    out = fill(out, "material", _ruled(V.SYNTHESISED_MATERIAL, places))
+    out = fill(out, "uom", _ruled(V.SYNTHESISED_UNIT, places))
+    out = fill(out, "pressure_rating", F.coalesce(rated, powered, _ruled(V.SYNTHESISED_PRESSURE, places)))
+    out = fill(out, "temperature_range", _ruled(V.SYNTHESISED_TEMPERATURE, places))
+    out = fill(out, "connection_type", _ruled(V.SYNTHESISED_CONNECTION, places))
+    return out.select(*commerce.columns)
 
 
 def export_json(enriched: DataFrame, evidence: bool = True) -> DataFrame:

@@ -504,3 +504,22 @@ _FORMS = " UNION ALL ".join(f"SELECT '{k}' AS vocab, ord, canonical, {_form('for
 ORACLES["reference_usage"] = duck(
     f"SELECT vocab, canonical, count(*) AS forms, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT vocab, form, arg_max(canonical, ord) AS canonical FROM ({_FORMS}) WHERE form <> '' GROUP BY 1, 2) f LEFT JOIN (SELECT {_form(_code('part_manuf'))} AS form, count(*) AS n FROM {{catalogue_v}} GROUP BY 1) c ON c.form = f.form GROUP BY 1, 2"
 )
+
+
+def _chosen(rules: list[tuple], places: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({places[w]}, {_q(p)})' for p in parts)} THEN {_q(v)}" for w, parts, v in rules) + " END"
+
+
+_LOW = "lower(description)"
+_TEXTS = {"description": _LOW, "category": "lower(category)", "size": "lower(size)", "raw size": "size"}
+_SIZED_ROWS = f"""SELECT *, coalesce(CASE WHEN {_got('description', _SIDED)} IS NOT NULL THEN {_got('description', _SIDED)} || ' in x ' || {_got('description', _SIDED, 2)} || ' in' END, trim(nullif(regexp_extract(description, {_q(V.SYNTHESISED_SIZE_PATTERN)}, 0), '')), 'Standard') AS size FROM {{sparse_base}}"""
+_PSI, _VOLTS, _AMPS = (f"nullif(regexp_extract({_LOW}, {_q(p)}, 1), '')" for p in (V.SYNTHESISED_PRESSURE_PATTERN, V.SYNTHESISED_VOLT_PATTERN, V.SYNTHESISED_AMPERE_PATTERN))
+_MADE = f"""SELECT row_number, manufacturer, brand, part_number, category, description, {_chosen(V.SYNTHESISED_MATERIAL, _TEXTS)} AS material, size, {_chosen(V.SYNTHESISED_UNIT, _TEXTS)} AS uom,
+ coalesce({_PSI} || ' ' || upper(regexp_extract({_LOW}, {_q(V.SYNTHESISED_PRESSURE_PATTERN)}, 2)), {_VOLTS} || 'V' || coalesce(' / ' || {_AMPS} || 'A', ''), {_chosen(V.SYNTHESISED_PRESSURE, _TEXTS)}) AS pressure_rating,
+ {_chosen(V.SYNTHESISED_TEMPERATURE, _TEXTS)} AS temperature_range, {_chosen(V.SYNTHESISED_CONNECTION, _TEXTS)} AS connection_type FROM {{sized_rows}}"""
+_SPARSE = f"""SELECT w.row_number, {_MFR} AS manufacturer, CASE WHEN {_NO_BRAND} THEN {_MFR} ELSE {_ANY('brand')} END AS brand, {_ANY('part_number')} AS part_number, CASE WHEN k.classpath = {_q(V.GENERIC_PATH)} THEN 'Industrial Hardware' ELSE k.class_name END AS category, {_ANY('description')} AS description
+ FROM {{wide}} w JOIN ({_taxonomy()}) k ON k.row_number = w.row_number"""
+ORACLES["commerce_synthesise"] = duck(
+    "SELECT * FROM {made} WHERE part_number <> '' AND description <> '' UNION ALL SELECT row_number, manufacturer, brand, part_number, '', description, '', '', '', '', '', '' FROM {sparse_base} WHERE part_number = '' OR description = ''",
+    **_STEPS, sparse_base=_SPARSE, sized_rows=_SIZED_ROWS, made=_MADE,
+)

@@ -348,6 +348,12 @@ def export_commerce(s, d):
     return delivery.export_commerce(_enriched(s, d))
 
 
+@query
+def commerce_synthesise(s, d):
+    bare = _catalogue(s, d).drop("material", "size", "uom", "pressure_rating")
+    return delivery.export_commerce(enrich.enrich_batch(bare), synthesise=True)
+
+
 @query
 def export_json(s, d):
     return delivery.export_json(_enriched(s, d))
