@@ -18,15 +18,19 @@ def read_batch(spark: SparkSession, root: str, organization: str, batch: str) ->
 
 
 def drop_batch(spark: SparkSession, root: str, organization: str, batch: str) -> int:
-    """Empty one named batch of an organisation and say how many rows it had; 0 for an unknown one."""
-    rows = read_batch(spark, root, organization, batch)
-    n = rows.count()
+    """Delete one named batch of an organisation, folder and files, and say how many rows it had; 0 for an unknown one."""
+    n = read_batch(spark, root, organization, batch).count()
     if n:
-        none = spark.createDataFrame([], rows.drop(*KEYS).schema)
-        none.write.mode("overwrite").parquet(f"{root}/organization_id={organization}/batch_id={batch}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/organization_id={organization}/batch_id={batch}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def stored_batches(spark: SparkSession, root: str) -> DataFrame:
+    """organization_id, batch_id and rows of all stored batches; a dropped one isn't among them."""
+    return spark.read.parquet(root).groupBy(*KEYS).agg(F.count("*").alias("rows"))
+
+
 def merge_products(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """existing with the rows of incoming, which replace rows of the same keys."""
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)

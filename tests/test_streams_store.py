@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import store
+from tessella.operators import ledger, store
 from tessella.plans.views import view
 from tessella.sources import files, vocab
 from tessella.streaming import streams
@@ -76,6 +77,33 @@ def test_batches_are_written_and_dropped_alone(spark, tmp_path):
     assert store.read_batch(spark, root, "o", "x").count() == 1
     assert store.drop_batch(spark, root, "o", "y") == 2 and store.drop_batch(spark, root, "o", "zz") == 0
     assert spark.read.parquet(root).count() == 3
+    assert not (tmp_path / "t/organization_id=o/batch_id=y").exists()
+    assert sorted(map(tuple, store.stored_batches(spark, root).collect())) == [("o", "x", 1), ("p", "x", 2)]
+
+
+def test_products_are_replaced_with_their_evidence_in_one_commit(spark, tmp_path):
+    root, keys = str(tmp_path / "p"), ["product_id", "version_id"]
+    schema = "product_id string, version_id string, name string, evidence array<struct<source:string,page:int>>"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    read = lambda: sorted(((r.product_id, r.version_id, r.name, tuple(map(tuple, r.evidence or []))) for r in ledger.read_products(spark, root).collect()), key=repr)
+    assert ledger.read_products(spark, root) is None and ledger.drop_products(make([]), root, keys) == 0
+    first = [(f"p{k}", "v1", n, [("a", k), ("b", 1)]) for k in range(200) for n in ("size", "material")] + [(None, "v1", "size", None)]
+    assert ledger.store_products(make(first), root, keys) == 1 and len(read()) == 401
+    assert ledger.store_products(make([("p7", "v1", "size", [("new", 9)]), ("p7", "v2", "size", [])]), root, keys) == 2
+    assert [x for x in read() if x[0] == "p7"] == [("p7", "v1", "size", (("new", 9),)), ("p7", "v2", "size", ())] and len(read()) == 401
+    touched = len([*(tmp_path / "p/data").glob("*/_bucket=*")])
+    assert touched <= 64 + 2  # only two buckets were written again
+    before = read()
+    with pytest.raises(Exception):  # a task that fails leaves the table as it was
+        ledger.store_products(make([("p9", "v1", "size", [])]).withColumn("name", F.raise_error(F.lit("lost")).cast("string")), root, keys)
+    assert read() == before and ledger.store_products(make([]), root, keys) == 2
+    assert ledger.drop_products(make([("p7", "v1", "", []), ("zz", "v1", "", [])]).select(*keys), root, keys) == 3
+    assert [x for x in read() if x[0] == "p7"] == [("p7", "v2", "size", ())]
+    assert ledger.vacuum(spark, root) > 0 and len(read()) == 400
+    folders = [*(tmp_path / "p/data").glob("*/_bucket=*")]
+    assert len(folders) == len(ledger._manifest(spark, root)[1]) and all([*f.glob("*.parquet")] for f in folders)
+    assert ledger.drop_products(spark.createDataFrame([(f"p{k}", v) for k in range(200) for v in ("v1", "v2")] + [(None, "v1")], "product_id string, version_id string"), root, keys) == 4
+    assert [x[0] for x in read()] == [None]  # null keys are equal to nothing
 
 
 def test_vocabulary_files_follow_the_seed(spark, tmp_path):
