@@ -388,7 +388,7 @@ ORACLES |= {
     "candidate_urls": duck("SELECT row_number, CAST(rank AS INTEGER) AS rank, head || CASE WHEN head LIKE '%q=' THEN trim(mfg_part_num) ELSE replace(lower(trim(mfg_part_num)), ' ', '-') END AS url FROM {catalogue_v}, {heads} WHERE mfg_part_num IS NOT NULL", heads=_values([(k, f"https://www.{d}/{x}") for k, (x, d) in enumerate([(x, d) for d in ("parker.com", "apollovalves.com") for x in ("product/", "products/", "us/en/product/")] + [("search?q=", d) for d in ("parker.com", "apollovalves.com")])], "rank, head")),
     "match_snippet": duck("SELECT s.page_id, CASE WHEN trim(substr(a.t, a.b, a.e - a.b + 1)) <> '' THEN CASE WHEN b > 1 THEN '…' ELSE '' END || trim(substr(a.t, a.b, a.e - a.b + 1)) || CASE WHEN e < length(a.t) THEN '…' ELSE '' END END AS snippet FROM {shown} s LEFT JOIN {around} a ON a.page_id = s.page_id", shown=_SHOWN, around=_AROUND),
     "verify_on_pages": duck(_CHECKED, offered=_OFFERED, held=_HELD),
-    "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet, 0 AS blocked, CASE WHEN bool_or(status = 'verified') THEN 'verified' ELSE 'fetched' END AS evidence_status, 'live' AS discovery_mode FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
+    "source_summary": duck("SELECT part_number, count(*) AS sources, count(*) FILTER (status = 'verified') AS verified, bool_or(kind = 'product_page') AS has_product_page, bool_or(kind IN ('pdf_datasheet', 'specification_sheet')) AS has_datasheet, CAST(0 AS BIGINT) AS blocked, CASE WHEN bool_or(status = 'verified') THEN 'verified' ELSE 'fetched' END AS evidence_status, 'live' AS discovery_mode FROM (SELECT *, " + _KIND + " AS kind FROM {checked}) GROUP BY 1", offered=_OFFERED, held=_HELD, checked=_CHECKED),
     "resolve_domain": duck(_RESOLVED, asked=_ASKED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME),
     "product_noun": duck(_NOUNS, classes=_taxonomy()),
 }
@@ -454,7 +454,7 @@ _RESTORED = f"""SELECT s.row_number, s.action, CASE WHEN s.row_number % 13 = 0 T
  CASE WHEN s.row_number % 13 = 0 THEN NULL WHEN s.row_number % 11 = 0 THEN '{_SAYS.format(when=V.RESTORED_UNTIMED)}' ELSE '{_SAYS.format(when=V.RESTORED_TIMED)}' END AS comment, 2 AS place
  FROM ({_STORED}) s LEFT JOIN {{routed}} r ON r.row_number = s.row_number WHERE r.row_number IS NOT NULL"""
 ORACLES["replay_audit"] = _on(f"SELECT * FROM ({_RESTORED}) x")
-ORACLES["replay_state"] = _on(f"SELECT r.row_number, coalesce(x.new_state, r.state) AS state, x.reviewer, CASE WHEN x.row_number IS NULL THEN 1 ELSE 2 END AS n_events FROM {{routed}} r LEFT JOIN ({_RESTORED}) x ON x.row_number = r.row_number")
+ORACLES["replay_state"] = _on(f"SELECT r.row_number, coalesce(x.new_state, r.state) AS state, x.reviewer, CAST(CASE WHEN x.row_number IS NULL THEN 1 ELSE 2 END AS BIGINT) AS n_events FROM {{routed}} r LEFT JOIN ({_RESTORED}) x ON x.row_number = r.row_number")
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '')"
 _NEAR = f"""SELECT page_id % 2 AS rank, 'Track(' || (page_id - page_id % 2) || ')' AS part_number,
@@ -463,7 +463,7 @@ _MET = f"""SELECT c.k, c.part_number, c.rank, c.url, CASE WHEN c.url LIKE '%amaz
  min(p.url) FILTER (contains(p.low, lower(c.part_number)) AND NOT p.search) AS page, count(DISTINCT p.url) FILTER (contains(p.low, lower(c.part_number)) AND NOT p.search) AS n, count(p.url) FILTER (contains(p.low, lower(c.part_number))) AS any_
  FROM (SELECT *, {_HOST} AS host, row_number() OVER () AS k FROM {{near_}}) c LEFT JOIN (SELECT url, {_HOST} AS host, lower(html) AS low, contains(lower(url), '/search') OR contains(lower(url), 'q=') OR contains(lower(url), 'query=') AS search FROM {{pages_v}}) p ON p.host = c.host GROUP BY c.k, c.part_number, c.rank, c.url"""
 ORACLES["verify_by_host"] = duck(
-    "SELECT m.part_number, m.rank, m.url, m.status, CASE WHEN m.status = 'verified' THEN 0.9 WHEN m.status <> 'fetched' THEN 0.0 WHEN m.any_ > 0 THEN 0.2 ELSE 0.1 END AS confidence, CASE WHEN m.status = 'verified' THEN m.page END AS page, CASE WHEN m.status = 'verified' THEN m.n ELSE 0 END AS n_pages"
+    "SELECT m.part_number, m.rank, m.url, m.status, CAST(CASE WHEN m.status = 'verified' THEN 0.9 WHEN m.status <> 'fetched' THEN 0.0 WHEN m.any_ > 0 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS confidence, CASE WHEN m.status = 'verified' THEN m.page END AS page, CASE WHEN m.status = 'verified' THEN m.n ELSE 0 END AS n_pages"
     " FROM {met} m LEFT JOIN (SELECT part_number, min(rank) AS f FROM {met} WHERE status = 'verified' GROUP BY 1) v ON v.part_number = m.part_number WHERE v.f IS NULL OR m.rank <= v.f",
     near_=_NEAR, met=_MET,
 )
