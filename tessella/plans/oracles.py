@@ -439,7 +439,7 @@ ORACLES |= {
 
 _FEED = f"""SELECT CAST(p_partkey AS VARCHAR) AS sku, {_clean("p_name || chr(10) || '5\" pipe; \"' || p_type || '\",' || chr(10) || chr(10) || p_size")} AS item_description,
  CASE WHEN p_size % 3 > 0 THEN p_brand END AS vendor FROM part"""
-ORACLES |= {"scan_delimited": _FEED, "scan_xml": _FEED}
+ORACLES |= {"scan_delimited": _FEED, "scan_json": _FEED, "scan_xml": _FEED}
 
 _KEYED = "SELECT row_number, lower(trim(mfg_part_num)) AS k FROM {catalogue_v} WHERE trim(mfg_part_num) <> ''"
 ORACLES["repeated_part_numbers"] = duck(

@@ -64,6 +64,29 @@ def scan_delimited(s, d):
     return files.read_catalogue_csv(s, path).select("sku", "item_description", "vendor")
 
 
+def _arrays(lines: DataFrame) -> DataFrame:
+    """Lines of each partition as the items of one JSON array."""
+
+    def wrap(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        first = True
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [("" if first and k == 0 else ",") + x for k, x in enumerate(texts)]})
+            first = first and not texts
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    return lines.mapInArrow(wrap, "value string")
+
+
+@query
+def scan_json(s, d):
+    _arrays(_feed(s, d).select(F.to_json(F.struct("*")).alias("value"))).write.text(path := ranges.scratch(s, "feed"))
+    return files.read_catalogue_json(s, path).select("sku", "item_description", "vendor")
+
+
 @query
 def scan_xml(s, d):
     _feed(s, d).toDF("sku", "item_description", "vendor").write.format("xml").option("rowTag", "item").save(path := ranges.scratch(s, "feed"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.cells import canonical_header, clean_cell
 from ..resources import values as V
-from . import delimited
+from . import delimited, nested
 
 _SEPARATORS = [",", ";", "\t", "|"]
 #: Lines that a header may have.
@@ -100,21 +100,16 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 MAX_JSON_COLUMNS = 10_000
-_LISTS = ["products", "items", "rows", "records", "data", "catalogue", "catalog"]
+
 
 
 def read_catalogue_json(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """The named columns of a JSON feed, or all that any record has, by name: an array of objects; an object with a list
-    of them under a known name, else under its first filled list; else one object. Nested cells stay JSON text; what
-    isn't an object is left out. Without names, a job finds them first; only distinct names come to the driver, and
+    of them under a known name, else under its first list of objects; else one object. Nested cells stay JSON text; what
+    isn't an object is left out, and so is a record that can't be parsed. Rows are numbered from 2 by their place in the list.
+    Files of any size are read in splits. Without names, a job finds them first; only distinct names come to the driver, and
     more than MAX_JSON_COLUMNS of them are refused."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("j"))
-    whole = F.col("j")
-    lists = [F.try_variant_get(whole, f"$.{k}", "array<variant>") for k in _LISTS]
-    fields = F.try_variant_get(whole, "$", "map<string,variant>")
-    other = F.get(F.filter(F.transform(F.map_values(fields), lambda v: v.cast("string")), lambda x: F.startswith(x, F.lit("[{"))), 0)
-    records = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), *lists, F.from_json(other, "array<variant>"), F.array(whole))
-    one = doc.select(F.posexplode(records).alias("pos", "r")).where(F.startswith(F.schema_of_variant("r"), F.lit("OBJECT")))
+    one = nested.records(spark, path).select("pos", F.try_parse_json("record").alias("r")).where(F.startswith(F.schema_of_variant("r"), F.lit("OBJECT")))
     if columns is None:
         found = one.select(F.explode(F.map_keys(F.try_variant_get("r", "$", "map<string,variant>"))).alias("c")).distinct()
         columns = sorted(r.c for r in found.limit(MAX_JSON_COLUMNS + 1).collect())
@@ -122,7 +117,7 @@ def read_catalogue_json(spark: SparkSession, path: str, columns: list[str] | Non
             raise ValueError(f"a feed with more than {MAX_JSON_COLUMNS} columns")
     names = {canonical_header(c): c for c in columns}
     cells = [F.try_variant_get("r", f"$['{c}']", "string").alias(n) for n, c in names.items() if n]
-    return normalise(one.select((F.col("pos") + 2).alias("row_number"), *cells), path.rsplit("/", 1)[-1])
+    return normalise(one.select((F.col("pos") + 2).cast("int").alias("row_number"), *cells), path.rsplit("/", 1)[-1])
 
 
 def read_catalogue_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:

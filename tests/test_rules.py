@@ -16,7 +16,7 @@ from tessella.functions import cells as C, extract as X, ranges
 from tessella.operators import delivery, enrich, match, metrics, products, review, taxonomy, validate, web
 from tessella.plans.views import view
 from tessella.resources import values as V
-from tessella.sources import files, vocab
+from tessella.sources import files, nested, vocab
 
 
 def _one(spark, expression, *values):
@@ -357,3 +357,45 @@ def test_running_totals_over_a_key_in_many_ranges(spark, tmp_path):
         seen[r.k][0] += 1
         seen[r.k][1] ^= r.o
         assert [r.n, r.z] == seen[r.k]
+
+
+def _json_rows(doc):
+    """The objects of a feed with their places, as a plain reader finds them."""
+    if isinstance(doc, dict):
+        named = [doc[k] for k in nested.LISTS if isinstance(doc.get(k), list)]
+        filled = [v for v in doc.values() if isinstance(v, list) and v and isinstance(v[0], dict)]
+        doc = (named or filled or [[doc]])[0]
+    return [(k + 2, x) for k, x in enumerate(doc) if isinstance(x, dict)]
+
+
+@pytest.mark.parametrize("most", [60, 1 << 20])
+def test_json_feeds_in_many_splits_give_the_rows_of_a_plain_reader(spark, tmp_path, most):
+    """Braces, brackets, quotes and backslashes in strings, nested values, items that are no objects, records longer than
+    many splits, lists under known and other names, other lists before them, one object, minified and indented."""
+    rnd = random.Random(most)
+    text = lambda: "".join(rnd.choice(['a', '"', "\\", "{", "}", "[", "]", ",", ":", "é", "\n", "x" * 9]) for _ in range(rnd.randint(0, 9)))
+
+    def item(k):
+        x = {"SKU": f"s{k}", "note": text() or "n", "n": rnd.choice([1, None, True, {"a": [text(), {"b": 1}]}, [{"c": text()}], "z" * 400 if rnd.random() < 0.1 else "y"])}
+        return rnd.choice([5, text(), [x], None]) if rnd.random() < 0.1 else x
+
+    lists = lambda n: [item(k) for k in range(n)]
+    docs = {
+        "a.json": lists(30), "b.json": {"meta": {"items": [1, {"SKU": "no"}], "t": text()}, "other": [{"SKU": "no"}], "tags": ["x"], "items": lists(12), "last": text()}, "c.json": {"k": 1, "list": [{"SKU": "first"}, *lists(5)], "more": [{"SKU": "no"}]},
+        "d.json": {"SKU": "single", "n": [1, 2], "o": {"p": [{"q": 1}]}}, "e.json": [], "f.json": {"rows": [], "z": [{"SKU": "no"}]}, "g.json": [1, "}", [{"SKU": "no"}]],
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+    spark.conf.set("spark.sql.files.openCostInBytes", "8")
+    try:
+        for k, (name, doc) in enumerate(docs.items()):
+            raw = json.dumps(doc, ensure_ascii=k % 2 == 0, indent=2 if k % 3 == 1 else None, separators=(",", ":") if k % 3 == 0 else None)
+            (tmp_path / name).write_text(("\ufeff" if k == 2 else "") + raw + ("\n" if k % 2 else ""), encoding="utf-8")
+            got = {r.pos + 2: json.loads(r.record) for r in nested.records(spark, str(tmp_path / name)).collect()}
+            assert got == dict(_json_rows(doc)), name
+        got = sorted((r.file.rsplit("/", 1)[1], r.pos + 2, json.dumps(json.loads(r.record))) for r in nested.records(spark, str(tmp_path)).collect())
+        assert got == sorted((name, k, json.dumps(x)) for name, doc in docs.items() for k, x in _json_rows(doc))
+        rows = files.read_catalogue_json(spark, str(tmp_path / "a.json"), ["SKU", "note"]).collect()
+        assert sorted(r.row_number for r in rows) == [k for k, _ in _json_rows(docs["a.json"])]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
