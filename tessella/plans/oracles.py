@@ -437,6 +437,31 @@ ORACLES |= {
     "delivery_record": duck(_PATHED, classes=_taxonomy(), supplied=_SUPPLIED, no_part=_NO_PART, stated_rows=_STATED_ROWS, families=_FAMILIES, family=_FAMILY, laid=_LAID, nouns=_NOUNS, resolved=_RESOLVED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME, asked="SELECT row_number, maker AS manufacturer, text || ' ' || brand AS text FROM {supplied}"),
 }
 
+#: Attributes in their order: the labels of the family, then what else is stated.
+_ORDERED = """SELECT row_number, label, value, uom, row_number() OVER (PARTITION BY row_number ORDER BY place) AS n FROM (
+ SELECT f.row_number, l.label, coalesce(t.value, '') AS value, t.uom, l.place FROM {family} f JOIN {labels} l ON l.family = f.family LEFT JOIN {stated_rows} t ON t.row_number = f.row_number AND t.label = l.label
+ UNION ALL SELECT t.row_number, t.label, t.value, t.uom, 1000 + t.k FROM {stated_rows} t LEFT JOIN {family} f ON f.row_number = t.row_number WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.family = f.family AND l.label = t.label))"""
+_LABELS = _values([(f, x, k) for f, labels in V.ATTRIBUTE_LABELS.items() for k, x in enumerate(labels)], "family, label, place")
+_BASE = f"""SELECT p.*, s.text, s.class_name, s.open, s.dept AS whole_dept, c.part_manuf, starts_with(lower(s.text), lower(s.part)) AS leads, a.attributes, string_split(p.features, '|') AS listed,
+ {_got('s.text', _WEIGHED)} AS weight, upper({_got('s.text', _WEIGHED, 2)}) AS weight_uom, {_got('s.text', _SIDED)} AS width, {_got('s.text', _SIDED, 2)} AS length, replace(lower(s.part), ' ', '-') AS slug
+ FROM {{pathed}} p JOIN {{supplied}} s ON s.row_number = p.row_number JOIN {{catalogue_v}} c ON c.row_number = p.row_number
+ LEFT JOIN (SELECT row_number, list({{{{'label': label, 'value': value, 'uom': uom}}}} ORDER BY n) AS attributes FROM {{ordered}} WHERE n <= 50 GROUP BY 1) a ON a.row_number = p.row_number""".replace("{{", "{").replace("}}", "}")
+_MADE_COLUMNS = {
+    "MFR URL": "'https://www.' || domain || '/search?q=' || url_encode(part_number_out)", "Ref URL 1": "'https://www.' || domain || '/documents/' || slug || '-datasheet.pdf'", "PART_NUMBER": "part_number_out", "Dept": "dept", "Class": "CASE WHEN NOT open THEN class_name END", "Fine": "fine",
+    "SKU - MY_PART_NUMBER": "part_number_out", "Mfg_Part_Num": "part_number_out", "Part_Desc": "text", "E1_Brand": "coalesce(brand_name, '-- Unbranded --')", "Unilog_Brand": "'-- No Unilog Brand --'", "DIB_Brand": "'-- No DIB Brand --'",
+    "Part_Manuf": "coalesce(part_manuf, manufacturer_name)", "MANUFACTURER_NAME": "manufacturer_name", "BRAND_NAME": "brand_name", "TRADE_NAME": "brand_name || '®'", "MANUFACTURER_PART_NUMBER": "part_number_out", "Classpath": "delivery_path",
+    "MOBILE_DESC": "substr(CASE WHEN leads THEN brand_name || ' ' || text ELSE brand_name || ' ' || part_number_out || ' ' || text END, 1, 120)", "INVOICE_DESC": "invoice", "SHORT_DESC": "substr(text, 1, 100)",
+    "LONG_DESC1": "CASE WHEN leads THEN brand_name || ' - ' || text ELSE brand_name || ' ' || part_number_out || ' - ' || text END", "RETAIL_DESC": "text", "Product Name": "product_name", "LENGTH": "length", "LENGTH_UOM": "CASE WHEN length IS NOT NULL THEN 'in' END", "WIDTH": "width",
+    "WIDTH_UOM": "CASE WHEN width IS NOT NULL THEN 'in' END", "WEIGHT": "weight", "WEIGHT_UOM": "weight_uom", "Product Image": "image", "Specification Sheet": "replace(image, '.jpg', '_Specification_Sheet.pdf')", "Actual Image (Yes/No)": "'Yes'",
+    "Standard/Approvals": f"CASE WHEN contains(whole_dept, 'Appliances') THEN {_q(V.APPLIANCE_STANDARDS)} ELSE {_q(V.STANDARDS)} END", "Warranty": _q(V.WARRANTY),
+    **{f"ITEM_FEATURES_{k}": f"listed[{k}]" for k in range(1, 21)}, **{f"ATTRIBUTE_{x} {k}": f"attributes[{k}].{x.lower()}" for k in range(1, 51) for x in ("LABEL", "VALUE", "UOM")},
+}
+ORACLES["delivery_wide"] = duck(
+    "SELECT " + ", ".join(f"""coalesce({_MADE_COLUMNS.get(c, 'NULL')}, '') AS "{c}\"""" for c in V.delivery_columns()) + " FROM {base}",
+    classes=_taxonomy(), supplied=_SUPPLIED, no_part=_NO_PART, stated_rows=_STATED_ROWS, families=_FAMILIES, family=_FAMILY, laid=_LAID, nouns=_NOUNS, resolved=_RESOLVED, own=_OWN, listed=_LISTED, asked_words=_ASKED_WORDS, named_domains=_NAMED_DOMAINS, same_name=_SAME_NAME,
+    asked="SELECT row_number, maker AS manufacturer, text || ' ' || brand AS text FROM {supplied}", pathed=_PATHED, labels=_LABELS, ordered=_ORDERED, base=_BASE,
+)
+
 _FEED = f"""SELECT CAST(p_partkey AS VARCHAR) AS sku, {_clean("p_name || chr(10) || '5\" pipe; \"' || p_type || '\",' || chr(10) || chr(10) || p_size")} AS item_description,
  CASE WHEN p_size % 3 > 0 THEN p_brand END AS vendor FROM part"""
 ORACLES |= {"scan_delimited": _FEED, "scan_json": _FEED, "scan_xml": _FEED}
