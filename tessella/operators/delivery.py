@@ -110,6 +110,7 @@ def wide_record(record: DataFrame) -> DataFrame:
 
 
 def export_delivery(df: DataFrame, path: str) -> None:
+    """Write the 252 columns of the delivery format as CSV files with a header."""
     wide_record(delivery_record(df)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 

@@ -102,5 +102,6 @@ def label_value_lines(pages: DataFrame, max_attributes: int = 20) -> DataFrame:
 
 
 def latest_artifact(artifacts: DataFrame, *by: str) -> DataFrame:
+    """The newest artifact of each key, ties to the larger id; a maximum that is combined before the shuffle."""
     rest = [c for c in artifacts.columns if c not in by]
     return artifacts.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("created_at", "artifact_id")).alias("a")).select(*by, "a.*")

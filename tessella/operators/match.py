@@ -111,10 +111,12 @@ def match_brand(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
 
 
 def match_distributor(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
+    """The distributor's match, equal or by part of the name."""
     return match_vocab_contains(df, column, vocab, "distributor")
 
 
 def match_category(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
+    """The category's match, equal or by part of the name."""
     return match_vocab_contains(df, column, vocab, "category")
 
 

@@ -33,10 +33,12 @@ def _metrics(scored: DataFrame, by: str) -> DataFrame:
 
 
 def field_metrics(scored: DataFrame) -> DataFrame:
+    """Outcomes and accuracy of each column."""
     return _metrics(scored, "column")
 
 
 def role_metrics(scored: DataFrame) -> DataFrame:
+    """Outcomes and accuracy of each role."""
     return _metrics(scored, "role")
 
 

@@ -30,6 +30,7 @@ def version_attr_union(versions: DataFrame) -> DataFrame:
 
 
 def required_minus_present(have: Column, need: list[str]) -> Column:
+    """What is needed and not there, sorted."""
     return F.array_sort(F.array_except(F.array(*map(F.lit, need)), have))
 
 

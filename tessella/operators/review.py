@@ -57,6 +57,7 @@ def apply_decisions(routed: DataFrame, decisions: DataFrame, keys: list[str]) ->
 
 
 def current_review_state(routed: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, state and reviewer of each row after all decisions that hold."""
     return apply_decisions(routed, decisions, keys)[0].select(*keys, "state", "reviewer")
 
 

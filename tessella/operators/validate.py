@@ -152,10 +152,12 @@ def exploded_issues(validated: DataFrame, *keep: str) -> DataFrame:
 
 
 def batch_validation_summary(validated: DataFrame, *by: str) -> DataFrame:
+    """Rows, rows that can be approved or need review, issues, and the share approved (4 places), for each batch."""
     out = validated.groupBy(*by).agg(F.count("*").alias("total_rows"), F.count_if("can_auto_approve").alias("auto_approved"), F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("total_issues"))
     rate = F.when(F.col("total_rows") > 0, F.round(F.col("auto_approved") / F.col("total_rows"), 4)).otherwise(0.0)
     return out.withColumn("review_required", F.col("total_rows") - F.col("auto_approved")).withColumn("auto_approve_rate", rate)
 
 
 def issue_histogram(validated: DataFrame) -> DataFrame:
+    """How many issues there are of each code and severity."""
     return exploded_issues(validated).groupBy("code", "severity").agg(F.count("*").alias("n"))

@@ -86,6 +86,7 @@ def resolve_domain(mfr: Column | str, text: Column | str, brands: list[Column])
 
 
 def search_queries(mfr: Column | str, part: Column | str, domain: Column | str) -> Column:
+    """Four searches for a part: page, datasheet, specification, and within the domain."""
     m, p = F.trim(col(mfr)), F.trim(col(part))
     return F.array(*(F.concat(m, F.lit(" "), p, F.lit(x)) for x in (" product page", " datasheet", " specification")), F.concat(F.lit("site:"), F.coalesce(col(domain), F.lit("")), F.lit(" "), p))
 

@@ -66,6 +66,7 @@ def load_vocab(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_counts(vocab: DataFrame) -> DataFrame:
+    """Entries of each vocabulary."""
     return vocab.groupBy("vocab").agg(F.count("*").alias("entries"))
 
 
