@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import cells as C, extract as X
-from ..functions.ranges import running, scratch
+from ..functions.ranges import running, scratch, spread, stored
 
 #: Pages that a conflict names.
 SHOWN_PAGES = 20
