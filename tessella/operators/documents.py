@@ -17,16 +17,19 @@ _NOISE = ["page", "copyright", "phone", "fax", "email", "website", "note", "note
 
 def extract_facts(pages: DataFrame) -> DataFrame:
     """document_id, page, name, value, evidence, normalised value and unit, confidence; the first of each name per page."""
-    found = pages.select("document_id", "page", F.explode(X.facts_of("text")).alias("f")).select("document_id", "page", "f.*")
+    # The outer form and a filter after it: else the facts would be read twice, once to ask whether there are any.
+    found = spread(pages).select("document_id", "page", F.explode_outer(X.facts_of("text")).alias("f")).where("f is not null").select("document_id", "page", "f.*")
     n = X.normalise_fact("name", "value")
     return found.select("document_id", "page", "name", "value", "evidence", n["value"].alias("normalized_value"), n["unit"].alias("normalized_unit"), F.lit("inferred").alias("status"), F.lit(0.85).alias("confidence"))
 
 
 def conflicting_facts(facts: DataFrame, shown: int = SHOWN_PAGES) -> DataFrame:
     """document_id, name, number of distinct folded values, number of facts, and the first `shown` pages (sorted), where
-    there is more than one value. Only conflicting facts are numbered, by ranges, so no group gathers all of its pages."""
+    there is more than one value. Only conflicting facts are numbered, by ranges, so no group gathers all of its pages. Facts are read
+    from the pages once and stored."""
     keys = ["document_id", "name"]
-    counted = facts.groupBy(*keys).agg(F.count_distinct(F.lower("value")).alias("n_values"), F.count("*").alias("n_facts")).where("n_values > 1")
+    facts = stored(facts.select(*keys, "page", F.lower("value").alias("value")), "facts")
+    counted = facts.groupBy(*keys).agg(F.count_distinct("value").alias("n_values"), F.count("*").alias("n_facts")).where("n_values > 1")
     theirs = facts.select(*keys, "page").join(counted.select(*keys), keys)
     placed = running(theirs, keys, ["page"], scratch(facts.sparkSession, "conflicts"), {"place": ("sum", F.lit(1).cast("long"))})
     pages = placed.where(F.col("place") <= shown).groupBy(*keys).agg(F.sort_array(F.collect_list("page")).alias("pages"))
