@@ -42,22 +42,24 @@ def role_metrics(scored: DataFrame) -> DataFrame:
     return _metrics(scored, "role")
 
 
-def row_metrics(scored: DataFrame) -> DataFrame:
-    """row_number, fields, exact (a missing value rightly left out counts), normalised, complete, accuracy."""
+def row_metrics(scored: DataFrame, *outcomes: str) -> DataFrame:
+    """row_number, fields, exact (a missing value rightly left out counts), normalised, complete, accuracy; and n_... for each
+    of the outcomes asked for."""
     seen = scored.where("outcome <> 'not_evaluated'")
-    out = seen.groupBy("row_number").agg(F.count("*").alias("fields"), F.count_if(F.col("outcome").isin("exact", "missing_correct")).alias("exact"), F.count_if(F.col("outcome") == "normalised").alias("normalised"))
+    out = seen.groupBy("row_number").agg(F.count("*").alias("fields"), F.count_if(F.col("outcome").isin("exact", "missing_correct")).alias("exact"), F.count_if(F.col("outcome") == "normalised").alias("normalised"), *(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes))
     return out.withColumn("complete", F.col("exact") + F.col("normalised") == F.col("fields")).withColumn("accuracy", F.round((F.col("exact") + F.col("normalised")) / F.col("fields"), 4))
 
 
 def evaluation_summary(scored: DataFrame) -> DataFrame:
     """One row: fields, exact and normalised rates, missing values rightly left out, and complete rows."""
-    f = scored.where("outcome <> 'not_evaluated'").agg(
-        F.count("*").alias("fields"), F.round(F.count_if(F.col("outcome") == "exact") / F.count("*"), 4).alias("exact_rate"),
-        F.round(F.count_if(F.col("outcome").isin("exact", "normalised")) / F.count("*"), 4).alias("normalised_rate"),
-        F.round(F.count_if(F.col("outcome") == "missing_correct") / F.greatest(F.count_if(F.col("outcome").isin("missing_correct", "missing_incorrect")), F.lit(1)), 4).alias("missing_detection_rate"),
+    # Rows are put together first and fields summed over them, so that the scores are worked out once.
+    tally = row_metrics(scored, "exact", "missing_correct", "missing_incorrect")
+    n = lambda *names: sum((F.coalesce(F.sum(c), F.lit(0)) for c in names[1:]), F.coalesce(F.sum(names[0]), F.lit(0)))
+    return tally.agg(
+        n("fields").alias("fields"), F.round(n("n_exact") / n("fields"), 4).alias("exact_rate"), F.round(n("n_exact", "normalised") / n("fields"), 4).alias("normalised_rate"),
+        F.round(n("n_missing_correct") / F.greatest(n("n_missing_correct", "n_missing_incorrect"), F.lit(1)), 4).alias("missing_detection_rate"),
+        F.count("*").alias("rows"), F.round(F.count_if("complete") / F.count("*"), 4).alias("complete_row_rate"), F.round(F.avg("accuracy"), 4).alias("average_row_accuracy"),
     )
-    r = row_metrics(scored).agg(F.count("*").alias("rows"), F.round(F.count_if("complete") / F.count("*"), 4).alias("complete_row_rate"), F.round(F.avg("accuracy"), 4).alias("average_row_accuracy"))
-    return f.crossJoin(r)
 
 
 def mismatches(scored: DataFrame) -> DataFrame:
