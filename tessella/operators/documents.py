@@ -17,7 +17,7 @@ _NOISE = ["page", "copyright", "phone", "fax", "email", "website", "note", "note
 
 def extract_facts(pages: DataFrame) -> DataFrame:
     """document_id, page, name, value, evidence, normalised value and unit, confidence; the first of each name per page."""
-    # The outer form and a filter after it: else the facts would be read twice, once to ask whether there are any.
+    # The outer form and a filter after it, so that no filter on the list, which would read the facts again, is inferred.
     found = spread(pages).select("document_id", "page", F.explode_outer(X.facts_of("text")).alias("f")).where("f is not null").select("document_id", "page", "f.*")
     n = X.normalise_fact("name", "value")
     return found.select("document_id", "page", "name", "value", "evidence", n["value"].alias("normalized_value"), n["unit"].alias("normalized_unit"), F.lit("inferred").alias("status"), F.lit(0.85).alias("confidence"))
