@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import cells as C, extract as X
-from ..functions.ranges import running, scratch, spread, stored
-
-#: Pages that a conflict names.
-SHOWN_PAGES = 20
+from ..functions.ranges import spread, stored
 
 #: Attributes that a document of a category must state.
 SCHEMAS = {"generic": ["material", "size"], "valve": ["material", "pressure_rating", "size"], "pump": ["material", "size"], "fitting": ["connection_type", "material", "size"]}
@@ -23,17 +20,15 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     return found.select("document_id", "page", "name", "value", "evidence", n["value"].alias("normalized_value"), n["unit"].alias("normalized_unit"), F.lit("inferred").alias("status"), F.lit(0.85).alias("confidence"))
 
 
-def conflicting_facts(facts: DataFrame, shown: int = SHOWN_PAGES) -> DataFrame:
-    """document_id, name, number of distinct folded values, number of facts, and the first `shown` pages (sorted), where
-    there is more than one value. Only conflicting facts are numbered, by ranges, so no group gathers all of its pages. Facts are read
-    from the pages once and stored."""
+def conflicting_facts(facts: DataFrame) -> DataFrame:
+    """document_id, name, number of distinct folded values, pages of all facts of that name (sorted) and their number, where
+    there is more than one value. Pages are gathered for each value first and combined before each shuffle, so a list is as long as its
+    document's facts and nothing is joined. Facts are read from the pages once and stored."""
     keys = ["document_id", "name"]
     facts = stored(facts.select(*keys, "page", F.lower("value").alias("value")), "facts")
-    counted = facts.groupBy(*keys).agg(F.count_distinct("value").alias("n_values"), F.count("*").alias("n_facts")).where("n_values > 1")
-    theirs = facts.select(*keys, "page").join(counted.select(*keys), keys)
-    placed = running(theirs, keys, ["page"], scratch(facts.sparkSession, "conflicts"), {"place": ("sum", F.lit(1).cast("long"))})
-    pages = placed.where(F.col("place") <= shown).groupBy(*keys).agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    return counted.join(pages, keys).select(*keys, "n_values", "pages", "n_facts")
+    values = facts.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.collect_list("page").alias("pages"))
+    found = values.groupBy(*keys).agg(F.count("value").alias("n_values"), F.sort_array(F.flatten(F.collect_list("pages"))).alias("pages"), F.sum("n").alias("n_facts"))
+    return found.where("n_values > 1")
 
 
 def conflict_values(facts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import cells as C, extract as X, ranges
-from tessella.operators import delivery, enrich, match, metrics, products, review, taxonomy, validate, web
+from tessella.operators import delivery, documents, enrich, match, metrics, products, review, taxonomy, validate, web
 from tessella.plans.views import view
 from tessella.resources import values as V
 from tessella.sources import files, nested, vocab
@@ -142,6 +142,13 @@ def test_rows_of_a_number_that_a_third_of_all_rows_has(spark):
     assert set(out) == {*hot, *(k for k in range(600) if k % 3 == 1)} and validate.other_rows(df.limit(0), "part_number").count() == 0
 
 
+def test_a_conflict_names_all_of_its_pages(spark):
+    facts = [("a", k, "size", "5 IN" if k == 9 else "4 in" if k % 2 else "4 IN") for k in range(300, 0, -1)] + [("a", 9, "size", "4 in"), ("a", 1, "material", "Brass"), ("a", 2, "material", "brass")]
+    facts += [(None, k, "size", f"{k} in") for k in (2, 1)] + [("b", 1, "size", None), ("b", 2, "size", "1 in")]
+    found = documents.conflicting_facts(spark.createDataFrame(facts, "document_id string, page int, name string, value string").repartition(5)).collect()
+    assert {(r.document_id, r.name): (r.n_values, r.n_facts, r.pages) for r in found} == {("a", "size"): (2, 301, sorted([*range(1, 301), 9])), (None, "size"): (2, 2, [1, 2])}
+
+
 def test_restored_decisions_are_events(spark):
     routed = spark.createDataFrame([(k, "auto_approved" if k == 4 else "pending_review", f"s{k}") for k in range(1, 7)], "row_number int, state string, event_id string")
     stored = spark.createDataFrame([(1, "approved", "ann", "2024-01-02"), (2, "rejected", None, None), (3, "pending_review", "bo", None), (4, "auto_approved", None, None), (5, "corrected", "cy", "2024-03-01"), (99, "approved", "ann", None)], "row_number int, review_state string, reviewer string, decided_at string")
