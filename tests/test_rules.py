@@ -149,6 +149,17 @@ def test_a_conflict_names_all_of_its_pages(spark):
     assert {(r.document_id, r.name): (r.n_values, r.n_facts, r.pages) for r in found} == {("a", "size"): (2, 301, sorted([*range(1, 301), 9])), (None, "size"): (2, 2, [1, 2])}
 
 
+def test_an_audit_export_names_all_events_of_a_row(spark):
+    field = "struct<column: string, raw_value: string, canonical_value: string, transformation: string>"
+    rows = spark.createDataFrame([(k, [("material", "ss", "Steel", "vocab")]) for k in (1, 2, 3)], f"row_number int, fields array<{field}>")
+    events = [(1, f"e{k:03}", f"2024-01-01 00:0{k // 100}:{k // 2 % 50:02}", "correct", "corrected", f"by{k}") for k in range(299, -1, -1)] + [(1, "s1", None, "submit_for_review", "pending_review", None), (2, "s2", None, "auto_approve", "auto_approved", None)]
+    audit = spark.createDataFrame(events, "row_number int, event_id string, decided_at string, action string, new_state string, reviewer string").withColumn("decided_at", F.col("decided_at").cast("timestamp"))
+    out = {r.row_number: r for r in delivery.export_audit(rows, audit.repartition(5), ["row_number"]).collect()}
+    assert {k: r.n_events for k, r in out.items()} == {1: 301, 2: 1, 3: None} and out[3].events is None
+    assert [(e.place, e.reviewer) for e in out[1].events] == [(1, None), *((k + 2, f"by{k}") for k in range(300))]
+    assert [(e.place, e.action, e.new_state, e.decided_at) for e in out[2].events] == [(1, "auto_approve", "auto_approved", None)]
+
+
 def test_restored_decisions_are_events(spark):
     routed = spark.createDataFrame([(k, "auto_approved" if k == 4 else "pending_review", f"s{k}") for k in range(1, 7)], "row_number int, state string, event_id string")
     stored = spark.createDataFrame([(1, "approved", "ann", "2024-01-02"), (2, "rejected", None, None), (3, "pending_review", "bo", None), (4, "auto_approved", None, None), (5, "corrected", "cy", "2024-03-01"), (99, "approved", "ann", None)], "row_number int, review_state string, reviewer string, decided_at string")
